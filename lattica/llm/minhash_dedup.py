@@ -3,8 +3,9 @@
 Texts become sets of k-word shingles. Equal sets form one class, of which only the smallest id goes on. Signatures
 are cut into bands; classes that share a band are candidates. A pair's signatures are compared batch by batch, and the
 pair is dropped as soon as the posterior probability that its similarity reaches the threshold is below `miss`; the
-survivors are verified on their full sets. Within a bucket no list of all pairs is made: a leader is compared with the
-rest, members already known to be connected are not compared again, and only small leftovers are paired directly.
+survivors are verified on their full sets. Within a bucket no list of all pairs is made: leaders are compared with the
+rest, members already known to be connected are not compared again, and what is left is compared in blocks that emit
+plausible pairs only.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from lattica.llm.shared import MULTIPLIER, connected_components, mixed, shingles
 
 ROWS, BANDS, STEP = 6, 42, 42
 HASHES = ROWS * BANDS
-#: A bucket with no more unresolved members than this is paired directly.
-SMALL = 16
+#: Signatures compared with one another in one task: at most about BLOCK by BLOCK.
+BLOCK = 1024
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +143,45 @@ def _verified(percent: int):
     return run
 
 
+def _unresolved(rest: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, rep, root) of buckets whose members are in several components."""
+    rest = rest.select("key", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    span = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return written(rest.join(span, "key"), "rest")
+
+
+def _block_pairs(rest: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Plausible pairs (a, b) of a bucket's members in different components.
+
+    At least one of a pair is outside of the bucket's largest component: blocks of such members meet blocks of all.
+    """
+    sizes = rest.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"))
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    rows = rest.join(sizes, "key").withColumns({"na": parts(F.col("n")), "nq": parts(F.col("n") - F.col("most"))})
+    rows = rows.join(sigs.withColumnRenamed("doc_id", "rep"), "rep")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = rows.select("key", "rep", "root", "sig", F.lit(False).alias("query"), own("na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
+    queries = rows.filter("root <> largest").select("key", "rep", "root", "sig", F.lit(True), F.explode(F.sequence(F.lit(0), F.col("na") - 1)), own("nq"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        query = table.column("query").to_numpy()
+        rep, root = (np.array(table.column(c).to_pylist()) for c in ("rep", "root"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        out = [[], []]
+        them = np.flatnonzero(~query)
+        for q in np.flatnonzero(query):
+            other = them[root[them] != root[q]]
+            other = other[plausible(sig[other], sig[np.full(len(other), q)], percent, miss)]
+            out[0].append(np.minimum(rep[other], rep[q]))
+            out[1].append(np.maximum(rep[other], rep[q]))
+        kind = table.schema.field("rep").type
+        return pa.table({n: pa.array(np.concatenate(x) if x else [], kind) for n, x in zip("ab", out, strict=True)})
+
+    kind = rest.schema["rep"].dataType.simpleString()
+    return every.unionAll(queries).groupBy("key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -173,26 +213,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         full = likely.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b").select("a", "b", "set_a", "set_b")
         return written(full.mapInArrow(_verified(percent), pairs.schema), "links")
 
-    # Every bucket's first member against its others.
-    lead = members.groupBy("key").agg(F.min("rep").alias("a"))
-    links = verified(members.join(lead, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    components = written(connected_components(links), "components")
-    rest = members.join(lead, "key").filter("rep <> a").select("key", "rep")
-    while True:
-        # What is left of a bucket matters only while it spans several components.
-        rest = rest.join(components, rest.rep == components.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        span = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min(F.struct("rep", "root")).alias("first"))
-        rest = written(rest.join(span.filter("lo < hi").select("key", "n", "first"), "key"), "rest")
-        if rest.isEmpty():
-            break
-        few = rest.filter(F.col("n") <= SMALL)
-        x, y = few.select("key", F.col("rep").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"))
-        direct = x.join(y, "key").filter("a < b and ra <> rb").select("a", "b")
-        star = rest.filter((F.col("n") > SMALL) & (F.col("rep") != F.col("first.rep")))
-        star_pairs = star.filter("root <> first.root").select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
-        links = links.unionAll(verified(direct.unionAll(star_pairs).distinct()))
+    links = components = None
+    rest = members
+    for rank in (F.col("rep"), F.xxhash64("rep", "key"), F.xxhash64("key", "rep")):
+        # Every bucket's leader against the members that are not known to be connected with it. The first leaders
+        # are much the same in all buckets of a group, the later ones differ, so that few groups stay in pieces.
+        lead = rest.groupBy("key").agg(F.min_by(F.struct("rep", "root") if links else F.struct("rep", F.col("rep").alias("root")), rank).alias("lead"))
+        pairs = rest.join(lead, "key").filter("rep <> lead.rep" + (" and root <> lead.root" if links else ""))
+        found = verified(pairs.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct())
+        links = links.unionAll(found) if links else found
         components = written(connected_components(links), "components")
-        rest = star.select("key", "rep")
+        rest = _unresolved(rest, components)
+    links = links.unionAll(verified(_block_pairs(rest, sigs, percent, miss)))
+    components = written(connected_components(links), "components")
     root = classes.join(components, classes.rep == components.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
     known = F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
     out = sketches.select("doc_id", "n_shingles", F.when(known, F.col("fp")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("fp"))
