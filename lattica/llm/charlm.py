@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
 from lattica.llm.shared import MULTIPLIER, mixed, run_hashes
 
@@ -28,33 +29,53 @@ def _letters() -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: distinct ones with their characters, and for each text its tokens as their numbers."""
+    """The words of some texts: hashes of distinct ones, and for each text its tokens as their numbers."""
 
     def __init__(self, texts: list[str | None]):
         low = [(t or "").lower() for t in texts]
-        data = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self._data = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in low])
-        letter = _letters()[data]
-        edge = np.diff(np.concatenate(([False], letter, [False])).astype(np.int8))
+        edge = np.diff(np.concatenate(([False], _letters()[self._data], [False])).astype(np.int8))
         starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        _, first, self.token = np.unique(run_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        self.n = len(first)
-        #: The text whose first token is at or after first[i].
+        self.token, self.hash = pd.factorize(run_hashes(self._data, starts, stops))
+        self.n = len(self.hash)
+        #: The tokens of text i are first[i] to first[i + 1].
         self.first = np.searchsorted(starts, np.concatenate(([0], ends)))
-        s, lengths = starts[first], (stops - starts)[first]
-        #: Characters of the distinct words, each word between two marks (0).
-        self.size = lengths + 2
-        self.at = np.concatenate(([0], np.cumsum(self.size)))
-        self.chars = np.zeros(self.at[-1], np.uint32)
-        inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.chars[np.repeat(self.at[:-1] + 1, lengths) + inner] = data[np.repeat(s, lengths) + inner]
-        self.place = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.size)
+        at = np.zeros(self.n, np.int64)
+        at[self.token[::-1]] = np.arange(len(self.token))[::-1]
+        self._start, self.length = starts[at], (stops - starts)[at]
 
     def counts(self, rows: np.ndarray | None = None) -> np.ndarray:
         """How often each distinct word stands in the texts whose mask is set."""
         keep = slice(None) if rows is None else np.repeat(rows, np.diff(self.first))
         return np.bincount(self.token[keep], minlength=self.n)
 
+    def spelled(self, which: np.ndarray | None = None) -> Spelled:
+        """Characters of the distinct words, or of those chosen."""
+        start, length = (self._start, self.length) if which is None else (self._start[which], self.length[which])
+        inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        return Spelled(self._data[np.repeat(start, length) + inner], length, inner)
+
+    def per_text(self, values: np.ndarray, reduce: np.ufunc = np.add) -> np.ndarray:
+        """values of distinct words, summed (or else reduced) over each text's tokens; 0 for a text without words."""
+        n = np.diff(self.first)
+        out = np.zeros((len(n), *values.shape[1:]))
+        if n.any():
+            full = n > 0
+            out[full] = reduce.reduceat(values[self.token], self.first[:-1][full], axis=0)
+        return out
+
+
+class Spelled:
+    """Words as characters, each word between two marks (0)."""
+
+    def __init__(self, letters: np.ndarray, length: np.ndarray, inner: np.ndarray):
+        self.size = length + 2
+        self.at = np.concatenate(([0], np.cumsum(self.size)))
+        self.chars = np.zeros(self.at[-1], np.uint32)
+        self.chars[np.repeat(self.at[:-1] + 1, length) + inner] = letters
+        self.place = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.size)
+
     def grams(self, order: int) -> Iterator[np.ndarray]:
         """For k = 1 to order the hash of the k characters that end at each place; 0 where the word begins later."""
         h = np.zeros(len(self.chars), np.uint64)
@@ -66,14 +87,24 @@ class Words:
             h[self.place < k - 1] = 0
             yield h
 
-    def per_text(self, values: np.ndarray, reduce: np.ufunc = np.add) -> np.ndarray:
-        """values of distinct words, summed (or else reduced) over each text's tokens; 0 for a text without words."""
-        n = np.diff(self.first)
-        out = np.zeros((len(n), *values.shape[1:]))
-        if n.any():
-            full = n > 0
-            out[full] = reduce.reduceat(values[self.token], self.first[:-1][full], axis=0)
-        return out
+    def keyed(self, order: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams of one order that do not end with the first mark: hash, context, suffix, summed weights of their words."""
+        lower, h = np.zeros(len(self.chars), np.uint64), np.zeros(len(self.chars), np.uint64)
+        for g in self.grams(order):
+            lower, h = h, g
+        ok = np.flatnonzero(self.place >= max(1, order - 1))
+        before = np.zeros_like(h)
+        before[1:] = lower[:-1]
+        return summed(h[ok], before[ok], lower[ok], np.repeat(weights, self.size, axis=0)[ok])
+
+
+def summed(h: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct h with the first of each column of rest and the sum of the last."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    last = rest[-1][order]
+    return h[first], *(x[order[first]] for x in rest[:-1]), np.add.reduceat(last, first, axis=0) if len(h) else last
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -88,96 +119,88 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield at, texts[at:]
 
 
-def _summed(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes, kind="stable")
-    h, w = hashes[order], weights[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, int)
-    return h[first], np.add.reduceat(w, first, axis=0) if len(h) else w
-
-
-class Counts:
-    """Counts of word types of a sample, one column a class, gathered text by text."""
+class Model:
+    """log-probabilities of words under each class, fitted on a bounded sample of texts with the number of their class.
 
-    def __init__(self, classes: int):
-        self.classes, self.parts = classes, []
+    shared, of the first orders, replaces the classes' own lower distributions by one that all of them back off to:
+    for each order (hash, context, counts) and (contexts, their totals, their numbers of different continuations).
+    """
 
-    def add(self, texts: list[str | None], labels: np.ndarray) -> None:
+    def __init__(self, texts: list[str | None], labels: np.ndarray, classes: int, order: int, shared: list[tuple] | None = None):
+        self.classes, self.order = classes, order
+        parts = []
         for at, part in chunks(texts):
             w = Words(part)
             own = labels[at : at + len(part)]
-            self.parts.append((w, np.stack([w.counts(own == c) for c in range(self.classes)], 1)))
-
-
-class Model:
-    """log-probabilities of words under each class.
-
-    lower (hash -> counts, one column) replaces the classes' own continuation counts up to its order: backoff
-    distributions that all classes share.
-    """
-
-    def __init__(self, counts: Counts, order: int, shared: list[tuple[np.ndarray, np.ndarray]] | None = None):
-        self.order, n = order, counts.classes
-        raw = []  # of each order: hash, context, suffix, counts
-        for k in range(1, order + 1):
-            hs, cs, ss, ws = [], [], [], []
-            for w, c in counts.parts:
-                g = list(w.grams(k))
-                h = g[-1]
-                ok = (h != 0) & (w.place >= max(1, k - 1))
-                before = np.zeros_like(h)
-                if k > 1:
-                    before[1:] = g[-2][:-1]
-                hs.append(h[ok])
-                cs.append(before[ok])
-                ss.append(g[-2][ok] if k > 1 else before[ok])
-                ws.append(np.repeat(c, w.size, axis=0)[ok])
-            h, c, s, v = (np.concatenate(x) for x in (hs, cs, ss, ws))
-            o = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(h[o]) != 0)))
-            raw.append((h[o][first], c[o][first], s[o][first], np.add.reduceat(v[o], first, axis=0)))
+            parts.append((w.spelled(), np.stack([w.counts(own == c) for c in range(classes)], 1)))
+        raw = [summed(*map(np.concatenate, zip(*(w.keyed(k, c) for w, c in parts), strict=True))) for k in range(1, order + 1)]
         self.tables = []
         for k, (h, ctx, _, v) in enumerate(raw, 1):
             v = v.astype(float)
             if k < order:
                 # continuation: distinct characters before it; what begins with a mark keeps its own count
-                up_h, up_v = _summed(raw[k][2], (raw[k][3] > 0).astype(float))
-                at = np.searchsorted(up_h, h)
-                hit = (at < len(up_h)) & (up_h[np.minimum(at, len(up_h) - 1)] == h)
-                v[hit] = up_v[at[hit]]
-            if shared is not None and k <= len(shared):
-                sh, sctx, sv = shared[k - 1]
-                h, ctx, v = sh, sctx, np.repeat(sv.astype(float)[:, None], n, axis=1)
-            heads, total = _summed(ctx, v)
-            _, kinds = _summed(ctx, (v > 0).astype(float))
-            at = np.searchsorted(heads, ctx)
-            p = np.maximum(v - DISCOUNT, 0) / np.maximum(total[at], 1)
+                up, n = summed(raw[k][2], (raw[k][3] > 0).astype(float))
+                at = np.minimum(np.searchsorted(up, h), len(up) - 1)
+                hit = up[at] == h
+                v[hit] = n[at[hit]]
+            if shared and k <= len(shared):
+                (h, ctx, v), (heads, total, kinds) = shared[k - 1]
+                v, total, kinds = (np.repeat(x.astype(float)[:, None], classes, axis=1) for x in (v, total, kinds))
+            else:
+                heads, total = summed(ctx, v)
+                kinds = summed(ctx, (v > 0).astype(float))[1]
+            p = np.maximum(v - DISCOUNT, 0) / np.maximum(total[np.minimum(np.searchsorted(heads, ctx), len(heads) - 1)], 1)
             backoff = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
             self.tables.append((h, p.astype(np.float32), heads, backoff.astype(np.float32)))
-        self.classes = n
 
-    def scores(self, w: Words) -> np.ndarray:
-        """log P of each distinct word, marks included but for the first, one column a class."""
+    def scores(self, w: Spelled) -> np.ndarray:
+        """log P of each word, marks included but for the first, one column a class."""
         p = np.full((len(w.chars), self.classes), 1 / ALPHABET)
         before = np.zeros(len(w.chars), np.uint64)
         for k, g in enumerate(w.grams(self.order), 1):
             h, prob, heads, backoff = self.tables[k - 1]
-            ok = np.flatnonzero((w.place >= max(1, k - 1)))
+            ok = np.flatnonzero(w.place >= max(1, k - 1))
             ctx = np.zeros(len(w.chars), np.uint64)
             ctx[1:] = before[:-1]
-            i = np.searchsorted(heads, ctx[ok])
-            i[i == len(heads)] = 0
-            seen = heads[i] == ctx[ok]
-            rows, i = ok[seen], i[seen]
-            q = p[rows] * backoff[i]
-            j = np.searchsorted(h, g[rows])
-            j[j == len(h)] = 0
-            hit = h[j] == g[rows]
-            q[hit] += prob[j[hit]]
-            p[rows] = q
+            if len(heads) and len(h):
+                i = np.minimum(np.searchsorted(heads, ctx[ok]), len(heads) - 1)
+                seen = heads[i] == ctx[ok]
+                rows, i = ok[seen], i[seen]
+                q = p[rows] * backoff[i]
+                j = np.minimum(np.searchsorted(h, g[rows]), len(h) - 1)
+                hit = h[j] == g[rows]
+                q[hit] += prob[j[hit]]
+                p[rows] = q
             before = g
-        logp = np.log(p)
+        logp = np.log(np.maximum(p, 1e-30))
         logp[w.place == 0] = 0
-        return np.add.reduceat(logp, w.at[:-1], axis=0) if w.n else np.zeros((0, self.classes))
+        return np.add.reduceat(logp, w.at[:-1], axis=0) if len(w.size) else np.zeros((0, self.classes))
+
+
+class Scorer:
+    """A model's scores of distinct words, remembered from one batch of texts to the next."""
+
+    MOST = 1_000_000
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.values = model, np.zeros(0, np.uint64), np.zeros((0, model.classes), np.float32)
+
+    def __call__(self, w: Words) -> np.ndarray:
+        out = np.zeros((w.n, self.model.classes), np.float32)
+        new = np.ones(w.n, bool)
+        if len(self.known) and w.n:
+            i = np.minimum(np.searchsorted(self.known, w.hash), len(self.known) - 1)
+            new = self.known[i] != w.hash
+            out[~new] = self.values[i[~new]]
+        which = np.flatnonzero(new)
+        if len(which):
+            out[which] = self.model.scores(w.spelled(which))
+            if len(self.known) > self.MOST:
+                self.known, self.values = self.known[:0], self.values[:0]
+            both = np.concatenate((self.known, w.hash[which]))
+            order = np.argsort(both, kind="stable")
+            self.known, self.values = both[order], np.concatenate((self.values, out[which]))[order]
+        return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import MULTIPLIER, connected_components, mixed, shingles_of, text_chunks, words_of, written
+from lattica.llm.shared import MULTIPLIER, connected_components, mixed, shingles_of, small_batches, text_chunks, words_of, written
 
 ROWS, BANDS, STEP = 6, 42, 42
 HASHES = ROWS * BANDS
@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     doc_id takes part in nothing, its component_id is null and kept is false. Other columns of docs are ignored.
     Pairs are missed with a probability of about (1 - s**6)**42 for similarity s: 3 in a million at 0.8.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sketches = written(docs.mapInArrow(_sketch(k), f"{_kind(docs)}, n_shingles long, fp string, sig binary, bands array<long>"), "sketches")
     usable = sketches.filter("fp is not null and doc_id is not null")

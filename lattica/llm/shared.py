@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16_000_000) -> None:
+    """Batches for Python no larger than this in the session, so that a task's memory is bounded also for long rows."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to shared storage and read again: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
@@ -73,6 +81,7 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 #: Bytes that part words: space and \t \n \v \f \r.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -95,9 +104,12 @@ def text_chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int,
         at = to
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (A-Z lower-cased, parted by ASCII white space) of a chunk and, for each row, where its words begin (n+1 entries)."""
-    space = _SPACE[data]
+def words_of(data: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of a chunk (A-Z lower-cased) and, for each row, where its words begin (n+1 entries).
+
+    Words are parted by ASCII white space or, with marks, by every ASCII character but letters and digits.
+    """
+    space = (_MARKS if marks else _SPACE)[data]
     # a row's end parts words too: an inserted separator keeps rows apart
     n_rows = len(offsets) - 1
     flags = np.ones(len(data) + n_rows, bool)
@@ -124,6 +136,11 @@ def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(h)
 
 
+def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, a written table of short rows, marked for broadcast if it has at most so many; larger ones are shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b) of any integer type; nodes without edges are absent.
 

@@ -82,7 +82,7 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     hosts = table.select("host").distinct()
     fitting = written(rules_by_host(hosts, rules), "hosts")
     ruled = table.select("page_id", "host", "path").join(fitting, "host", "left")
-    ruled = ruled.withColumn("r", F.expr("filter(rules, r -> startswith(path, r.path))[0]"))
+    ruled = ruled.withColumn("r", F.expr("get(filter(rules, r -> startswith(path, r.path)), 0)"))
     # shares of each host's pages that rules judge are what its propagation starts from
     seeds = ruled.groupBy("host").agg(
         F.avg(F.when(F.col("r.verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"), F.avg(F.when(F.col("r.verdict") == "block", 1.0).otherwise(0.0)).alias("distrust")

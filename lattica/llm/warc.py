@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import shared_dir
+from lattica.llm.shared import shared_dir, small_batches
 
 LEAST = 100
 #: Records in one archive file at most.
@@ -86,6 +86,7 @@ def read_archives(spark: SparkSession, path: str, keep_block: bool = False) -> D
 
     Digest and size of a response are computed anew from its block and must be those of its headers.
     """
+    small_batches(spark)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", block binary" * keep_block
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
