@@ -3,9 +3,8 @@
 Texts become sets of k-word shingles. Equal sets form one class, of which only the smallest id goes on. Signatures
 are cut into bands; classes that share a band are candidates. A pair's signatures are compared batch by batch, and the
 pair is dropped as soon as the posterior probability that its similarity reaches the threshold is below `miss`; the
-survivors are verified on their full sets. Within a bucket no list of all pairs is made: leaders are compared with the
-rest, members already known to be connected are not compared again, and what is left is compared in blocks that emit
-plausible pairs only.
+survivors are verified on their full sets. No list of all pairs of a bucket is made: its first member is compared with
+the others, and what is not connected after that is compared in blocks that emit links between components only.
 """
 
 from __future__ import annotations
@@ -78,6 +77,16 @@ def plausible(a: np.ndarray, b: np.ndarray, percent: int, miss: float) -> np.nda
     return out
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether percent * union <= 100 * intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for at, to, data, offsets in text_chunks(batch.column("text")):
         words, first = words_of(data, offsets)
@@ -130,56 +139,58 @@ def _still_plausible(percent: int, miss: float):
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            pairs = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
+            keep = [similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), percent) for pair in pairs]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _unresolved(rest: DataFrame, components: DataFrame) -> DataFrame:
-    """(key, rep, root) of buckets whose members are in several components."""
-    rest = rest.select("key", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    span = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    return written(rest.join(span, "key"), "rest")
-
+def _links_in_blocks(rest: DataFrame, sketches: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) that connect components (root) within a cluster, from rest (cluster, rep, root) and sketches (doc_id, sig, shingles).
 
-def _block_pairs(rest: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Plausible pairs (a, b) of a bucket's members in different components.
-
-    At least one of a pair is outside of the bucket's largest component: blocks of such members meet blocks of all.
+    At least one of a pair is outside of its cluster's largest component: blocks of such members meet blocks of all. A
+    member is verified against plausible others of another component, the likeliest first, until one is linked; with
+    that component it is then done. So a block gives a few links for each member however many pairs are plausible.
     """
-    sizes = rest.groupBy("key", "root").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"))
+    sizes = rest.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"), F.count("*").alias("roots"))
     parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    rows = rest.join(sizes, "key").withColumns({"na": parts(F.col("n")), "nq": parts(F.col("n") - F.col("most"))})
-    rows = rows.join(sigs.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = rest.join(sizes.filter("roots > 1"), "cluster").withColumns({"na": parts(F.col("n")), "nq": parts(F.col("n") - F.col("most"))})
+    rows = rows.join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = rows.select("key", "rep", "root", "sig", F.lit(False).alias("query"), own("na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
-    queries = rows.filter("root <> largest").select("key", "rep", "root", "sig", F.lit(True), F.explode(F.sequence(F.lit(0), F.col("na") - 1)), own("nq"))
+    cols = ("cluster", "rep", "root", "sig", "shingles")
+    every = rows.select(*cols, F.lit(False).alias("query"), own("na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"))
+    queries = rows.filter("root <> largest").select(*cols, F.lit(True), F.explode(F.sequence(F.lit(0), F.col("na") - 1)), own("nq"))
 
     def compare(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy()
         rep, root = (np.array(table.column(c).to_pylist()) for c in ("rep", "root"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-        out = [[], []]
-        them = np.flatnonzero(~query)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        them, out = np.flatnonzero(~query), []
+        parent = {x: x for x in root.tolist()}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
         for q in np.flatnonzero(query):
-            other = them[root[them] != root[q]]
+            other = them[(root[them] != root[q]) & (rep[them] != rep[q])]
             other = other[plausible(sig[other], sig[np.full(len(other), q)], percent, miss)]
-            out[0].append(np.minimum(rep[other], rep[q]))
-            out[1].append(np.maximum(rep[other], rep[q]))
+            if not len(other):
+                continue
+            for o in other[np.argsort(-(sig[other] == sig[q]).sum(1), kind="stable")]:
+                x, y = find(root[q].item()), find(root[o].item())
+                if x != y and similar(sets[q], sets[o], percent):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(rep[q], rep[o]), max(rep[q], rep[o])))
         kind = table.schema.field("rep").type
-        return pa.table({n: pa.array(np.concatenate(x) if x else [], kind) for n, x in zip("ab", out, strict=True)})
+        return pa.table({n: pa.array([x[k].item() for x in out], kind) for k, n in enumerate("ab")})
 
     kind = rest.schema["rep"].dataType.simpleString()
-    return every.unionAll(queries).groupBy("key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return every.unionAll(queries).groupBy("cluster", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -214,19 +225,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         full = likely.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b").select("a", "b", "set_a", "set_b")
         return written(full.mapInArrow(_verified(percent), pairs.schema), "links")
 
-    links = components = None
-    rest = members
-    for rank in (F.col("rep"), F.xxhash64("rep", "key"), F.xxhash64("key", "rep")):
-        # Every bucket's leader against the members that are not known to be connected with it. The first leaders
-        # are much the same in all buckets of a group, the later ones differ, so that few groups stay in pieces.
-        lead = rest.groupBy("key").agg(F.min_by(F.struct("rep", "root") if links else F.struct("rep", F.col("rep").alias("root")), rank).alias("lead"))
-        pairs = rest.join(lead, "key").filter("rep <> lead.rep" + (" and root <> lead.root" if links else ""))
-        found = verified(pairs.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct())
-        links = links.unionAll(found) if links else found
-        components = written(connected_components(links), "components")
-        rest = _unresolved(rest, components)
-    links = links.unionAll(verified(_block_pairs(rest, sigs, percent, miss)))
-    components = written(connected_components(links), "components")
+    # Every bucket's first member against its others: groups of near copies mostly have the same first in all buckets.
+    lead = members.groupBy("key").agg(F.min("rep").alias("a"))
+    stars = written(members.join(lead, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
+    links = verified(stars)
+    components = connected_components(links)
+    # Members that buckets join, in whatever way, form a cluster; those in several components are compared further.
+    clusters = connected_components(stars).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    rest = clusters.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("root"))
+    more = _links_in_blocks(written(rest, "rest"), sigs.join(sets, "doc_id"), percent, miss)
+    components = written(connected_components(links.unionAll(written(more, "more"))), "components")
     root = classes.join(components, classes.rep == components.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
     known = F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
     out = sketches.select("doc_id", "n_shingles", F.when(known, F.col("fp")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("fp"))
