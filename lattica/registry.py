@@ -1,10 +1,5 @@
-"""Named queries over the test tables, each beside the SQL that must give the same rows."""
+"""Named queries over the test tables and the SQL that must give the same rows."""
 
-from __future__ import annotations
+from lattica.plans.registered import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
