@@ -150,3 +150,18 @@ def test_several_files_are_numbered_by_name(spark, tmp_path):
     spark.range(100).repartition(5).write.parquet(f"{tmp_path}/t.parquet")
     got = R.with_local_rows(R.read(spark, str(tmp_path), "t")).collect()
     assert sorted(r[R.LOCAL] for r in got) == list(range(100))
+
+
+def test_report_and_commands(spark, shop, capsys, tmp_path):
+    from lattica.__main__ import main
+    from lattica.plans.inspect import grid
+
+    at, db = shop
+    main(["inspect", "--db-dir", db.path, "--sample-rows", "2"])
+    said = capsys.readouterr().out
+    assert "orders_30d" in said and "out_degree" in said and "customers: 12 rows" in said
+    main(["sample", "--db-dir", db.path, "--batch-size", "2", "--sequence-length", "16"])
+    assert "references" in capsys.readouterr().out
+    main(["draft", at, "--out", str(tmp_path / "d.json")])
+    assert Annotation.load(tmp_path / "d.json").tables["orders"].primary_key == "order_id"
+    assert grid(["a"], [["bc"]]).splitlines()[0] == "┌────┐"
