@@ -15,30 +15,38 @@ from lattica.llm.shared import sized, written
 
 #: Shorter lines are left alone: equal ones occur by chance. Lines of NEAR_WORDS or more are matched with one word edited.
 LEAST_WORDS, NEAR_WORDS = 4, 10
-BLANKS = r" \t\r\f\x0B"
 
 
-def words_of(line: Column) -> Column:
-    """Lower-cased words, parted by spaces, tabs, returns, form feeds and vertical tabs."""
-    return F.split(F.regexp_replace(F.lower(line), f"^[{BLANKS}]+|[{BLANKS}]+$", ""), f"[{BLANKS}]+")
+def normal(line: Column) -> Column:
+    """A line in lower case, its words parted by one space; spaces, tabs, returns, form feeds and vertical tabs part words."""
+    x = F.lower(line)
+    for c in "\t\r\f\x0b":
+        x = F.replace(x, F.lit(c), F.lit(" "))
+    return F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, w, n, h1, h2): every line of LEAST_WORDS or more; th tells rows of one doc_id apart."""
+    """(doc_id, th, pos, line, n): every line of LEAST_WORDS or more, normalised; th tells rows of one doc_id apart."""
     rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.filter(F.length("line") >= 2 * LEAST_WORDS - 1).withColumn("w", words_of(F.col("line"))).withColumn("n", F.size("w")).filter(F.col("n") >= LEAST_WORDS)
-    return rows.select("doc_id", "th", "pos", "w", "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "n", "w").alias("h2"))
+    rows = rows.filter(F.octet_length("line") >= 2 * LEAST_WORDS - 1).withColumn("line", normal(F.col("line")))
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return rows.withColumn("n", spaces + 1).filter(F.col("n") >= LEAST_WORDS)
 
 
-def _halves(w: Column, n: Column) -> Column:
+def _hashes(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
+
+
+def _halves(line: Column, n: Column) -> Column:
     """Hashes of the first and the second half of a line as one of n words and as one that has a word more than n - 1.
 
     Of two lines of c and c or c + 1 words that are near, the first c // 2 words are equal or the last c - c // 2 are.
     """
     out = []
+    part = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
     for c in (n, n - 1):
         k = F.floor(c / 2).cast("int")
-        out += [F.xxhash64(F.lit("first"), c, F.slice(w, 1, k)), F.xxhash64(F.lit("last"), c, F.slice(w, n - c + k + 1, c - k))]
+        out += [F.xxhash64(F.lit("first"), c, part(k)), F.xxhash64(F.lit("last"), c, part(k - c))]
     return F.when(n >= NEAR_WORDS, F.array(*out))
 
 
@@ -57,16 +65,20 @@ def _neighbourhood(w: Column) -> Column:
     return F.flatten(F.transform(F.array(both), keys))  # the chains are computed once
 
 
-def near_classes(lines: DataFrame, classes: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(h1, h2) of the classes of equal lines to which an earlier line is near but not equal."""
     halves = classes.filter(F.col("halves").isNotNull()).select("h1", "h2", "first", F.explode("halves").alias("g"))
     paired = halves.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     found = written(halves.join(paired, "g").select("h1", "h2", "first").distinct(), "paired")
-    at = F.struct("doc_id", "pos", "th")
-    texts = lines.withColumn("first", at).join(sized(found.select("h1", "h2", "first")), ["h1", "h2", "first"], "left_semi")
-    texts = written(texts.select("h1", "h2", "first", "w").dropDuplicates(["h1", "h2"]), "texts")
+    within = written(found.select(F.col("first.doc_id").alias("doc_id")).distinct(), "within")
+    own = _lines(docs.select("doc_id", "text").join(sized(within), "doc_id", "left_semi")).filter(F.col("n") >= NEAR_WORDS)
+    own = own.select(*_hashes(F.col("line")), F.struct("doc_id", "pos", "th").alias("first"), F.split("line", " ").alias("w"))
+    texts = written(own.join(sized(found), ["h1", "h2", "first"], "left_semi").dropDuplicates(["h1", "h2"]), "texts")
     keys = texts.select("h1", "h2", "first", F.explode(_neighbourhood(F.col("w"))).alias("v")).select("h1", "h2", "first", "v.*")
-    lead = keys.groupBy("k").agg(F.min(F.struct("first", "h1", "h2", "cut")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("k", "lead")
+    # most keys stand alone; only those that do not go on with what they belong to
+    shared = written(keys.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k"), "shared")
+    keys = written(keys.join(sized(shared), "k", "left_semi"), "keys")
+    lead = keys.groupBy("k").agg(F.min(F.struct("first", "h1", "h2", "cut")).alias("lead"))
     hits = keys.join(lead, "k").filter("first > lead.first")
     hits = hits.select("h1", "h2", "i", "cut", F.col("lead.h1").alias("e1"), F.col("lead.h2").alias("e2"), F.col("lead.cut").alias("ecut")).dropDuplicates(["h1", "h2", "e1", "e2"])
     # the hashes agree; what counts is whether the words do
@@ -87,23 +99,25 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     for name in ("n_lines", "n_removed"):
         if name in docs.columns:
             docs = docs.drop(name)
-    lines = _lines(docs)
-    at = F.struct("doc_id", "pos", "th")
-    grouped = lines.select("h1", "h2", at.alias("at"), _halves(F.col("w"), F.col("n")).alias("halves")).groupBy("h1", "h2")
-    classes = written(grouped.agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")), "classes")
-    near = near_classes(lines, classes).withColumn("near", F.lit(True))
+    # Lines are read once; from here on they are a place and hashes.
+    lines = _lines(docs).select("doc_id", "th", "pos", *_hashes(F.col("line")), _halves(F.col("line"), F.col("n")).alias("halves"))
+    lines = written(lines, "lines")
+    grouped = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "th")).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves"))
+    classes = written(grouped, "classes")
+    near = near_classes(docs, classes).withColumn("near", F.lit(True))
     repeated = classes.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").filter("c > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     repeated = written(repeated, "repeated")
     gone = lines.select("doc_id", "th", "pos", "h1", "h2").join(sized(repeated), ["h1", "h2"])
     gone = gone.filter("near or doc_id > first.doc_id or (doc_id = first.doc_id and pos > first.pos)")
-    gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone")), "gone")
-    texts = docs.withColumn("th", F.xxhash64("text")).join(sized(gone), ["doc_id", "th"], "left")
+    gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"}), "gone")
+    texts = docs.join(sized(gone), (docs.doc_id == F.col("_doc_id")) & (F.xxhash64(docs.text) == F.col("_th")), "left")
     parts = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(ends + 1)
     own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return texts.select(*own, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return texts.select(*own, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
