@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir). All but the last return the columns of d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm.decontaminate import benchmark_items, without_leaks
 from lattica.llm.line_dedup import without_repeated_lines
@@ -18,7 +19,8 @@ from lattica.llm.toxicity import toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic by what the labels teach; labels are never looked up for a document judged."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity(docs, labels, keep=tuple(docs.columns)).filter("predicted = 0").select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
+    return toxicity(rows, labels, keep=("_row",)).filter("predicted = 0").select("_row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

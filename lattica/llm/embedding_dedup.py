@@ -26,6 +26,8 @@ SAMPLE, LEVELS = 2000, 6
 #: A vector goes to both sides within so many standard deviations of a just linked pair's difference.
 SPILL = 0.35
 ROUNDS = 8
+#: Stands for the threshold of a node that is not split.
+WHOLE = 1e300
 
 
 def _directions(leaf: int, dim: int) -> np.ndarray:
@@ -47,8 +49,8 @@ def _margin(least: float, dim: int) -> float:
 
 
 def _thresholds(unit: np.ndarray, leaf: int, total: int, margin: float) -> list[float]:
-    """A threshold for each node of LEVELS levels, NaN where a node stays whole: small enough, or not to be parted."""
-    out = np.full(2**LEVELS - 1, np.nan)
+    """A threshold for each node of LEVELS levels, WHOLE where a node stays whole: small enough, or not to be parted."""
+    out = np.full(2**LEVELS - 1, WHOLE)
     share = total / len(unit)
     way, rows = _directions(leaf, unit.shape[1]), {0: np.arange(len(unit))}
     for node in range(len(out)):
@@ -71,7 +73,7 @@ def _descend(unit: np.ndarray, leaf: int, cuts: np.ndarray, margin: float) -> tu
     rows, ends = [], []
     while at:
         node, r = at.popitem()
-        if node >= len(cuts) or np.isnan(cuts[node]):
+        if node >= len(cuts) or cuts[node] == WHOLE:
             rows.append(r)
             ends.append(np.full(len(r), node))
             continue
@@ -99,7 +101,7 @@ def forest(classes: DataFrame, least: float) -> DataFrame:
             return pd.DataFrame({"leaf": [leaf], "cuts": [_thresholds(x, leaf, int(group.total.iloc[0]), _margin(least, x.shape[1]))]})
 
         fitted = sample.groupBy("leaf").applyInPandas(fit, "leaf long, cuts array<double>")
-        fitted = written(fitted.filter("exists(cuts, x -> not isnan(x))"), "cuts")
+        fitted = written(fitted.filter("exists(cuts, x -> x < 1e299)"), "cuts")
         if fitted.isEmpty():
             break
 

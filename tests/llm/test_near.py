@@ -96,7 +96,7 @@ def test_word_hashes():
             assert first[i - at + 1] - first[i - at] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[i] or ""))
     chunk = next(text_chunks(pa.array(["Ab", "aB", "ab"])))
     words, _ = words_of(*chunk[2:])
-    assert len(set(words.tolist())) == 1 and len(shingles_of(words, 2)) == 2
+    assert len(set(words.tolist())) == 1 and len(words) == 3 and len(shingles_of(words, 2)) == 1
 
 
 def test_components(spark):
@@ -184,11 +184,11 @@ def test_line_dedup(spark):
             if not again:
                 keep.append(one)
         want[i] = ("\n".join(keep), len(text.split("\n")), gone)
-    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, gone string, th int, n_lines int")
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, gone string, th int, n_lines int").withColumn("_row", F.lit(1))
     out = L.without_repeated_lines(df)
     assert {"gone", "th", "n_lines", "n_removed"} <= set(out.columns)
     got = {r.doc_id: r for r in out.collect()}
-    assert sum(w[2] for w in want.values()) > 60
+    assert sum(w[2] for w in want.values()) > 40
     for i, w in want.items():
         assert (got[i].text, got[i].n_lines, got[i].n_removed) == w, i
     assert got[100].text is None and got[None].n_removed == 0
