@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -22,6 +23,14 @@ def test_main_text():
     assert H.main_text("<div class=ad>open<article><p>in</p></article>", None) == "in"
     assert H.main_text("<script>x</script><p>a<p>b", None) == "a b"
     assert H.main_text("<p>" * 3000 + "deep", None) == "deep"
+    assert H.main_text("<b class=ad>buy</b> now <img alt='<p>'/>a", None) == "now a"
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<a<", '<a "', "<b><p>", "</div>", "<![CDATA[", "<!--", "<b>", "&", "<a '>\"", "<script>"])
+def test_broken_markup_takes_no_long_time(piece):
+    began = time.process_time()
+    H.blocks_of(piece * 30_000, True)
+    assert time.process_time() - began < 5
 
 
 def test_templates_without_an_article_element():
