@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import scalar as S
-from lattica.operators.vocabulary import numbered
+from lattica.operators.vocabulary import ranged
 from lattica.sources.tables import RawDatabase
 
 
@@ -57,13 +57,13 @@ def degrees(e: DataFrame, all_nodes: DataFrame) -> DataFrame:
     return all_nodes.join(out, "row_id", "left").join(into, "row_id", "left").select("row_id", zero("out_degree"), zero("in_degree"))
 
 
-def row_pointers(degree: DataFrame, column: str = "out_degree", parts: int = 64) -> DataFrame:
+def row_pointers(degree: DataFrame, column: str = "out_degree") -> DataFrame:
     """(row_id, row_ptr): where each node's neighbours begin in the flat list; sums of ranges first, then within them."""
-    ranged = degree.select("row_id", column).repartitionByRange(parts, "row_id").withColumn("_part", F.spark_partition_id())
-    sums = ranged.groupBy("_part").agg(F.sum(column).alias("_s"))
+    parts = ranged(degree.select("row_id", column), ["row_id"])
+    sums = parts.groupBy("_part").agg(F.sum(column).alias("_s"))
     before = sums.select("_part", (F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).alias("_before"))
     within = F.sum(column).over(Window.partitionBy("_part").orderBy("row_id")) - F.col(column)
-    return ranged.withColumn("_w", within).join(F.broadcast(before), "_part").select("row_id", (F.col("_w") + F.col("_before")).alias("row_ptr"))
+    return parts.withColumn("_w", within).join(F.broadcast(before), "_part").select("row_id", (F.col("_w") + F.col("_before")).alias("row_ptr"))
 
 
 def degree_stats(degree: DataFrame, column: str) -> DataFrame:
@@ -102,7 +102,3 @@ def top_children(found: DataFrame, width: int, seed: int = 0) -> DataFrame:
     order = Window.partitionBy("seq", "parent").orderBy(F.xxhash64(F.lit(seed), "seq", "parent", "row_id"), "row_id")
     kids = found.filter("relation = 'child'").dropDuplicates(["seq", "parent", "row_id"])
     return kids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= width).drop("k")
-
-
-def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
-    return numbered(df, order)

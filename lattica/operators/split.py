@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.siphash import bucket
+from lattica.operators.vocabulary import numbered
 
 RATIOS, SPLIT_SEED = (0.8, 0.1, 0.1), 123
 
@@ -28,10 +29,16 @@ def assigned(seeds: DataFrame, seed: int = SPLIT_SEED, ratios: tuple[float, floa
     return out.withColumn("split", split_of(F.col("bucket"), ratios))
 
 
+def positioned(seeds: DataFrame, order: tuple[str, ...] = ("seed_idx",)) -> DataFrame:
+    """seeds with position, from 0 within each task and split, numbered in ranges and not in one task a split."""
+    all_ = numbered(seeds, ["task_idx", "split", *order], "_idx")
+    first = all_.groupBy("task_idx", "split").agg(F.min("_idx").alias("_first"))
+    return all_.join(F.broadcast(first), ["task_idx", "split"]).withColumn("position", F.col("_idx") - F.col("_first")).drop("_idx", "_first")
+
+
 def sharded(seeds: DataFrame, rank: int, world: int, order: tuple[str, ...] = ("seed_idx",)) -> DataFrame:
     """Every world-th seed of each task and split, from the rank-th."""
-    at = F.row_number().over(Window.partitionBy("task_idx", "split").orderBy(*order)) - 1
-    return seeds.withColumn("shard", at % world).filter(F.col("shard") == rank).drop("shard")
+    return positioned(seeds, order).filter(F.col("position") % world == rank).drop("position")
 
 
 def sizes(seeds: DataFrame) -> DataFrame:

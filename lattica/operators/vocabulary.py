@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from lattica.functions import scalar as S
 from lattica.sources.annotation import Annotation, SType
+from lattica.sources.database import written
 from lattica.sources.tables import RawDatabase
 
-PARTS = 64
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _part, the number of the range of the order that a row is in.
+
+    It is written down, since ranges are found by sampling and would differ from one computation to the next.
+    """
+    return written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """df with a dense number from 0 in the order of the columns, without one task that holds all rows.
 
-    Rows are sorted into ranges; each range is numbered by itself and starts where the counts of those before it end.
+    Each range of the order is numbered by itself and starts where the counts of those before it end.
     """
-    sorted_ = df.repartitionByRange(PARTS, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sorted_ = sorted_.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = sorted_.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))  # PARTS rows
-    return sorted_.join(F.broadcast(before), "_part").withColumn(name, F.col("_n") - 1 + F.col("_before")).drop("_part", "_n", "_before")
+    parts = ranged(df, order)
+    parts_n = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))  # one row a range
+    return parts_n.join(F.broadcast(before), "_part").withColumn(name, F.col("_n") - 1 + F.col("_before")).drop("_part", "_n", "_before")
 
 
 def column_texts(spark: SparkSession, annotation: Annotation) -> DataFrame:

@@ -19,6 +19,7 @@ from lattica.operators import vocabulary as V
 from lattica.plans import tasks as K
 from lattica.sources import tables as R
 from lattica.sources.annotation import SType
+from lattica.sources.database import written as keep
 from lattica.sources.testdb import TASKS, annotation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -503,17 +504,8 @@ def rank_shard(spark, sf_dir):
 
 
 def _context(spark, sf_dir):
-    import uuid
-
-    from lattica.sources.database import folder
-
     d = db(spark, sf_dir)
-
-    def written(df):
-        path = f"{folder(spark)}/lattica/walk-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    written = lambda df: keep(df, "walk")
     config = M.SamplerConfig(sequence_length=64, bfs_child_width=4, max_rows_per_seq=12)
     seeds = d.rows("supplier").select(F.col("s_suppkey").alias("seq"), "row_id", F.lit(899251200000000).alias("obs"))
     widths = [(d.offsets[t.name], sum(c.stype != SType.IGNORED for c in t.columns.values())) for t in d.annotation.tables.values()]

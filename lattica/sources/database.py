@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,14 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: what follows reads the same rows however often it is computed."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/lattica/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file through Hadoop's file systems."""
     jvm = spark.sparkContext._jvm

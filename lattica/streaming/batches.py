@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import queue
 import threading
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import sampling as M
-from lattica.operators.split import assigned, sharded
+from lattica.operators.split import assigned, positioned, sharded
 from lattica.sources.annotation import SType, stype_of
-from lattica.sources.database import Database, folder
+from lattica.sources.database import Database, written
 
 SPLITS = ("train", "val", "test")
 
@@ -70,17 +69,15 @@ class Sampler:
         self._seeds = self._written(seeds)
         sizes = self._seeds.groupBy("split", "task_idx").agg(F.count("*").alias("n")).collect()
         self._sizes = {s: {r.task_idx: r.n for r in sizes if r.split == s} for s in SPLITS}
-        order = F.row_number().over(M.Window.partitionBy("task_idx", "split").orderBy("seed_idx")) - 1
-        self._numbered = self._written(self._seeds.withColumn("k", order))
+        self._numbered = self._written(positioned(self._seeds).withColumnRenamed("position", "k"))
         self._edges, self._times, self._cells = db.edges, self._written(db.times), db.cells
         self._stop = threading.Event()
         self._queues: dict[str, queue.Queue] = {}
         self._threads: list[threading.Thread] = []
 
-    def _written(self, df: DataFrame) -> DataFrame:
-        path = f"{folder(self.db.spark)}/lattica/batches-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.db.spark.read.schema(df.schema).parquet(path)
+    @staticmethod
+    def _written(df: DataFrame) -> DataFrame:
+        return written(df, "batches")
 
     def sequences(self, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(walked, cells) of seeds (seq, row_id, obs)."""
