@@ -17,18 +17,16 @@ from lattica.llm.shared import sized, written
 LEAST_WORDS, NEAR_WORDS = 4, 10
 
 
-def normal(line: Column) -> Column:
-    """A line in lower case, its words parted by one space; spaces, tabs, returns, form feeds and vertical tabs part words."""
-    x = F.lower(line)
-    for c in "\t\r\f\x0b":
-        x = F.replace(x, F.lit(c), F.lit(" "))
-    return F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))
+def normal(text: Column) -> Column:
+    """A text in lower case, its words parted by one space or a line's end; tabs, returns, form feeds and vertical tabs are spaces."""
+    return F.regexp_replace(F.lower(text), r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, line, n): every line of LEAST_WORDS or more, normalised; th tells rows of one doc_id apart."""
-    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.filter(F.octet_length("line") >= 2 * LEAST_WORDS - 1).withColumn("line", normal(F.col("line")))
+    # the text is normalised before it is parted, where it is read once: a filter would repeat what it looks at
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("pos", "line"))
+    rows = rows.filter(F.octet_length("line") >= 2 * LEAST_WORDS - 1).withColumn("line", F.trim("line"))
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     return rows.withColumn("n", spaces + 1).filter(F.col("n") >= LEAST_WORDS)
 
@@ -51,15 +49,15 @@ def _halves(line: Column, n: Column) -> Column:
 
 
 def _neighbourhood(w: Column) -> Column:
-    """(k, i, cut) of every variant: cut ones lack word i, the others have a gap before word i; k hashes length, place and both sides."""
+    """Hashes of every variant, of its length, its place and both sides: first without word 1 to n, then with a gap before word 1 to n + 1."""
     n = F.size(w)
     chain = lambda x: F.aggregate(x, F.array(F.lit(42).cast("long")), lambda acc, y: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), y))))
     both = F.struct(chain(w).alias("p"), chain(F.reverse(w)).alias("s"))
 
     def keys(b: Column) -> Column:
         key = lambda size, i, left: F.xxhash64(size, i, F.element_at(b["p"], i), F.element_at(b["s"], left + 1))
-        cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(key(n - 1, i, n - i).alias("k"), i.alias("i"), F.lit(True).alias("cut")))
-        gap = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.struct(key(n, i, n - i + 1).alias("k"), i.alias("i"), F.lit(False).alias("cut")))
+        cut = F.transform(F.sequence(F.lit(1), n), lambda i: key(n - 1, i, n - i))
+        gap = F.transform(F.sequence(F.lit(1), n + 1), lambda i: key(n, i, n - i + 1))
         return F.concat(cut, gap)
 
     return F.flatten(F.transform(F.array(both), keys))  # the chains are computed once
@@ -73,11 +71,14 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     within = written(found.select(F.col("first.doc_id").alias("doc_id")).distinct(), "within")
     own = _lines(docs.select("doc_id", "text").join(sized(within), "doc_id", "left_semi")).filter(F.col("n") >= NEAR_WORDS)
     own = own.select(*_hashes(F.col("line")), F.struct("doc_id", "pos", "th").alias("first"), F.split("line", " ").alias("w"))
-    texts = written(own.join(sized(found), ["h1", "h2", "first"], "left_semi").dropDuplicates(["h1", "h2"]), "texts")
-    keys = texts.select("h1", "h2", "first", F.explode(_neighbourhood(F.col("w"))).alias("v")).select("h1", "h2", "first", "v.*")
+    texts = own.join(sized(found), ["h1", "h2", "first"], "left_semi").dropDuplicates(["h1", "h2"])
+    texts = written(texts.withColumn("keys", _neighbourhood(F.col("w"))), "texts")
     # most keys stand alone; only those that do not go on with what they belong to
-    shared = written(keys.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k"), "shared")
-    keys = written(keys.join(sized(shared), "k", "left_semi"), "keys")
+    shared = texts.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("c"))
+    shared = written(shared.filter("c > 1").select("k"), "shared")
+    keys = texts.select("h1", "h2", "first", F.size("w").alias("n"), F.posexplode("keys").alias("at", "k")).join(sized(shared), "k", "left_semi")
+    keys = keys.withColumn("cut", F.col("at") < F.col("n")).withColumn("i", F.when(F.col("cut"), F.col("at") + 1).otherwise(F.col("at") - F.col("n") + 1))
+    keys = written(keys.select("k", "h1", "h2", "first", "i", "cut"), "keys")
     lead = keys.groupBy("k").agg(F.min(F.struct("first", "h1", "h2", "cut")).alias("lead"))
     hits = keys.join(lead, "k").filter("first > lead.first")
     hits = hits.select("h1", "h2", "i", "cut", F.col("lead.h1").alias("e1"), F.col("lead.h2").alias("e2"), F.col("lead.cut").alias("ecut")).dropDuplicates(["h1", "h2", "e1", "e2"])
@@ -113,7 +114,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     texts = docs.join(sized(gone), (docs.doc_id == F.col("_doc_id")) & (F.xxhash64(docs.text) == F.col("_th")), "left")
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    joined = F.transform(F.array(parts), lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n"))[0]  # parted once
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(joined)
     ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(ends + 1)
     own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
