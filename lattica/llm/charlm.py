@@ -203,17 +203,22 @@ class Scorer:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, coefficients with the intercept last) of a logistic regression by Newton steps on standardised columns."""
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3, steps: int = 50, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, coefficients with the intercept last) of a logistic regression by Newton steps on standardised columns.
+
+    Each row counts as often as times says, once where it is None.
+    """
+    times = np.ones(len(x)) if times is None else times
+    mean = np.average(x, 0, times)
+    scale = np.maximum(np.average((x - mean) ** 2, 0, times) ** 0.5, 1e-9)
     z = np.column_stack(((x - mean) / scale, np.ones(len(x))))
     b = np.zeros(z.shape[1])
-    ridge = weight * len(x) * np.eye(len(b))
+    ridge = weight * times.sum() * np.eye(len(b))
     ridge[-1, -1] = 1e-9
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        g = z.T @ (p - y) + ridge @ b
-        d = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, g)
+        g = z.T @ (times * (p - y)) + ridge @ b
+        d = np.linalg.solve((z * (times * (p * (1 - p) + 1e-9))[:, None]).T @ z + ridge, g)
         b -= d
         if np.abs(d).max() < 1e-8:
             break

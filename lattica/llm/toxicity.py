@@ -4,7 +4,8 @@ Two character models of words, of toxic and of ordinary text, interpolate their
 distribution whose counts come from all documents; an expression that neither class has seen enough of falls back to
 it in both and so says nothing. A text's length-normalised log-likelihoods under the two are compared, over the whole
 text and over its single words, and a logistic function fitted on texts that the models have not seen turns the
-comparison into a probability.
+comparison into a probability. Where a label has more texts than are sampled of it, each stands for as many as it was
+drawn from, so that the probability's prior is the labels' own at every size.
 """
 
 from __future__ import annotations
@@ -33,11 +34,16 @@ def fold(doc_id: str = "doc_id"):
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, calibration): at most 4 * SAMPLE labelled texts outside of the held-out fold."""
+    """(text, toxic, calibration, times): at most 4 * SAMPLE labelled texts outside of the held-out fold.
+
+    times is how many labels of its kind and part a sampled one stands for: all of them by those sampled, so 1 below the cap.
+    """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("f", fold()).filter(F.col("f") != HELD_OUT).withColumn("calibration", F.col("f") == CALIBRATION)
     order = Window.partitionBy("toxic", "calibration").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE).select("doc_id", "toxic", "calibration")
+    times = known.groupBy("toxic", "calibration").agg((F.count("*") / F.least(F.count("*"), F.lit(SAMPLE))).alias("times"))
+    ids = ids.join(F.broadcast(times), ["toxic", "calibration"])
     return docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
 
 
@@ -121,7 +127,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) ->
         model = Model(texts, fit.toxic.to_numpy(), 2, ORDER, shared_tables(backoff_counts(docs), texts))
         # without calibration texts of both labels the models' own texts must do
         cal = cal if cal.toxic.nunique() == 2 else fit
-        curve = logistic(features(cal.text.tolist(), Scorer(model)), cal.toxic.to_numpy(float), 1e-4)
+        curve = logistic(features(cal.text.tolist(), Scorer(model)), cal.toxic.to_numpy(float), 1e-4, times=cal.times.to_numpy(float))
         tables = spark.sparkContext.broadcast((model, curve))
 
     kept = ["doc_id", *(c for c in keep if c != "doc_id")]

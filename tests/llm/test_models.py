@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lattica.llm.charlm import Model, Scorer, Words
+from lattica.llm.charlm import Model, Scorer, Words, logistic
 from lattica.llm.langid import languages
 from lattica.llm.toxicity import toxicity
 
@@ -55,6 +55,24 @@ def test_toxicity_without_labels(spark):
     assert toxicity(df.filter("false"), none).count() == 0
 
 
+def test_toxicity_prior_does_not_move_with_the_sample(spark, monkeypatch):
+    # labels that texts say nothing of, one in ten toxic: the score is the prior, also where both labels are capped
+    rng = random.Random(2)
+    rows = [(i, text(rng, "aa", rng.randrange(5, 20)), int(rng.random() < 0.1)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr("lattica.llm.toxicity.SAMPLE", 60)
+    out = toxicity(df.drop("toxic"), df.select("doc_id", "toxic")).collect()
+    assert abs(np.mean([r.score for r in out]) - 0.1) < 0.07 and np.mean([r.predicted for r in out]) < 0.1
+
+
+def test_logistic_counts_rows_by_their_times():
+    rng = np.random.default_rng(0)
+    x, times = rng.standard_normal((40, 2)), rng.integers(1, 5, 40)
+    y = (x[:, 0] + rng.standard_normal(40) > 0).astype(float)
+    once, often = logistic(x, y, times=times.astype(float)), logistic(np.repeat(x, times, 0), np.repeat(y, times))
+    assert all(np.allclose(a, b) for a, b in zip(once, often, strict=True))
+
+
 def test_languages(spark):
     rows, _ = make(random.Random(1), 400)
     wrong = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else lang) for i, t, lang in rows]
