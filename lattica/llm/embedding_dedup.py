@@ -1,13 +1,16 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 Every tree splits the vectors of a label again and again at the median of their projections on a random direction; a
-vector close to a split goes to both sides. Directions follow from a node's number, so a tree is only its thresholds,
-fitted on bounded samples of the nodes. Vectors are compared within leaves. A linked pair is counted in the least leaf
+vector close to a split goes to both sides. How close follows from the node's measured spread, so that the chances of
+parting a linked pair stay under a bound down every tree; a node too dense for that stays whole. Directions follow from
+a node's number, so a tree is only its thresholds and margins, fitted on bounded samples of the nodes. Vectors are
+compared within leaves, in blocks where those are large. A linked pair is counted in the least leaf
 that both share and nowhere else; leaves give sums and spanning edges, never lists of pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +26,12 @@ TREES = 12
 LEAF = 512
 #: Vectors of a node from which its thresholds are fitted, and levels fitted at a time.
 SAMPLE, LEVELS = 2000, 6
-#: A vector goes to both sides within so many standard deviations of a just linked pair's difference.
-SPILL = 0.35
+#: A just linked pair shares no leaf of any tree with at most this chance, by the model of _loss.
+MISS = 1e-9
+#: A node is split if no side gets more than this share of it; the levels still to come are counted with sides of USUAL.
+WIDEST, USUAL = 0.85, 0.62
+#: Rows of a node around which its spread is measured, over so large shares of the node.
+PROBES, SHARES = 32, (0.1, 0.25, 0.5, 1.0)
 ROUNDS = 8
 #: Stands for the threshold of a node that is not split.
 WHOLE = 1e300
@@ -44,61 +51,101 @@ def _normed(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _margin(least: float, dim: int) -> float:
-    return SPILL * (2 - 2 * least) ** 0.5 / dim**0.5
+_Z = np.linspace(0, 5, 101)
+_WEIGHT = np.exp(-(_Z**2) / 2) / np.exp(-(_Z**2) / 2).sum()
+_erfc = np.vectorize(math.erfc)
 
 
-def _thresholds(unit: np.ndarray, leaf: int, total: int, margin: float) -> list[float]:
-    """A threshold for each node of LEVELS levels, WHOLE where a node stays whole: small enough, or not to be parted."""
-    out = np.full(2**LEVELS - 1, WHOLE)
+def _radii(x: np.ndarray, apart: float) -> np.ndarray:
+    """Distance of the middle of a linked pair from the centre of the nearest rows, of each of SHARES, by probe."""
+    out = []
+    for i in range(0, len(x), max(1, len(x) // PROBES)):
+        order = np.argsort(((x - x[i]) ** 2).sum(1))
+        centres = [x[order[: max(2, round(s * len(x)))]].mean(0) for s in SHARES]
+        out.append([max(((x[i] - c) ** 2).sum() - apart**2 / 4, 0) ** 0.5 for c in centres])
+    return np.array(out)
+
+
+def _loss(margin: float, radii: np.ndarray, apart: float) -> float:
+    """Chance that a node parts a pair at the distance apart; margin counts in deviations of the pair's difference.
+
+    A pair is parted where its difference on the direction exceeds twice the margin and twice its middle's distance
+    from the cut, both normal. The cut lies where most rows are: within a group of half of them always, within a
+    smaller one as often as its share. The worst of all probes and shares counts.
+    """
+    most = 0.0
+    for k, share in enumerate(SHARES):
+        width = 2 * radii[:, k].min() / apart
+        most = max(most, min(1.0, 2 * share) * float(_WEIGHT @ _erfc((2 * margin + width * _Z) / 2**0.5)))
+    return most
+
+
+def _thresholds(unit: np.ndarray, leaf: int, total: int, least: float, spent: float = 0.0) -> np.ndarray:
+    """(cut, margin, chances of parting spent so far) of each node of LEVELS levels.
+
+    WHOLE where a node stays whole: small enough, or not to be parted within what is left of the chances.
+    """
+    out = np.full((2**LEVELS - 1, 3), WHOLE)
     share = total / len(unit)
-    way, rows = _directions(leaf, unit.shape[1]), {0: np.arange(len(unit))}
+    apart = (2 - 2 * least) ** 0.5
+    way, rows = _directions(leaf, unit.shape[1]), {0: (np.arange(len(unit)), spent)}
     for node in range(len(out)):
-        r = rows.pop(node, None)
+        r, used = rows.pop(node, (None, 0.0))
         if r is None or len(r) * share <= LEAF or len(r) < 16:
             continue
         p = unit[r] @ way[node]
         cut = float(np.median(p))
+        # what is left is dealt evenly over the levels to come
+        may = (MISS ** (1 / TREES) - used) / (1 + math.log(len(r) * share / LEAF) / -math.log(USUAL))
+        radii = _radii(unit[r], apart)
+        small, large = 0.0, 4.0
+        for _ in range(12):
+            half = (small + large) / 2
+            small, large = (small, half) if _loss(half, radii, apart) <= may else (half, large)
+        margin = large * apart / unit.shape[1] ** 0.5
         low, high = r[p < cut + margin], r[p >= cut - margin]
-        if max(len(low), len(high)) > 0.85 * len(r):
+        lost = _loss(large, radii, apart)
+        if max(len(low), len(high)) > WIDEST * len(r) or lost > may:
             continue
-        out[node] = cut
-        rows[2 * node + 1], rows[2 * node + 2] = low, high
-    return out.tolist()
+        out[node] = cut, margin, used + lost
+        rows[2 * node + 1], rows[2 * node + 2] = (low, used + lost), (high, used + lost)
+    return out
 
 
-def _descend(unit: np.ndarray, leaf: int, cuts: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+def _descend(unit: np.ndarray, leaf: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, node it ends in), some rows several times."""
     way, at = _directions(leaf, unit.shape[1]), {0: np.arange(len(unit))}
     rows, ends = [], []
     while at:
         node, r = at.popitem()
-        if node >= len(cuts) or cuts[node] == WHOLE:
+        if node >= len(cuts) or cuts[node, 0] == WHOLE:
             rows.append(r)
             ends.append(np.full(len(r), node))
             continue
         p = unit[r] @ way[node]
-        for child, go in ((2 * node + 1, p < cuts[node] + margin), (2 * node + 2, p >= cuts[node] - margin)):
+        cut, margin, _ = cuts[node]
+        for child, go in ((2 * node + 1, p < cut + margin), (2 * node + 2, p >= cut - margin)):
             if go.any():
                 at[child] = r[go]
     return np.concatenate(rows), np.concatenate(ends)
 
 
 def forest(classes: DataFrame, least: float) -> DataFrame:
-    """(rep, copies, embedding, leaf) of classes (rep, label, copies, embedding): every leaf that a class is in."""
+    """(rep, copies, embedding, leaf, spent) of classes (rep, label, copies, embedding): every leaf that a class is in."""
     trees = F.explode(F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda t: F.xxhash64(t, F.col("label"), F.size("embedding")))).alias("leaf")
-    rows = classes.select("rep", "copies", "embedding", trees)
-    schema = rows.schema
+    rows = classes.select("rep", "copies", "embedding", trees, F.lit(0.0).alias("spent"))
+    schema, names = rows.schema, rows.columns
     for _ in range(ROUNDS):
         large = rows.groupBy("leaf").agg(F.count("*").alias("total")).filter(F.col("total") > LEAF)
         order = Window.partitionBy("leaf").orderBy(F.xxhash64("rep", "leaf"), "rep")
         chosen = rows.join(large.select("leaf"), "leaf", "left_semi").select("leaf", "rep").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE)
-        sample = rows.join(chosen.select("leaf", "rep"), ["leaf", "rep"], "left_semi").select("leaf", "rep", "embedding").join(large, "leaf")
+        sample = rows.join(chosen.select("leaf", "rep"), ["leaf", "rep"], "left_semi").select("leaf", "rep", "embedding", "spent").join(large, "leaf")
 
         def fit(group: pd.DataFrame) -> pd.DataFrame:
             x = _normed(np.array(group.sort_values("rep").embedding.tolist(), float))
             leaf = int(group.leaf.iloc[0])
-            return pd.DataFrame({"leaf": [leaf], "cuts": [_thresholds(x, leaf, int(group.total.iloc[0]), _margin(least, x.shape[1]))]})
+            cuts = _thresholds(x, leaf, int(group.total.iloc[0]), least, float(group.spent.iloc[0]))
+            return pd.DataFrame({"leaf": [leaf], "cuts": [cuts.ravel().tolist()]})
 
         fitted = sample.groupBy("leaf").applyInPandas(fit, "leaf long, cuts array<double>")
         fitted = written(fitted.filter("exists(cuts, x -> x < 1e299)"), "cuts")
@@ -113,15 +160,16 @@ def forest(classes: DataFrame, least: float) -> DataFrame:
                     cuts = part.column("cuts")[0].as_py()
                     kept = part.select(["rep", "copies", "embedding"])
                     if cuts is None:
-                        yield pa.RecordBatch.from_arrays([*kept.columns, part.column("leaf")], ["rep", "copies", "embedding", "leaf"])
+                        yield pa.RecordBatch.from_arrays([*kept.columns, part.column("leaf"), part.column("spent")], names)
                         continue
                     unit = _unit(part.column("embedding"))
-                    r, end = _descend(unit, int(leaf), np.array(cuts), _margin(least, unit.shape[1]))
+                    cuts = np.array(cuts).reshape(-1, 3)
+                    r, end = _descend(unit, int(leaf), cuts)
                     new = pd.util.hash_array(np.full(len(end), leaf, np.int64), categorize=False) ^ pd.util.hash_array(end + 1, categorize=False)
                     kept = kept.take(pa.array(r))
-                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(new.view(np.int64))], ["rep", "copies", "embedding", "leaf"])
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(new.view(np.int64)), pa.array(cuts[(end - 1) // 2, 2])], names)
 
-        moved = rows.join(fitted, "leaf", "left").select("rep", "copies", "embedding", "leaf", "cuts").mapInArrow(move, schema)
+        moved = rows.join(fitted, "leaf", "left").select("rep", "copies", "embedding", "leaf", "spent", "cuts").mapInArrow(move, schema)
         rows = written(moved, "leaves")
     return rows
 
@@ -180,8 +228,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     equal vectors included, component_id is the smallest vec_id that links reach. Vectors that are null, empty or zero,
     hold a null or non-finite component, have no label or no vec_id are linked with nothing. Vectors of different
     lengths are never linked. Rows that repeat a vec_id are vectors of their own. Other columns are ignored. Links below
-    it are never made; the forest misses a pair just at the threshold in about one of a thousand million cases where a
-    label has thousands of vectors, and in one of a few thousand where it has thousands of millions.
+    it are never made; the forest is built to miss a pair just at the threshold with a chance of at most MISS, by a model of
+    normal projections on samples of the nodes; groups too dense for it are compared as wholes.
     """
     small_batches(vectors.sparkSession)
     table = vectors.select("vec_id", "embedding", "label")

@@ -126,6 +126,20 @@ def brute_vectors(rows, least):
     return links, roots(links, pairs)
 
 
+def test_dense_embeddings(spark, monkeypatch):
+    # one group around one centre, in which cuts part many linked pairs, and spread vectors with near copies
+    monkeypatch.setattr(E, "LEAF", 64)
+    rng = np.random.default_rng(4)
+    dense = rng.standard_normal(32) / 32**0.5 * 0.93**0.5 + rng.standard_normal((1500, 32)) * (0.07 / 32) ** 0.5
+    wide = rng.standard_normal((500, 32))
+    x = np.concatenate([dense, wide, wide + rng.standard_normal((500, 32)) * 0.37])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in E.near_vectors(df).collect()}
+    assert got == dict(enumerate((near.sum(1) - 1).tolist())) and near[:1500].sum() > 500_000
+
+
 @pytest.mark.parametrize("leaf", [16, 512])
 def test_embeddings(spark, monkeypatch, leaf):
     monkeypatch.setattr(E, "LEAF", leaf)
