@@ -2,8 +2,9 @@
 
 Tokens (tags and words, told apart by the path of containers they stand in) whose occurrence vectors over a host's
 sample pages are equal form an equivalence class. Classes that are large, frequent and in one order on every page are
-valid; nested by their spans they are the host's template. A page's text is what fills the template's slots: blocks
-made of template words alone are dropped, and of the slots those in the container of the article are kept.
+valid, and their words are the host's template; classes are not nested and slots are not told apart. Tags and names
+choose the article: elements beside it are left out, <article> and <main> are kept, and where a host has neither, the
+path with most text is. Of that, blocks made of template words alone are dropped.
 """
 
 from __future__ import annotations
