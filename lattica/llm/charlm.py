@@ -1,7 +1,7 @@
-"""Interpolated Kneser-Ney character models of words, vectorised.
+"""Interpolated Kneser-Ney character models of words: counted and discounted in Spark, applied vectorised.
 
 Text is read as words, runs of letters in lower case, each between two boundary marks; an n-gram stands inside one word
-with its marks. N-grams are 64-bit hashes in one sorted array a model; for each, one column a class of discounted
+with its marks. N-grams are 64-bit hashes in one sorted array an order; for each, one column a class of discounted
 probabilities and backoff weights. A model is as large as the bounded sample that it is fitted on.
 """
 
@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from lattica.llm.shared import MULTIPLIER, mixed, run_hashes
+from lattica.llm.shared import MULTIPLIER, mixed, run_hashes, sized, written
 
 CHARS = 2_000_000
 #: The rest of a distribution below unigrams: so many characters are thought possible.
@@ -119,39 +122,88 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield at, texts[at:]
 
 
-class Model:
-    """log-probabilities of words under each class, fitted on a bounded sample of texts with the number of their class.
+def sampled_share(known: DataFrame, by: list[str], most: Column) -> DataFrame:
+    """Rows of known (doc_id and the columns of by) whose hash of doc_id is in a share that gives about `most` rows a group, and times, that share's inverse.
+
+    A share, not a ranking: no group is sorted or gathered in one place however many rows it has. All rows of smaller groups stay.
+    """
+    sizes = known.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("times", F.greatest(F.col("_n") / most, F.lit(1.0)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return known.join(sized(written(sizes, "sizes")), by).filter(place * F.col("times") < 1).drop("_n")
 
-    shared, of the first orders, replaces the classes' own lower distributions by one that all of them back off to:
-    for each order (hash, context, counts) and (contexts, their totals, their numbers of different continuations).
+
+def gram_counts(texts: DataFrame, order: int) -> DataFrame:
+    """(k, h, ctx, low, class, n): how often each n-gram of up to order characters stands in the texts (text, class) of a class.
+
+    h is the n-gram's hash, ctx that of all but its last character, low that of all but its first.
     """
 
-    def __init__(self, texts: list[str | None], labels: np.ndarray, classes: int, order: int, shared: list[tuple] | None = None):
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = batch.column("class").to_numpy()
+            for at, part in chunks(batch.column("text").to_pylist()):
+                w, own = Words(part), classes[at : at + len(part)]
+                s = w.spelled()
+                for c in np.unique(own):
+                    counts = w.counts(own == c)
+                    for k in range(1, order + 1):
+                        h, ctx, low, n = s.keyed(k, counts)
+                        grams = [x[n > 0].view(np.int64) for x in (h, ctx, low, n)]
+                        fixed = [pa.array(np.full(len(grams[0]), x, np.int32)) for x in (k, c)]
+                        yield pa.RecordBatch.from_arrays([fixed[0], *map(pa.array, grams[:3]), fixed[1], pa.array(grams[3])], ["k", "h", "ctx", "low", "class", "n"])
+
+    rows = texts.select("text", F.col("class").cast("int").alias("class")).mapInArrow(gather, "k int, h long, ctx long, low long, class int, n long")
+    return rows.groupBy("k", "h", "ctx", "low", "class").agg(F.sum("n").alias("n"))
+
+
+def fitted(texts: DataFrame, classes: int, order: int, shared: DataFrame | None = None, shared_order: int = 0) -> Model:
+    """The model of texts (text, class from 0), a bounded sample; only its discounted tables come to the driver.
+
+    shared (k, h, ctx, n), of the first shared_order orders, replaces the classes' own lower distributions by one that
+    all of them back off to. Of it the model holds what the texts have n-grams or contexts of: an n-gram that no class
+    has seen has the same shared part in all, so leaving out the rest changes no comparison.
+    """
+    counts = written(gram_counts(texts, order), "grams")
+    # continuation: distinct characters before it; what begins with a mark keeps its own count
+    before = counts.groupBy((F.col("k") - 1).alias("k"), F.col("low").alias("h"), "class").agg(F.count("*").alias("c"))
+    own = counts.filter(F.col("k") > shared_order).join(before, ["k", "h", "class"], "left").select("k", "h", "ctx", "class", F.coalesce("c", "n").alias("n"))
+    heads = own.groupBy("k", "ctx", "class").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    if shared is not None:
+        seen = counts.filter(F.col("k") <= shared_order).select("k", "h").distinct()
+        contexts = counts.filter(F.col("k") < shared_order).select((F.col("k") + 1).alias("k"), F.col("h").alias("ctx")).distinct()
+        contexts = contexts.unionAll(texts.sparkSession.createDataFrame([(1, 0)], "k int, ctx long"))
+        own = own.unionByName(shared.join(seen, ["k", "h"], "left_semi").select("k", "h", "ctx", F.lit(-1).alias("class"), "n"))
+        among = shared.join(contexts, ["k", "ctx"], "left_semi").groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        heads = heads.unionByName(among.select("k", "ctx", F.lit(-1).alias("class"), "total", "kinds"))
+    heads = written(heads, "heads")
+    p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")).cast("float").alias("v")
+    grams = own.join(heads, ["k", "ctx", "class"]).select("k", F.col("h").alias("h"), "class", p)
+    backoff = heads.select("k", F.col("ctx").alias("h"), "class", (F.lit(DISCOUNT) * F.col("kinds") / F.col("total")).cast("float").alias("v"))
+    return Model(grams.toArrow(), backoff.toArrow(), classes, order)
+
+
+class Model:
+    """log-probabilities of words under each class from tables (k, h, class, v): of n-grams with their discounted
+    probabilities, and of contexts with their backoff weights. Class -1 stands for all classes."""
+
+    def __init__(self, grams: pa.Table, backoff: pa.Table, classes: int, order: int):
         self.classes, self.order = classes, order
-        parts = []
-        for at, part in chunks(texts):
-            w = Words(part)
-            own = labels[at : at + len(part)]
-            parts.append((w.spelled(), np.stack([w.counts(own == c) for c in range(classes)], 1)))
-        raw = [summed(*map(np.concatenate, zip(*(w.keyed(k, c) for w, c in parts), strict=True))) for k in range(1, order + 1)]
-        self.tables = []
-        for k, (h, ctx, _, v) in enumerate(raw, 1):
-            v = v.astype(float)
-            if k < order:
-                # continuation: distinct characters before it; what begins with a mark keeps its own count
-                up, n = summed(raw[k][2], (raw[k][3] > 0).astype(float))
-                at = np.minimum(np.searchsorted(up, h), len(up) - 1)
-                hit = up[at] == h
-                v[hit] = n[at[hit]]
-            if shared and k <= len(shared):
-                (h, ctx, v), (heads, total, kinds) = shared[k - 1]
-                v, total, kinds = (np.repeat(x.astype(float)[:, None], classes, axis=1) for x in (v, total, kinds))
-            else:
-                heads, total = summed(ctx, v)
-                kinds = summed(ctx, (v > 0).astype(float))[1]
-            p = np.maximum(v - DISCOUNT, 0) / np.maximum(total[np.minimum(np.searchsorted(heads, ctx), len(heads) - 1)], 1)
-            backoff = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            self.tables.append((h, p.astype(np.float32), heads, backoff.astype(np.float32)))
+        made = [self._by_order(t, empty) for t, empty in ((grams, 0.0), (backoff, 1.0))]
+        self.tables = [(*g, *b) for g, b in zip(*made, strict=True)]
+
+    def _by_order(self, table: pa.Table, empty: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each order the sorted hashes and a column of values a class; what a class has not seen is empty."""
+        k, h, c, v = (table.column(x).to_numpy() for x in ("k", "h", "class", "v"))
+        out = []
+        for i in range(1, self.order + 1):
+            at = np.flatnonzero(k == i)
+            keys, row = np.unique(h[at].view(np.uint64), return_inverse=True)
+            values = np.full((len(keys), self.classes), empty, np.float32)
+            own = c[at] >= 0
+            values[row[own], c[at][own]] = v[at][own]
+            values[row[~own]] = v[at][~own, None]
+            out.append((keys, values))
+        return out
 
     def scores(self, w: Spelled) -> np.ndarray:
         """log P of each word, marks included but for the first, one column a class."""

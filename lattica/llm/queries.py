@@ -7,7 +7,7 @@ from lattica.llm.embedding_dedup import op3_embedding_dedup
 from lattica.llm.html_extract import op7_html_extract
 from lattica.llm.langid import op10_language_id
 from lattica.llm.line_dedup import OP6_SQL, op6_line_dedup
-from lattica.llm.minhash_dedup import op8_minhash_dedup
+from lattica.llm.minhash_dedup import OP8_SQL, op8_minhash_dedup
 from lattica.llm.packing import op5_packing
 from lattica.llm.toxicity import op1_toxicity
 from lattica.llm.url_filter import OP2_SQL, op2_url_filter
@@ -29,4 +29,5 @@ QUERIES = {
 SQL = {
     "op2_url_filter": OP2_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op8_minhash_dedup": OP8_SQL,
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,14 +16,9 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine) a temporary folder."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a folder of the warehouse, which executors share as well."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = getattr(spark, "_lattica_dir", None)
-        if at is None:
-            at = tempfile.mkdtemp(prefix="lattica-")
-            spark._lattica_dir = at
-    return at.rstrip("/")
+    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16_000_000) -> None:
@@ -40,7 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing is going to read again."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t._lattica_path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -141,30 +145,44 @@ def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Rounds in which nodes choose the least neighbour; from then on the order is another one each round.
+PLAIN_ROUNDS = 2
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b) of any integer type; nodes without edges are absent.
 
-    Alternating large-star and small-star steps; each moves every edge towards its node's smallest neighbour, only
+    Each round every node joins the first of its neighbours and itself in some order, and edges go on between what they
+    have joined, until none is left; then the rounds' choices are followed one after another. Stars with a small centre
+    end in one round; later rounds change the order by a bijective hash, so that a path too halves again and again. Only
     minima and edges are shuffled, and no node's neighbours are gathered in one place. Null ends and loops are ignored.
     """
-    e = written(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges"
-    )
-    while True:
+    kind = edges.schema["a"].dataType.simpleString()
+    a, b = (F.col(c).cast("long") for c in "ab")
+    e = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct(), "edges")
+    rounds = []
+    while not e.isEmpty():
+        k = len(rounds)
+        place = (lambda c, k=k: F.xxhash64(F.lit(k), F.col(c))) if k >= PLAIN_ROUNDS else F.col  # a bijection of 64 bits
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        )
-        large = written(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = written(small.filter("a > b").distinct(), "small")
-        # done once each node has one parent and no parent has one of its own
-        more = e.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-        deep = e.join(e.select(F.col("a").alias("p")), F.col("b") == F.col("p"), "left_semi").select("a")
-        if more.unionAll(deep).isEmpty():
-            break
-    roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
+        joined = both.groupBy("a").agg(F.min(place("b")).alias("m")).select(F.col("a").alias("node"), F.least(place("a"), "m").alias("to"))
+        joined = written(joined, "joined")
+        end = lambda c, t=joined: t.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
+        new = e.join(end("a"), "a").join(end("b"), "b").select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b"))
+        new = written(new.filter("a > b").distinct(), "edges")
+        forget(e)
+        e = new
+        rounds.append((joined, place))
+    forget(e)
+    if not rounds:
+        return edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
+    out = rounds[0][0]
+    for joined, place in rounds[1:]:
+        step = joined.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        out = out.join(step, "to", "left").select("node", F.coalesce("next", place("to")).alias("to"))
+    if len(rounds) > PLAIN_ROUNDS:
+        out = written(out, "ends")
+        out = out.join(out.groupBy("to").agg(F.min("node").alias("root")), "to")
+    else:
+        out = out.withColumnRenamed("to", "root")
+    return out.select(F.col("node").cast(kind).alias("node"), F.col("root").cast(kind).alias("root"))

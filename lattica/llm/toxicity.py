@@ -14,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.charlm import Model, Scorer, Words, chunks, logistic, probability, summed
-from lattica.llm.shared import small_batches, written
+from lattica.llm.charlm import Scorer, Words, chunks, fitted, logistic, probability, sampled_share, summed
+from lattica.llm.shared import sized, small_batches, written
 
 ORDER, SHARED_ORDER = 6, 3
-#: Of each label, so many texts of at most so many characters are used at most for the models and for the calibration;
-#: what is sampled has the least hashes of doc_id.
+#: Of each label, about so many texts of at most so many characters are used at most for the models and for the
+#: calibration: those whose hash of doc_id is in the share that gives so many.
 SAMPLE, SAMPLE_CHARS = 3000, 30_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 #: log-likelihood ratio of a word that counts as a toxic expression.
@@ -34,17 +35,19 @@ def fold(doc_id: str = "doc_id"):
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, calibration, times): at most 4 * SAMPLE labelled texts outside of the held-out fold.
+    """(text, toxic, calibration, times): about 4 * SAMPLE labelled texts at most, outside of the held-out fold.
 
-    times is how many labels of its kind and part a sampled one stands for: all of them by those sampled, so 1 below the cap.
+    times is how many labelled texts of its kind and part a sampled one stands for: 1 below the cap. Of several texts of
+    one doc_id the one with the least hash is used.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("f", fold()).filter(F.col("f") != HELD_OUT).withColumn("calibration", F.col("f") == CALIBRATION)
-    order = Window.partitionBy("toxic", "calibration").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE).select("doc_id", "toxic", "calibration")
-    times = known.groupBy("toxic", "calibration").agg((F.count("*") / F.least(F.count("*"), F.lit(SAMPLE))).alias("times"))
-    ids = ids.join(F.broadcast(times), ["toxic", "calibration"])
-    return docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    known = known.withColumn("f", fold()).filter(F.col("f") != HELD_OUT).select("doc_id", "toxic", (F.col("f") == CALIBRATION).alias("calibration"))
+    texts = docs.filter((F.length("text") <= SAMPLE_CHARS) & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    there = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("th"))
+    known = written(known.join(there, "doc_id"), "known")
+    ids = sampled_share(known, ["toxic", "calibration"], F.lit(SAMPLE))
+    rows = texts.withColumn("th", F.xxhash64("text")).join(sized(written(ids, "ids")), ["doc_id", "th"])
+    return rows.dropDuplicates(["doc_id"]).drop("th")
 
 
 def backoff_counts(docs: DataFrame, order: int = SHARED_ORDER) -> DataFrame:
@@ -69,30 +72,6 @@ def backoff_counts(docs: DataFrame, order: int = SHARED_ORDER) -> DataFrame:
     return written(rows.join(before, ["k", "h"], "left").select("k", "h", "ctx", F.coalesce("c", "n").alias("n")), "backoff")
 
 
-def shared_tables(counts: DataFrame, texts: list[str | None], order: int = SHARED_ORDER) -> list[tuple]:
-    """What a model fitted on texts needs of counts: its own n-grams and contexts, as bounded as the texts.
-
-    Leaving out the rest changes no comparison: an n-gram that no class has seen has the same shared part in both.
-    """
-    own = [np.zeros(1, np.uint64)]
-    for k in range(1, order + 1):
-        own.append(np.unique(np.concatenate([Words(part).spelled().keyed(k, np.ones(Words(part).n))[0] for _, part in chunks(texts)] or [np.zeros(0, np.uint64)])))
-    spark = counts.sparkSession
-    frame = lambda name, x: spark.createDataFrame(pa.table({"k": pa.array(np.repeat(np.arange(len(x)), list(map(len, x))), pa.int32()), name: pa.array(np.concatenate(x).view(np.int64))}))
-    mine = frame("h", [np.zeros(0, np.uint64), *own[1:]])
-    heads = frame("ctx", [np.zeros(0, np.uint64), *own[:-1]])
-    grams = counts.join(F.broadcast(mine), ["k", "h"], "left_semi").toPandas()
-    totals = counts.join(F.broadcast(heads), ["k", "ctx"], "left_semi").groupBy("k", "ctx").agg(F.sum("n").alias("n"), F.count("*").alias("c")).toPandas()
-    out = []
-    for k in range(1, order + 1):
-        g, t = grams[grams.k == k], totals[totals.k == k]
-        gh, th = (x.to_numpy(np.int64).view(np.uint64) for x in (g.h, t.ctx))
-        go, to = np.argsort(gh), np.argsort(th)
-        gctx = g.ctx.to_numpy(np.int64).view(np.uint64)
-        out.append(((gh[go], gctx[go], g.n.to_numpy(float)[go]), (th[to], t.n.to_numpy(float)[to], t.c.to_numpy(float)[to])))
-    return out
-
-
 def features(texts: list[str | None], scorer: Scorer) -> np.ndarray:
     """One row a text: the mean over its words of the log-likelihood ratio, the highest of one word by character and by
     word, the number and the share of words that are strongly toxic, and the number of words as a logarithm."""
@@ -109,6 +88,19 @@ def features(texts: list[str | None], scorer: Scorer) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _featured(rows: DataFrame, model: Broadcast) -> DataFrame:
+    """(toxic, times, x): the features of each of rows (text, toxic, times)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for batch in batches:
+            if len(batch):
+                x = features(batch.column("text").to_pylist(), scorer)
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("times"), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "times", "x"])
+
+    return rows.select("toxic", "times", "text").mapInArrow(run, "toxic int, times double, x array<double>")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named by keep, held_out, score and predicted (1 where score >= 0.5) for every row of docs (doc_id, text).
 
@@ -119,26 +111,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) ->
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    rows = sampled(docs, labels).toPandas().sort_values("doc_id")
-    fit, cal = rows[~rows.calibration], rows[rows.calibration]
+    rows = written(sampled(docs, labels), "sample")
+    counts = {(r.toxic, r.calibration) for r in rows.select("toxic", "calibration").distinct().collect()}
     tables = None
-    if fit.toxic.nunique() == 2:
-        texts = fit.text.tolist()
-        model = Model(texts, fit.toxic.to_numpy(), 2, ORDER, shared_tables(backoff_counts(docs), texts))
+    if {(0, False), (1, False)} <= counts:
+        fit = rows.filter("not calibration")
+        model = spark.sparkContext.broadcast(fitted(fit.select("text", F.col("toxic").alias("class")), 2, ORDER, backoff_counts(docs), SHARED_ORDER))
         # without calibration texts of both labels the models' own texts must do
-        cal = cal if cal.toxic.nunique() == 2 else fit
-        curve = logistic(features(cal.text.tolist(), Scorer(model)), cal.toxic.to_numpy(float), 1e-4, times=cal.times.to_numpy(float))
-        tables = spark.sparkContext.broadcast((model, curve))
+        cal = rows.filter("calibration") if {(0, True), (1, True)} <= counts else fit
+        # the order of the rows decides the last digits of the sums
+        x = np.array(sorted((*r.x, r.toxic, r.times) for r in _featured(cal, model).collect()))
+        tables = model, logistic(x[:, :-2], x[:, -2], 1e-4, times=x[:, -1])
 
     kept = ["doc_id", *(c for c in keep if c != "doc_id")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, curve = tables.value if tables else (None, None)
-        scorer = Scorer(model) if tables else None
+        scorer = Scorer(tables[0].value) if tables else None
         for batch in batches:
             if len(batch):
                 texts = batch.column("_text").to_pylist()
-                p = probability(features(texts, scorer), curve) if tables else np.zeros(len(batch))
+                p = probability(features(texts, scorer), tables[1]) if tables else np.zeros(len(batch))
                 own = [batch.column(i) for i in range(len(kept) + 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "held_out", "score", "predicted"])
 

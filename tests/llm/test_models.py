@@ -6,9 +6,9 @@ import zlib
 import numpy as np
 import pytest
 
-from lattica.llm.charlm import Model, Scorer, Words, logistic
+from lattica.llm.charlm import Scorer, Words, fitted, logistic
 from lattica.llm.langid import languages
-from lattica.llm.toxicity import toxicity
+from lattica.llm.toxicity import backoff_counts, toxicity
 
 SYLLABLES = {"aa": ["ka", "ro", "mi", "tes", "lun"], "bb": ["sch", "ein", "tze", "gra", "ub"], "cc": ["ção", "lhe", "nia", "oes", "qui"]}
 
@@ -93,9 +93,8 @@ def test_languages_without_any(spark):
     assert languages(df).first().lang_pred == "und" and languages(df.filter("false")).count() == 0
 
 
-def test_probabilities_add_up():
-    texts = ["abab abc cab", "bca aab"]
-    m = Model(texts, np.array([0, 1]), 2, 3)
+def test_probabilities_add_up(spark):
+    m = fitted(spark.createDataFrame([("abab abc cab", 0), ("bca aab", 1)], "text string, class int"), 2, 3)
     w = Words(["a b c " + " ".join("abc"[i] + "abc"[j] for i in range(3) for j in range(3))])
     p = np.exp(m.scores(w.spelled()))
     assert (p > 0).all() and (p.sum(0) <= 1 + 1e-6).all()
@@ -136,11 +135,65 @@ def plain_model(words, order, discount=0.75, alphabet=5000):
     return prob
 
 
-def test_kneser_ney_against_its_definition():
+def test_kneser_ney_against_its_definition(spark):
     words = ["abab", "abc", "cab", "bca", "aab", "abab"]
-    m = Model([" ".join(words)], np.array([0]), 1, 3)
+    m = fitted(spark.createDataFrame([(" ".join(words), 0)], "text string, class int"), 1, 3)
     prob = plain_model(words, 3)
     for w in ["ab", "abc", "cc", "bx"]:
         s = "^" + w + "^"
         want = sum(np.log(prob(s[:i], s[i])) for i in range(1, len(s)))
         assert m.scores(Words([w]).spelled())[0, 0] == pytest.approx(want, rel=1e-4), w
+
+
+def shared_model(words, all_words, order, shared_order, discount=0.75, alphabet=5000):
+    """As plain_model, but below shared_order with counts of all_words, that few characters before a mark apart."""
+    marked = lambda ws: ["^" + w + "^" for w in ws]
+
+    def table(ws, k, top):
+        out, before = {}, {}
+        for s in marked(ws):
+            for end in range(max(1, k - 1), len(s)):
+                g = (end - k + 1 == 0, s[end - k + 1 : end + 1])
+                out[g] = out.get(g, 0) + 1
+                if end - k >= 0:
+                    before.setdefault(g, set()).add((end - k == 0, s[end - k]))
+        return {g: n if k == top or g not in before else len(before[g]) for g, n in out.items()}
+
+    tables = [table(all_words if k <= shared_order else words, k, shared_order if k <= shared_order else order) for k in range(1, order + 1)]
+
+    def prob(ctx, x):
+        p = 1 / alphabet
+        for k in range(1, min(order, len(ctx) + 1) + 1):
+            head, starts = ctx[len(ctx) - k + 1 :], k > 1 and k - 1 == len(ctx)
+            own = {g: n for g, n in tables[k - 1].items() if g[1][:-1] == head and g[0] == starts}
+            total = sum(own.values())
+            if total:
+                p = max(own.get((starts, head + x), 0) - discount, 0) / total + discount * len(own) / total * p
+        return p
+
+    return prob
+
+
+def test_shared_backoff_against_its_definition(spark):
+    # words drawn at random: of each class the models' own, of all the backoff; scores of words made of seen pieces
+    rng = random.Random(8)
+    make_words = lambda n: ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(n)]
+    own, rest = [make_words(15), make_words(15)], make_words(30)
+    texts = spark.createDataFrame([(" ".join(own[0]), 0), (" ".join(own[1]), 1)], "text string, class int")
+    everything = own[0] + own[1] + rest
+    docs = spark.createDataFrame([(" ".join(own[0]),), (" ".join(own[1]),), (" ".join(rest),)], "text string").repartition(3)
+    m = fitted(texts, 2, 4, backoff_counts(docs, 2), 2)
+    probs = [shared_model(own[c], everything, 4, 2) for c in (0, 1)]
+    for w in own[0] + own[1]:
+        s = "^" + w + "^"
+        got = m.scores(Words([w]).spelled())[0]
+        for c in (0, 1):
+            assert got[c] == pytest.approx(sum(np.log(probs[c](s[:i], s[i])) for i in range(1, len(s))), rel=1e-4), (w, c)
+
+
+def test_repeated_ids_learn_the_same(spark):
+    rows, labels = make(random.Random(6), 300)
+    docs = spark.createDataFrame(rows + [(i, "karo " + t, x) for i, t, x in rows], "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    once, again = ({(r.doc_id, round(r.score, 9)) for r in toxicity(d, known).collect()} for d in (docs.repartition(7), docs.repartition(2, "text")))
+    assert once == again

@@ -66,6 +66,17 @@ def test_repeated_rows(spark):
     assert sorted(tuple(r) for r in M.near_duplicates(df).collect()) == [(1, 2, 1, True), (3, 2, 1, False), (3, 2, 1, False), (3, 2, 3, True)]
 
 
+def test_one_id_for_several_texts(spark):
+    a, b, z = ("a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12", "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10 b11 b12", " z")
+    rows = [(1, a), (1, b), (2, a + z), (3, b + z), (4, "q r s"), (4, "t u v"), (5, "t u v")]
+    for n in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = sorted(tuple(r) for r in M.near_duplicates(df, 2).select("doc_id", "component_id", "kept").collect())
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 4, False)]
+    kept = M.without_near_duplicates(df.withColumn("_gone_id2", F.lit(1)), 2)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(r for r in rows if r[0] in (1, 4)) and kept.columns == ["doc_id", "text", "_gone_id2"]
+
+
 def test_group_larger_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 8)
     rng = random.Random(9)
@@ -106,6 +117,11 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs + [(None, 4), (9999, 9999)], "a long, b long")).collect()}
     assert got == {i: want[i] for p in pairs for i in p if p[0] != p[1]}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # a path in a bad order, many rounds long, and ids of another type
+    order = list(range(200))
+    rng.shuffle(order)
+    path = connected_components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a int, b int"))
+    assert dict(path.dtypes) == {"node": "int", "root": "int"} and {(r.node, r.root) for r in path.collect()} == {(i, 0) for i in range(200)}
 
 
 def brute_vectors(rows, least):
