@@ -1,10 +1,12 @@
-"""Main text of web pages by templates deduced from pages of one host.
+"""Main text of web pages by templates deduced from all pages of one host.
 
-Tokens (tags and words, told apart by the path of containers they stand in) whose occurrence vectors over a host's
-sample pages are equal form an equivalence class. Classes that are large, frequent and in one order on every page are
-valid, and their words are the host's template; classes are not nested and slots are not told apart. Tags and names
-choose the article: elements beside it are left out, <article> and <main> are kept, and where a host has neither, the
-path with most text is. Of that, blocks made of template words alone are dropped.
+Tokens are tags and runs of text, told apart by the path of containers they stand in. Those with equal occurrence
+vectors over a host's pages form an equivalence class; vectors are compared by a hash that is gathered in Spark, so
+every page counts and none is brought together with others. Classes that are large and frequent are valid, and their
+elements nest by their paths into the host's template. The slots between them hold what varies: the template is followed
+from its root into the element that holds most of the varying text, as long as no varying heading is left outside. What
+stands in that element's slots is the article; runs of text that belong to the template are dropped. Names of elements
+and classes (navigation, comments) tell what to leave out inside the slots, and serve alone where a host has no template.
 """
 
 from __future__ import annotations
@@ -12,23 +14,27 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter, defaultdict
+import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import small_batches, written
+from lattica.llm.shared import sized, small_batches, written
 from lattica.llm.url_filter import host_and_path
 
-#: Pages of one host from which its template is deduced, at most; the template then serves all its pages.
-SAMPLE = 32
-#: A valid class has so many tokens and so many different pages.
-LEAST_TOKENS, LEAST_PAGES = 3, 5
-#: Containers that a token's path names.
-DEPTH = 12
+#: A valid class has so many tokens, on so many different pages, which are so large a share of the host's; a run of text
+#: must be on a larger share of them.
+LEAST_TOKENS, LEAST_PAGES, SHARE, TEXT_SHARE = 3, 5, 0.5, 0.8
+#: The template is followed into an element that holds more than this share of the varying text.
+MOST = 0.5
+HEADINGS = frozenset(("h1", "h2"))
+#: Containers that a path names, from the outermost.
+DEPTH = 24
 #: Templates up to so many bytes in all are broadcast; beyond that they are joined by host.
 BROADCAST_BYTES = 32_000_000
 
@@ -45,198 +51,273 @@ BESIDE = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog"
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements inside a block; all others part blocks.
 INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"))
-#: Words of class, id or role that mark what is not part of an article.
+#: Words of class, id or role that mark what is not part of an article, and words that may stand beside one in a compound.
 BESIDE_WORDS = frozenset(("ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"))
+PLAIN_WORDS = frozenset(("area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "field", "form", "global", "group", "header", "icons", "inner", "item", "items", "left", "links", "list", "main", "media", "message", "page", "panel", "post", "posts", "primary", "right", "section", "secondary", "site", "slot", "text", "thread", "title", "top", "wrap", "wrapper"))
 _WORDS = re.compile(r"[a-z]+")
 MAIN = ("article", "main")
 
 
+def _says_beside(names: str) -> bool:
+    """Whether one of some names (of class, id or role) says that an element is not part of an article.
+
+    A compound does only if all its other words are plain: related-posts, but not related-work.
+    """
+    for name in names.lower().split():
+        words = _WORDS.findall(name)
+        if any(w in BESIDE_WORDS for w in words) and all(w in BESIDE_WORDS or w in PLAIN_WORDS for w in words):
+            return True
+    return False
+
+
 class _Block:
-    __slots__ = ("main", "path", "text")
+    __slots__ = ("beside", "main", "path", "text")
 
-    def __init__(self, path: str, main: bool, text: str):
-        self.path, self.main, self.text = path, main, text
+    def __init__(self, path: str, main: bool, beside: bool, text: str):
+        self.path, self.main, self.beside, self.text = path, main, beside, text
 
 
-def blocks_of(page: str, with_tags: bool = False) -> tuple[list[_Block], list[tuple[str, str]]]:
-    """Blocks of text outside of elements beside the article, and (path, tag) of every tag, in page order."""
-    stack: list[tuple[str, bool]] = []  # element, whether it is beside the article
+def parsed(page: str, tags: list[tuple[str, str]] | None = None, names: bool = True) -> list[_Block]:
+    """Blocks of text in page order, but for what is never text; tags gets (path, tag) of every tag.
+
+    A path names the containers that are open, with the first word of their class. beside tells whether names of
+    elements or classes say that a block is not part of an article; without names they are not asked.
+    """
+    stack: list[tuple[str, int, bool, str]] = []  # element, whether it is beside (1) or no text (2), whether it is a container, path
     blocks: list[_Block] = []
-    tags: list[tuple[str, str]] = []
-    parts: list[str] = []
+    parts: tuple[list[str], list[str]] = ([], [])
     open_: Counter[str] = Counter()
-    beside = main = 0
-    at = 0
+    away = [0, 0, 0]
+    main = depth = at = 0
 
-    def path() -> str:
-        """The innermost containers."""
-        return "/".join(x for x, _ in stack[-DEPTH:] if x not in INLINE and x != "p")
+    def put(text: str) -> None:
+        if not away[2]:
+            parts[away[1] > 0].append(text)
 
     def close() -> None:
-        if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            if text:
-                blocks.append(_Block(path(), main > 0, text))
-            parts.clear()
-
-    def pop() -> None:
-        nonlocal beside, main
-        tag, b = stack.pop()
+        for beside in (False, True):
+            if parts[beside]:
+                text = _SPACE.sub(" ", entities.unescape("".join(parts[beside]))).strip()
+                if text:
+                    blocks.append(_Block(stack[-1][3] if stack else "", main > 0, beside, text))
+                parts[beside].clear()
+
+    def remove(k: int) -> None:
+        nonlocal main, depth
+        tag, kind, container, _ = stack.pop(k)
         open_[tag] -= 1
-        beside -= b
+        away[kind] -= 1
+        depth -= container
         main -= tag in MAIN
 
+    def end_inline(tag: str) -> None:
+        """Ends the innermost such element unless a container stands in it."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == tag:
+                remove(k)
+                break
+            if stack[k][0] not in INLINE:
+                break
+
     raw = None
     for m in _TOKEN.finditer(page):
         if raw is not None:
             if not (m["end"] and m["tag"].lower() == raw):
                 continue
             raw, at = None, m.start()
-        if at < m.start() and not beside:
-            parts.append(page[at : m.start()])
+        if at < m.start():
+            put(page[at : m.start()])
         at = m.end()
-        if m["cdata"] is not None and not beside:
-            parts.append(m["cdata"])
+        if m["cdata"] is not None:
+            put(m["cdata"])
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
-        if tag not in INLINE:
-            if tag == "br":
-                parts.append("\n")
-            else:
-                close()
-        if with_tags:
-            tags.append((path(), ("</" if m["end"] else "<") + tag))
+        if tag == "br":
+            put("\n")
+        elif tag not in INLINE:
+            close()
+        path = stack[-1][3] if stack else ""
         if m["end"]:
+            if tags is not None:
+                tags.append((path, "</" + tag))
             if open_[tag]:
                 # what stands open inside ends too; an inline element's end ends only what is inline inside it
                 if tag in INLINE:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            beside -= stack[k][1]
-                            del stack[k]
-                            open_[tag] -= 1
-                            break
-                        if stack[k][0] not in INLINE:
-                            break
+                    end_inline(tag)
                 else:
                     while stack[-1][0] != tag:
-                        pop()
-                    pop()
+                        remove(len(stack) - 1)
+                    remove(len(stack) - 1)
             continue
+        hints = [a[1] or a[2] or a[3] or "" for a in _HINT.finditer(m["attrs"])] if m["attrs"] else []
+        label = tag
+        if hints and (first := _WORDS.search(hints[0].lower())):
+            label = f"{tag}.{first[0]}"
+        if tags is not None:
+            tags.append((path, "<" + label))
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        if tag in MAIN and beside:
+        if tag in MAIN and away[1]:
             # an article begins: what stands open and beside, by its class only, was never closed
-            for k, (x, b) in enumerate(stack):
-                if b and x not in BESIDE and x not in RAW:
-                    stack[k] = (x, False)
-                    beside -= 1
+            for k, (x, kind, c, own) in enumerate(stack):
+                if kind == 1 and x not in BESIDE:
+                    stack[k] = (x, 0, c, own)
+                    away[0], away[1] = away[0] + 1, away[1] - 1
         if tag == "body":
-            while stack and any(x == "head" for x, _ in stack):
-                pop()
-        away = tag in RAW or tag in BESIDE
-        if not away and m["attrs"] and tag not in ("html", "body") and tag not in MAIN:
-            for a in _HINT.finditer(m["attrs"]):
-                words = _WORDS.findall((a[1] or a[2] or a[3] or "").lower())
-                if any(w in BESIDE_WORDS for w in words):
-                    away = True
-                    break
-        if tag == "p":  # a paragraph cannot stand in another
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    beside -= stack[k][1]
-                    del stack[k]
-                    open_["p"] -= 1
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        stack.append((tag, away))
+            while stack and open_["head"]:
+                remove(len(stack) - 1)
+        kind = 2 if tag in RAW else int(names and (tag in BESIDE or (tag not in ("html", "body") and tag not in MAIN and any(map(_says_beside, hints)))))
+        if tag == "p" and open_["p"]:  # a paragraph cannot stand in another
+            end_inline("p")
+        container = tag not in INLINE and tag != "p" and depth < DEPTH
+        path = stack[-1][3] if stack else ""
+        stack.append((tag, kind, container, f"{path}/{label}" if container else path))
         open_[tag] += 1
-        beside += away
+        away[kind] += 1
+        depth += container
         main += tag in MAIN
         if tag in OPAQUE:
             raw = tag
-    if raw is None and at < len(page) and not beside:
-        parts.append(page[at:])
+    if raw is None and at < len(page):
+        put(page[at:])
     close()
-    return blocks, tags
-
-
-def template_of(pages: list[str]) -> dict:
-    """What is common to pages of one host: words (path and word) of valid classes, and the article's container where no tag names it."""
-    pages = sorted(set(pages))
-    seen: dict[tuple[str, str], dict[int, list[int]]] = defaultdict(dict)
-    texts: list[list[_Block]] = []
-    for i, page in enumerate(pages):
-        blocks, tags = blocks_of(page, True)
-        texts.append(blocks)
-        at = 0
-        for key in tags:
-            seen[key].setdefault(i, []).append(at)
-            at += 1
-        for b in blocks:
-            for w in b.text.split():
-                seen[(b.path, w)].setdefault(i, []).append(at)
-                at += 1
-    if len(pages) < LEAST_PAGES:
-        return {"words": [], "main": None}
-    classes: dict[tuple, list[tuple[str, str]]] = defaultdict(list)
-    for key, where in seen.items():
-        if len(where) >= max(LEAST_PAGES, 0.95 * len(pages)):
-            classes[tuple((i, len(x)) for i, x in sorted(where.items()))].append(key)
-    words = []
-    for vector, keys in classes.items():
-        if len(keys) < LEAST_TOKENS:
-            continue
-        # valid only in one order: each token's place among the class's must be the same on all pages
-        orders = {i: {k: r for r, k in enumerate(sorted(keys, key=lambda k: seen[k][i][0]))} for i, _ in vector}
-        first = orders[vector[0][0]]
-        words += [k for k in keys if not k[1].startswith("<") and all(o[k] == first[k] for o in orders.values())]
-    main = None
-    if not any(b.main for x in texts for b in x):
-        size = Counter()
-        dropped = set(words)
-        for x in texts:
-            for b in x:
-                size[b.path] += sum(len(w) for w in b.text.split() if (b.path, w) not in dropped)
-        if size:
-            main = max(sorted(size), key=lambda k: size[k])
-    return {"words": sorted(map(list, words)), "main": main}
-
-
-def main_text(page: str, template: dict | None) -> str:
-    """The blocks of the article joined by a space."""
-    blocks, _ = blocks_of(page)
-    if any(b.main for b in blocks):
-        blocks = [b for b in blocks if b.main]
-    elif template and template["main"] is not None:
-        inside = [b for b in blocks if b.path == template["main"] or b.path.startswith(template["main"] + "/")]
-        blocks = inside or blocks
-    if template and template["words"]:
-        fixed = template["set"]
-        blocks = [b for b in blocks if not all((b.path, w) in fixed for w in b.text.split())]
-    return " ".join(b.text for b in blocks)
+    return blocks
+
+
+def _hash(*parts: bytes) -> int:
+    """A signed 64-bit hash."""
+    return struct.unpack("<q", xxhash.xxh64_digest(b"\0".join(parts)))[0]
+
+
+def _run_hash(b: _Block) -> int:
+    return _hash(b.path.encode(), b.text.encode())
+
+
+def tokens(pages: DataFrame) -> DataFrame:
+    """(host, path, tag, run, n, vector, times, chars) of each token of pages (host, key, html).
+
+    tag is null for a run of text, which its hash tells. n pages have the token, times times in all; vector is equal for
+    tokens that occur equally often on the same pages. chars is a run's length on all pages.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, list] = {}
+            for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
+                tags: list[tuple[str, str]] = []
+                runs = Counter()
+                chars = {}
+                for b in parsed(page or "", tags, names=False):
+                    k = (host, b.path, None, _run_hash(b))
+                    runs[k] += 1
+                    chars[k] = len(b.text)
+                runs.update((host, path, tag, 0) for path, tag in tags)
+                marks = {t: _hash(struct.pack("<qq", key, t)) for t in set(runs.values())}
+                for k, t in runs.items():
+                    row = found.setdefault(k, [0, 0, 0, 0])
+                    row[0] += 1
+                    row[1] ^= marks[t]
+                    row[2] += t
+                    row[3] += t * chars.get(k, 0)
+            if found:
+                kinds = [pa.string()] * 3 + [pa.int64()] * 5
+                columns = [*zip(*found, strict=True), *zip(*found.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "tag", "run", "n", "vector", "times", "chars"])
+
+    rows = pages.select("host", "key", "html").mapInArrow(count, "host string, path string, tag string, run long, n long, vector long, times long, chars long")
+    return rows.groupBy("host", "path", "tag", "run").agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("times").alias("times"), F.sum("chars").alias("chars"))
+
+
+def valid_classes(rows: pd.DataFrame) -> list[pd.DataFrame]:
+    """Tokens of one host in classes of equal occurrence vectors, those with LEAST_TOKENS tokens."""
+    return [c for _, c in rows.groupby(["n", "vector"]) if len(c) >= LEAST_TOKENS]
+
+
+def nested(elements: list[str]) -> dict[str, list[str]]:
+    """The children of each of some elements, given by their paths, and of the root (empty)."""
+    known, out = set(elements), {x: [] for x in ("", *elements)}
+    for x in sorted(known):
+        up = x.rpartition("/")[0]
+        while up and up not in known:
+            up = up.rpartition("/")[0]
+        out[up].append(x)
+    return out
+
+
+def article_of(elements: dict[str, int], total: int) -> str:
+    """The element that holds the article, from the varying text in each element of the template and in all; empty for the root."""
+    below, at, mass = nested(list(elements)), "", total
+    while below[at]:
+        child = max(below[at], key=lambda x: elements[x])
+        inside = lambda x, of: x == of or x.startswith(of + "/")
+        titled = any(m and inside(x, at) and not inside(x, child) and x.rpartition("/")[2].partition(".")[0] in HEADINGS for x, m in elements.items())
+        if titled or elements[child] <= MOST * mass:
+            break
+        at, mass = child, elements[child]
+    return at
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template as JSON), deduced from up to SAMPLE pages of each host, those with the least hash of page_id."""
-    ranked = pages.select("host", "page_id", F.xxhash64("page_id").alias("h")).filter("page_id is not null")
-    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h", "page_id"))).filter(F.col("k") <= SAMPLE)
-    chosen = pages.join(ranked.select("host", "page_id"), ["host", "page_id"], "left_semi").select("host", "html")
+    """(host, template as JSON) of hosts whose pages have one, from pages (host, page_id, html); equal pages of a host count once."""
+    keyed = pages.select("host", "page_id", "html", F.xxhash64("html").alias("key"))
+    firsts = keyed.groupBy("host", "key").agg(F.min("page_id").alias("first"), F.count("*").alias("c"))
+    firsts = written(firsts, "firsts")
+    again = written(firsts.filter("c > 1").select("host", "key", "first"), "again")
+    once = keyed.join(sized(again), ["host", "key"], "left").filter("first is null or page_id = first")
+    found = written(tokens(once), "tokens")
+    totals = firsts.groupBy("host").agg(F.count("*").alias("pages"))
+    share = F.when(F.col("tag").isNull(), F.lit(TEXT_SHARE)).otherwise(F.lit(SHARE))
+    common = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= share * F.col("pages"))
+    found = found.join(sized(written(totals, "totals")), "host").withColumn("common", common)
+    frequent = written(found.filter("common"), "frequent")
+    # varying text by the frequent elements that it stands in; the root is the empty path
+    opened = frequent.filter("tag like '<%' and tag not like '</%'").select("host", F.concat("path", F.lit("/"), F.expr("substring(tag, 2)")).alias("element"))
+    opened = opened.unionAll(frequent.select("host", F.lit("").alias("element")).distinct())
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    varying = found.filter("tag is null and not common").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    varying = varying.select("host", F.explode(F.array_distinct(above)).alias("element"), "chars")
+    mass = varying.join(opened, ["host", "element"]).groupBy("host", "element").agg(F.sum("chars").alias("chars"))
+    rows = frequent.select("host", "path", "tag", "run", "n", "vector", "times", F.lit(0).cast("long").alias("mass"))
+    rows = rows.unionAll(mass.select("host", "element", F.lit("mass"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), "chars"))
 
     def deduce(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [group.host.iloc[0]], "template": [json.dumps(template_of([x for x in group.html if x]))]})
+        held = group[group.tag == "mass"].set_index("path").mass.to_dict()
+        classes = valid_classes(group[group.tag != "mass"])
+        elements, fixed = {}, []
+        for c in classes:
+            once = c[(c.times == c.n) & c.tag.notna()]
+            opens = once[once.tag.str.startswith("<") & ~once.tag.str.startswith("</")]
+            elements |= {x: held.get(x, 0) for x in opens.path + "/" + opens.tag.str[1:]}
+            fixed += c[c.tag.isna()].run.tolist()
+        out = json.dumps({"article": article_of(elements, held.get("", 0)), "fixed": sorted(fixed)}) if elements else None
+        return pd.DataFrame({"host": [group.host.iloc[0]], "template": [out]})
 
-    return chosen.groupBy("host").applyInPandas(deduce, "host string, template string")
+    return rows.groupBy("host").applyInPandas(deduce, "host string, template string").filter("template is not null")
+
+
+def main_text(page: str, template: dict | None, names: bool = True) -> str:
+    """The blocks of the article joined by a space."""
+    blocks = [b for b in parsed(page, names=names) if not b.beside]
+    own = []
+    if template:
+        at = template["article"]
+        own = [b for b in blocks if b.path == at or b.path.startswith(at + "/")]
+        fixed = template["fixed"]
+        own = [b for b in own if _run_hash(b) not in fixed] if fixed else own
+    if not own:  # no template, or not its page: names alone
+        own = [b for b in blocks if b.main] or blocks
+    return " ".join(b.text for b in own)
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, names: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
     A null or empty html has an empty text. Urls that are null or have no host share one template. Rows that repeat or
-    lack a page_id each give a row; other columns are ignored. Hosts with fewer than LEAST_PAGES different sample pages
-    have no template: there only elements and their names tell what is beside the article.
+    lack a page_id each give a row; rows without a page_id whose html repeats say nothing about the template; other
+    columns are ignored. Hosts with fewer than LEAST_PAGES different pages have no template: there, and on pages without
+    the template's article, only elements and their names tell what is beside the article; without names everything stays.
     """
     small_batches(pages.sparkSession)
     table = host_and_path(pages.select("page_id", "url", "html")).drop("path")
@@ -256,8 +337,8 @@ def extracted(pages: DataFrame) -> DataFrame:
                         if len(known) > 256:
                             known.clear()
                         known[template] = json.loads(template)
-                        known[template]["set"] = frozenset(map(tuple, known[template]["words"]))
-                    texts.append(main_text(page or "", known.get(template)))
+                        known[template]["fixed"] = frozenset(known[template]["fixed"])
+                    texts.append(main_text(page or "", known.get(template), names))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
                 )

@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import html_extract as H
 from lattica.llm import url_filter as U
@@ -29,21 +30,73 @@ def test_main_text():
 @pytest.mark.parametrize("piece", ["<div>", "<a<", '<a "', "<b><p>", "</div>", "<![CDATA[", "<!--", "<b>", "&", "<a '>\"", "<script>"])
 def test_broken_markup_takes_no_long_time(piece):
     began = time.process_time()
-    H.blocks_of(piece * 30_000, True)
+    H.parsed(piece * 30_000, [])
     assert time.process_time() - began < 5
 
 
-def test_templates_without_an_article_element():
-    rng = random.Random(0)
+def made_pages(rng, n):
+    """Pages of one host in which neither elements nor names tell the article, and their articles."""
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     pages, texts = [], []
-    for _ in range(8):
-        body = [" ".join(word() for _ in range(30)) for _ in range(3)]
-        texts.append(" ".join(body))
-        pages.append("<html><body><div><p>Welcome to our fine site</p></div><div><div>" + "".join(f"<p>{b}</p>" for b in body) + "<p>Read all of our terms</p></div></div></body></html>")
-    t = H.template_of(pages)
-    t["set"] = frozenset(map(tuple, t["words"]))
-    assert [H.main_text(p, t) for p in pages] == texts
+    for _ in range(n):
+        title, body = " ".join(word() for _ in range(4)), [" ".join(word() for _ in range(30)) for _ in range(rng.randrange(2, 5))]
+        texts.append(" ".join([title, *body]))
+        links = "".join(f"<li><a>{word()}</a></li>" for _ in range(rng.randrange(3, 6)))
+        pages.append(
+            f"<html><body><div><p>Welcome to our fine site</p><ul>{links}</ul></div><div class='x'><div class='y'><h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in body)
+            + f"<p>Read all of our terms</p></div><div class='z'><p>{word()} {word()}</p></div></div></body></html>"
+        )
+    return pages, texts
+
+
+def test_templates_where_names_say_nothing(spark):
+    pages, texts = made_pages(random.Random(0), 30)
+    rows = [(i, "http://h.org/", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for names in (True, False):
+        assert [r.text for r in H.extracted(df, names).orderBy("page_id").collect()] == texts
+    # without a template everything stays; equal pages count once and so make none
+    assert all(H.main_text(p, None) != t for p, t in zip(pages, texts, strict=True))
+    same = spark.createDataFrame([(i, "http://h.org/", pages[i % 4]) for i in range(30)], "page_id long, url string, html string")
+    assert H.templates(U.host_and_path(same)).count() == 0
+
+
+def test_classes_against_brute_force(spark):
+    pages, _ = made_pages(random.Random(1), 12)
+    pages[3] = pages[3].replace("</h1>", "")
+    vectors = {}
+    for i, p in enumerate(pages):
+        tags = []
+        blocks = H.parsed(p, tags, names=False)
+        for k in [*((path, tag, 0) for path, tag in tags), *((b.path, None, H._run_hash(b)) for b in blocks)]:
+            vectors.setdefault(k, [0] * len(pages))[i] += 1
+    want = {}
+    for k, v in vectors.items():
+        want.setdefault(tuple(v), set()).add(k)
+    rows = spark.createDataFrame([("h", i * 7, p) for i, p in enumerate(pages)], "host string, key long, html string").repartition(5)
+    found = H.tokens(rows).toPandas()
+    key = lambda c: {(r.path, r.tag if isinstance(r.tag, str) else None, r.run) for r in c.itertuples()}
+    got = [key(c) for _, c in found.groupby(["n", "vector"])]
+    assert sorted(map(len, got)) == sorted(map(len, want.values())) and all(g in want.values() for g in got)
+    assert [key(c) for c in H.valid_classes(found)] and all(len(c) >= 3 for c in H.valid_classes(found))
+
+
+def test_given_pages_without_their_article_elements(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hosts = U.host_and_path(df).groupBy("host").count().filter("count >= 8").select("host")
+    df = U.host_and_path(df).join(hosts, "host", "left_semi").select("page_id", "url", "html")
+    want = {r.page_id: r.text for r in H.extracted(df).collect()}
+    plain = df.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    got = {r.page_id: r.text for r in H.extracted(plain, names=False).collect()}
+    html = {r.page_id: r.html for r in plain.collect()}
+    # all but broken pages; without the template nearly all pages differ
+    assert len(got) > 2000 and sum(got[i] != want[i] for i in want) <= 0.01 * len(want)
+    assert sum(H.main_text(html[i] or "", None, names=False) != want[i] for i in want) > 0.9 * len(want)
+
+
+def test_names_in_compounds():
+    assert all(map(H._says_beside, ("comments", "post ad-banner", "related-posts", "Cookie_Notice", "site-nav")))
+    assert not any(map(H._says_beside, ("social-science", "search-algorithms", "related-work", "article", "", "adverb")))
 
 
 def test_extracted(spark):
