@@ -16,23 +16,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import connected_components, small_batches, written
+from lattica.llm.shared import connected_components, forget, sized, small_batches, written
 
-TREES = 12
-#: Leaves are split further while they have more vectors than this; those that cannot be split are compared in blocks.
-LEAF = 512
-#: Vectors of a node from which its thresholds are fitted, and levels fitted at a time.
+TREES = 8
+#: Leaves are split further while they have more vectors than this.
+LEAF = 128
+#: Leaves of more vectors, which could not be split, are compared in blocks of about so many; small ones are compared
+#: together in tasks of about GROUP rows.
+BLOCK, GROUP = 1024, 20_000
+#: About so many vectors of a node serve to fit its thresholds, and levels fitted at a time.
 SAMPLE, LEVELS = 2000, 6
 #: A just linked pair shares no leaf of any tree with at most this chance, by the model of _loss.
-MISS = 1e-9
+MISS = 1e-6
 #: A node is split if no side gets more than this share of it; the levels still to come are counted with sides of USUAL.
 WIDEST, USUAL = 0.85, 0.62
 #: Rows of a node around which its spread is measured, over so large shares of the node.
 PROBES, SHARES = 32, (0.1, 0.25, 0.5, 1.0)
-ROUNDS = 8
+ROUNDS = 12
+#: Thresholds of up to so many nodes' subtrees are broadcast (1.5 kB each); more are joined by leaf.
+MOST_CUTS = 20_000
 #: Stands for the threshold of a node that is not split.
 WHOLE = 1e300
 
@@ -42,8 +47,12 @@ def _directions(leaf: int, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    return _normed(np.array(column.to_pylist(), float))
+def _rows_of(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """Some rows, all of one length, of a column of lists as a matrix of unit vectors."""
+    offsets = column.offsets.to_numpy()
+    size = offsets[rows[0] + 1] - offsets[rows[0]]
+    values = column.values.to_numpy(zero_copy_only=False)
+    return _normed(values[offsets[rows][:, None] + np.arange(size)].astype(float))
 
 
 def _normed(x: np.ndarray) -> np.ndarray:
@@ -53,7 +62,12 @@ def _normed(x: np.ndarray) -> np.ndarray:
 
 _Z = np.linspace(0, 5, 101)
 _WEIGHT = np.exp(-(_Z**2) / 2) / np.exp(-(_Z**2) / 2).sum()
-_erfc = np.vectorize(math.erfc)
+_GRID = np.linspace(0, 28, 28_001)
+_ERFC = np.array([math.erfc(x) for x in _GRID])
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.interp(x, _GRID, _ERFC)
 
 
 def _radii(x: np.ndarray, apart: float) -> np.ndarray:
@@ -130,64 +144,98 @@ def _descend(unit: np.ndarray, leaf: int, cuts: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(ends)
 
 
+def _moved(least_cuts: dict[int, bytes] | None):
+    """Rows (node, embedding, leaf, spent) down the subtrees of their leaves, given by a dictionary or else by the column cuts.
+
+    Rows of leaves without a subtree, and those that end above its last level, are done: their embedding is null.
+    """
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = least_cuts.value if least_cuts is not None else None
+        for batch in batches:
+            leaves, vectors = batch.column("leaf").to_numpy(), batch.column("embedding")
+            order = np.argsort(leaves, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(leaves[order])) + 1):
+                if not len(own):
+                    continue
+                leaf = int(leaves[own[0]])
+                cuts = known.get(leaf) if known is not None else batch.column("cuts")[int(own[0])].as_py()
+                if cuts is None:
+                    rows, new, spent, done = own, leaves[own], np.zeros(len(own)), np.ones(len(own), bool)
+                else:
+                    cuts = np.frombuffer(cuts).reshape(-1, 3)
+                    r, end = _descend(_rows_of(vectors, own), leaf, cuts)
+                    new = (pd.util.hash_array(np.full(len(end), leaf, np.int64), categorize=False) ^ pd.util.hash_array(end + 1, categorize=False)).view(np.int64)
+                    rows, spent, done = own[r], cuts[(end - 1) // 2, 2], end < len(cuts)
+                at = pa.array(rows)
+                kept = vectors.take(pa.array(np.where(done, -1, rows), mask=done))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(at), kept, pa.array(new), pa.array(spent)], ["node", "embedding", "leaf", "spent"])
+
+    return move
+
+
 def forest(classes: DataFrame, least: float) -> DataFrame:
-    """(rep, copies, embedding, leaf, spent) of classes (rep, label, copies, embedding): every leaf that a class is in."""
+    """(node, leaf) of classes (node, label, embedding): every leaf that a class is in."""
+    spark = classes.sparkSession
     trees = F.explode(F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda t: F.xxhash64(t, F.col("label"), F.size("embedding")))).alias("leaf")
-    rows = classes.select("rep", "copies", "embedding", trees, F.lit(0.0).alias("spent"))
-    schema, names = rows.schema, rows.columns
+    rows = classes.select("node", "embedding", trees, F.lit(0.0).alias("spent"))
+    schema, done = rows.schema, rows.filter("false").select("node", "leaf")
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x = _normed(np.array(group.sort_values("node").embedding.tolist(), float))
+        leaf = int(group.leaf.iloc[0])
+        cuts = _thresholds(x, leaf, int(group.total.iloc[0]), least, float(group.spent.iloc[0]))
+        return pd.DataFrame({"leaf": [leaf], "cuts": [cuts.tobytes() if (cuts[:, 0] < WHOLE).any() else None]})
+
     for _ in range(ROUNDS):
-        large = rows.groupBy("leaf").agg(F.count("*").alias("total")).filter(F.col("total") > LEAF)
-        order = Window.partitionBy("leaf").orderBy(F.xxhash64("rep", "leaf"), "rep")
-        chosen = rows.join(large.select("leaf"), "leaf", "left_semi").select("leaf", "rep").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE)
-        sample = rows.join(chosen.select("leaf", "rep"), ["leaf", "rep"], "left_semi").select("leaf", "rep", "embedding", "spent").join(large, "leaf")
-
-        def fit(group: pd.DataFrame) -> pd.DataFrame:
-            x = _normed(np.array(group.sort_values("rep").embedding.tolist(), float))
-            leaf = int(group.leaf.iloc[0])
-            cuts = _thresholds(x, leaf, int(group.total.iloc[0]), least, float(group.spent.iloc[0]))
-            return pd.DataFrame({"leaf": [leaf], "cuts": [cuts.ravel().tolist()]})
-
-        fitted = sample.groupBy("leaf").applyInPandas(fit, "leaf long, cuts array<double>")
-        fitted = written(fitted.filter("exists(cuts, x -> x < 1e299)"), "cuts")
-        if fitted.isEmpty():
+        large = written(rows.groupBy("leaf").agg(F.count("*").alias("total")).filter(F.col("total") > LEAF), "large")
+        # a share of each node by hash, not a ranking: no node is sorted however large it is
+        place = F.pmod(F.xxhash64("node", "leaf"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        sample = rows.join(sized(large), "leaf").filter(place * F.col("total") < SAMPLE)
+        fitted = written(sample.groupBy("leaf").applyInPandas(fit, "leaf long, cuts binary").filter("cuts is not null"), "cuts")
+        n = fitted.count()
+        if not n:
             break
-
-        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                leaves = batch.column("leaf").to_numpy()
-                for leaf in np.unique(leaves):
-                    part = batch.filter(pa.array(leaves == leaf))
-                    cuts = part.column("cuts")[0].as_py()
-                    kept = part.select(["rep", "copies", "embedding"])
-                    if cuts is None:
-                        yield pa.RecordBatch.from_arrays([*kept.columns, part.column("leaf"), part.column("spent")], names)
-                        continue
-                    unit = _unit(part.column("embedding"))
-                    cuts = np.array(cuts).reshape(-1, 3)
-                    r, end = _descend(unit, int(leaf), cuts)
-                    new = pd.util.hash_array(np.full(len(end), leaf, np.int64), categorize=False) ^ pd.util.hash_array(end + 1, categorize=False)
-                    kept = kept.take(pa.array(r))
-                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(new.view(np.int64)), pa.array(cuts[(end - 1) // 2, 2])], names)
-
-        moved = rows.join(fitted, "leaf", "left").select("rep", "copies", "embedding", "leaf", "spent", "cuts").mapInArrow(move, schema)
-        rows = written(moved, "leaves")
-    return rows
+        if n <= MOST_CUTS:
+            down = _moved(spark.sparkContext.broadcast({r.leaf: bytes(r.cuts) for r in fitted.collect()}))
+            moved = written(rows.mapInArrow(down, schema), "leaves")
+        else:
+            moved = written(rows.join(fitted, "leaf", "left").select("node", "embedding", "leaf", "cuts").mapInArrow(_moved(None), schema), "leaves")
+        done = done.unionAll(moved.filter("embedding is null").select("node", "leaf"))
+        rows = moved.filter("embedding is not null")
+    return done.unionAll(rows.select("node", "leaf"))
+
+
+def _shared_before(i: np.ndarray, j: np.ndarray, leaf: int, leaves: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (i, j) share a leaf less than this one."""
+    rows, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    n = offsets[rows + 1] - offsets[rows]
+    own = leaves[np.repeat(offsets[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    row = np.repeat(np.arange(len(rows)), n)[own < leaf]
+    _, column, count = np.unique(own[own < leaf], return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count > 1)  # those of one row alone are shared by no pair
+    if not len(often):
+        return np.zeros(len(i), bool)
+    place = np.full(len(count), -1)
+    place[often] = np.arange(len(often))
+    inside = place[column] >= 0
+    has = np.zeros((len(rows), len(often)), np.float32)
+    has[row[inside], place[column][inside]] = 1
+    a, b = at[: len(i)], at[len(i) :]
+    if len(i) > len(rows):
+        return (has @ has.T)[a, b] > 0
+    return (has[a] * has[b]).any(1)
 
 
 def _compare(least: float):
     def run(table: pa.Table) -> pa.Table:
-        rep, copies, side = (table.column(c).to_numpy() for c in ("rep", "copies", "side"))
-        unit = _unit(table.column("embedding"))
-        leaf = table.column("leaf")[0].as_py()
-        before = [[x for x in own if x < leaf] for own in table.column("leaves").to_pylist()]
-        number = {x: i for i, x in enumerate({x for own in before for x in own})}
-        shared = np.zeros((len(rep), max(1, len(number))), np.float32)
-        for i, own in enumerate(before):
-            shared[i, [number[x] for x in own]] = 1
+        table = table.combine_chunks()
+        node, copies, side, leaf = (table.column(c).to_numpy() for c in ("node", "copies", "side", "leaf"))
+        vectors, own = (table.column(c).chunk(0) for c in ("embedding", "leaves"))
+        leaves, offsets = own.values.to_numpy(), own.offsets.to_numpy()
         alone = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
-        a, b = (np.arange(len(rep)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        links = np.zeros(len(rep), np.int64)
-        root = np.arange(len(rep))
+        links, root = np.zeros(len(node), np.int64), np.arange(len(node))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -195,32 +243,51 @@ def _compare(least: float):
                 x = root[x]
             return x
 
-        for at in range(0, len(a), 512):
-            x = a[at : at + 512]
-            near = unit[x] @ unit[b].T >= least
-            if alone:
-                near[x[:, None] == b[None, :]] = False
-            new = near & (shared[x] @ shared[b].T == 0)
-            links[x] += new @ copies[b]
-            if not alone:
-                links[b] += copies[x] @ new
-            for i in range(len(x)):
-                hit = b[near[i]]
-                if len(hit):
-                    # the row's neighbours join its tree; those already in it are passed over
-                    r = find(x[i])
-                    for j in hit[root[hit] != r]:
-                        q = find(j)
-                        if q != r:
-                            root[max(q, r)] = min(q, r)
-                            r = min(q, r)
-        top = np.array([find(i) for i in range(len(rep))], np.int64)
-        out = (links > 0) | (top != np.arange(len(rep)))
-        return pa.table({"rep": rep[out], "other": rep[top[out]], "links": links[out]})
+        order = np.argsort(leaf, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+            unit = _rows_of(vectors, rows)
+            a, b = (np.arange(len(rows)),) * 2 if alone else (np.flatnonzero(side[rows] == 0), np.flatnonzero(side[rows] == 1))
+            root[rows] = rows
+            for at in range(0, len(a), 512):
+                x = a[at : at + 512]
+                near = unit[x] @ unit[b].T >= least
+                if alone:
+                    near &= x[:, None] < b[None, :]
+                i, j = np.nonzero(near)
+                if not len(i):
+                    continue
+                i, j = rows[x[i]], rows[b[j]]
+                new = ~_shared_before(i, j, int(leaf[rows[0]]), leaves, offsets)
+                i, j = i[new], j[new]
+                if not len(i):
+                    continue
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                # pairs that a lesser leaf has are joined there
+                for r, hit in zip(*_by_row(i, j), strict=True):
+                    p = find(r)
+                    for q in hit[root[hit] != p]:
+                        q = find(q)
+                        if q != p:
+                            root[max(q, p)] = min(q, p)
+                            p = min(q, p)
+            top = np.array([find(r) for r in rows], np.int64)
+            moved = top != rows
+            out.append((rows[moved], top[moved]))
+        linked = np.flatnonzero(links)
+        ends = [np.concatenate(x) if out else linked[:0] for x in zip(*out, strict=True)]
+        kinds = np.concatenate((links[linked], np.zeros(len(ends[0]), np.int64)))
+        return pa.table({"node": np.concatenate((node[linked], node[ends[0]])), "other": np.concatenate((node[linked], node[ends[1]])), "links": kinds})
 
     return run
 
 
+def _by_row(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    order = np.argsort(i, kind="stable")
+    rows, first = np.unique(i[order], return_index=True)
+    return rows, np.split(j[order], first[1:])
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """One row per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -237,24 +304,50 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.expr(fine), F.lit(False))
     keyed = table.withColumn("ok", usable)
     keyed = keyed.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("label", "embedding")), "h2": F.when(F.col("ok"), F.xxhash64("embedding", "label"))})
-    reps = keyed.filter("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    first = keyed.filter("ok").join(reps, ["h1", "h2"]).filter("vec_id = rep").dropDuplicates(["rep"])
-    classes = written(first.select("rep", "label", "copies", "embedding"), "classes")
-    rows = forest(classes, least)
-    leaves = rows.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))  # a tree's spill at most
-    sizes = rows.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = rows.join(sizes, "leaf").join(leaves, "rep").withColumn("nb", F.ceil(F.col("n") / F.lit(4 * LEAF)).cast("int"))
-    parts = parts.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    parts = parts.select("rep", "copies", "embedding", "leaf", "leaves", F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), (F.col("own") > F.col("to")).cast("int").alias("side"))
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    found = written(parts.groupBy("leaf", "bi", "bj").applyInArrow(_compare(least), f"rep {kind}, other {kind}, links long"), "found")
-    roots = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    # equal vectors of a label are one class, whichever ids they have
+    classes = keyed.filter("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    leaves = written(forest(classes, least), "forest")
+    sizes = written(leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    # a vector travels once with its leaves, as many as its trees' spill makes, and is then dealt out to them
+    own = leaves.join(sized(sizes), "leaf").groupBy("node").agg(F.collect_set("leaf").alias("leaves"))
+    rows = classes.select("node", "copies", "embedding").join(own, "node").select("*", F.explode("leaves").alias("leaf")).join(sized(sizes), "leaf")
+    groups = 1 + leaves.count() // GROUP
+    rows = rows.withColumn("nb", F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / F.lit(BLOCK))).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.withColumn("g", F.when(F.col("nb") == 1, F.pmod(F.xxhash64("leaf"), F.lit(groups))).otherwise(F.col("leaf")))
+    parts = rows.select("node", "copies", "embedding", "leaf", "leaves", "g", (F.col("nb") == 1).alias("whole"), F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), (F.col("own") > F.col("to")).cast("int").alias("side"))
+    found = written(parts.groupBy("whole", "g", "bi", "bj").applyInArrow(_compare(least), "node long, other long, links long"), "found")
+    roots = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    names = classes.select("node", "rep", "h1", "h2", "copies")
+    linked = written(names.join(roots, "node").select("root", "node", "rep"), "linked")
+    least_of = linked.groupBy("root").agg(F.min("rep").alias("first"))
+    known = names.join(links, "node", "left").join(linked.join(least_of, "root").select("node", "first"), "node", "left")
+    known = written(known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "rep").alias("component_id")), "known")
+    forget(leaves)
     out = keyed.join(known, ["h1", "h2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label, components by recursion over links.
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT vec_id, label, e, sqrt(list_sum([x * x FOR x IN e])) AS n FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NOT NULL AND isfinite(x)]) = len(e) AND list_sum([x * x FOR x IN e]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93
+), reach(a, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.a AND r.root < l.b
+), roots AS (
+  SELECT a, min(root) AS root FROM reach GROUP BY a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, r.root AS component_id, e.vec_id = r.root AS kept FROM embeddings e JOIN roots r ON r.a = e.vec_id
+"""

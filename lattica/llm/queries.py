@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.decontaminate import op4_decontaminate
-from lattica.llm.embedding_dedup import op3_embedding_dedup
+from lattica.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from lattica.llm.html_extract import op7_html_extract
 from lattica.llm.langid import op10_language_id
 from lattica.llm.line_dedup import OP6_SQL, op6_line_dedup
@@ -11,7 +11,7 @@ from lattica.llm.minhash_dedup import OP8_SQL, op8_minhash_dedup
 from lattica.llm.packing import op5_packing
 from lattica.llm.toxicity import op1_toxicity
 from lattica.llm.url_filter import OP2_SQL, op2_url_filter
-from lattica.llm.warc import op9_warc_revisits
+from lattica.llm.warc import OP9_SQL, op9_warc_revisits
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -28,6 +28,8 @@ QUERIES = {
 
 SQL = {
     "op2_url_filter": OP2_SQL,
+    "op3_embedding_dedup": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op8_minhash_dedup": OP8_SQL,
+    "op9_warc_revisits": OP9_SQL,
 }

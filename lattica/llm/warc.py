@@ -122,3 +122,12 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lattica/warc-{uuid.uuid4().hex}"
     write_archives(resolve_revisits(pages), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
+  f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, d.digest AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM d LEFT JOIN f ON f.digest = d.digest AND n >= 100
+"""

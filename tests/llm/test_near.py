@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lattica.llm import embedding_dedup as E
 from lattica.llm import line_dedup as L
 from lattica.llm import minhash_dedup as M
-from lattica.llm.shared import connected_components, shingles_of, text_chunks, words_of
+from lattica.llm.shared import connected_components, shingles_of, text_chunks, words_of, written
 
 
 def roots(ids, pairs):
@@ -145,6 +145,7 @@ def brute_vectors(rows, least):
 def test_dense_embeddings(spark, monkeypatch):
     # one group around one centre, in which cuts part many linked pairs, and spread vectors with near copies
     monkeypatch.setattr(E, "LEAF", 64)
+    monkeypatch.setattr(E, "BLOCK", 256)
     rng = np.random.default_rng(4)
     dense = rng.standard_normal(32) / 32**0.5 * 0.93**0.5 + rng.standard_normal((1500, 32)) * (0.07 / 32) ** 0.5
     wide = rng.standard_normal((500, 32))
@@ -156,6 +157,41 @@ def test_dense_embeddings(spark, monkeypatch):
     assert got == dict(enumerate((near.sum(1) - 1).tolist())) and near[:1500].sum() > 500_000
 
 
+def planted(rng, n, dim, pairs):
+    """n spread vectors with pairs of them that are just linked."""
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(pairs):
+        side = rng.standard_normal(dim)
+        side -= side @ x[2 * k] * x[2 * k]
+        x[2 * k + 1] = 0.9305 * x[2 * k] + (1 - 0.9305**2) ** 0.5 * side / np.linalg.norm(side)
+    return x
+
+
+def test_recall_at_the_leaf_size_of_production(spark):
+    rng = np.random.default_rng(7)
+    x = planted(rng, 5000, 64, 400)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    near = x @ x.T >= 0.93
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(df).collect()}
+    want = roots(range(len(x)), np.argwhere(np.triu(near, 1)).tolist())
+    assert got == {i: (int(near[i].sum()) - 1, want[i]) for i in range(len(x))} and near.sum() >= 5800
+    # the forest has to compare far fewer than all pairs
+    classes = written(df.withColumn("node", F.col("vec_id")), "classes")
+    n = [r["count"] for r in E.forest(classes, 0.93).groupBy("leaf").count().collect()]
+    assert sum(k * k for k in n) < 0.6 * len(x) ** 2
+
+
+def test_one_vec_id_for_several_vectors(spark):
+    rng = np.random.default_rng(1)
+    u, v = rng.standard_normal((2, 16))
+    rows = [(1, u), (1, v), (2, u * 2 + 0.01), (3, v + 0.01), (4, v - 0.01)]
+    df = spark.createDataFrame([(i, x.tolist(), 5) for i, x in rows], "vec_id long, embedding array<double>, label int")
+    for n in (1, 4):
+        got = sorted(tuple(r) for r in E.near_vectors(df.repartition(n)).collect())
+        assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
 @pytest.mark.parametrize("leaf", [16, 512])
 def test_embeddings(spark, monkeypatch, leaf):
     monkeypatch.setattr(E, "LEAF", leaf)
