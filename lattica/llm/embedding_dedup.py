@@ -23,21 +23,23 @@ from lattica.llm.shared import connected_components, forget, sized, small_batche
 
 TREES = 8
 #: Leaves are split further while they have more vectors than this.
-LEAF = 128
+LEAF = 256
 #: Leaves of more vectors, which could not be split, are compared in blocks of about so many; small ones are compared
 #: together in tasks of about GROUP rows.
-BLOCK, GROUP = 1024, 20_000
+BLOCK, GROUP = 1024, 4000
 #: About so many vectors of a node serve to fit its thresholds, and levels fitted at a time.
-SAMPLE, LEVELS = 2000, 6
+SAMPLE, LEVELS = 2000, 8
+#: Vectors go down the trees so many bytes at a time.
+CHUNK = 48_000_000
 #: A just linked pair shares no leaf of any tree with at most this chance, by the model of _loss.
 MISS = 1e-6
 #: A node is split if no side gets more than this share of it; the levels still to come are counted with sides of USUAL.
 WIDEST, USUAL = 0.85, 0.62
-#: Rows of a node around which its spread is measured, over so large shares of the node.
-PROBES, SHARES = 32, (0.1, 0.25, 0.5, 1.0)
+#: Rows of a node around which its spread is measured, over so large shares of at most so many rows of its sample.
+PROBES, SHARES, SPREAD_ROWS = 16, (0.1, 0.25, 0.5, 1.0), 500
 ROUNDS = 12
-#: Thresholds of up to so many nodes' subtrees are broadcast (1.5 kB each); more are joined by leaf.
-MOST_CUTS = 20_000
+#: Thresholds of up to so many nodes' subtrees are broadcast (6 kB each); more are joined by leaf.
+MOST_CUTS = 5000
 #: Stands for the threshold of a node that is not split.
 WHOLE = 1e300
 
@@ -72,11 +74,13 @@ def _erfc(x: np.ndarray) -> np.ndarray:
 
 def _radii(x: np.ndarray, apart: float) -> np.ndarray:
     """Distance of the middle of a linked pair from the centre of the nearest rows, of each of SHARES, by probe."""
+    x = x[:: -(-len(x) // SPREAD_ROWS)]
+    probes = x[:: max(1, len(x) // PROBES)]
+    order = np.argsort(-(x @ probes.T), axis=0)
     out = []
-    for i in range(0, len(x), max(1, len(x) // PROBES)):
-        order = np.argsort(((x - x[i]) ** 2).sum(1))
-        centres = [x[order[: max(2, round(s * len(x)))]].mean(0) for s in SHARES]
-        out.append([max(((x[i] - c) ** 2).sum() - apart**2 / 4, 0) ** 0.5 for c in centres])
+    for i, p in enumerate(probes):
+        centres = [x[order[: max(2, round(s * len(x))), i]].mean(0) for s in SHARES]
+        out.append([max(((p - c) ** 2).sum() - apart**2 / 4, 0) ** 0.5 for c in centres])
     return np.array(out)
 
 
@@ -144,6 +148,20 @@ def _descend(unit: np.ndarray, leaf: int, cuts: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(ends)
 
 
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to CHUNK bytes, so that a leaf's rows are handled together."""
+    held, size = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += batch.nbytes
+        if size > CHUNK:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _moved(least_cuts: dict[int, bytes] | None):
     """Rows (node, embedding, leaf, spent) down the subtrees of their leaves, given by a dictionary or else by the column cuts.
 
@@ -152,12 +170,10 @@ def _moved(least_cuts: dict[int, bytes] | None):
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = least_cuts.value if least_cuts is not None else None
-        for batch in batches:
+        for batch in _chunked(batches):
             leaves, vectors = batch.column("leaf").to_numpy(), batch.column("embedding")
             order = np.argsort(leaves, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(leaves[order])) + 1):
-                if not len(own):
-                    continue
                 leaf = int(leaves[own[0]])
                 cuts = known.get(leaf) if known is not None else batch.column("cuts")[int(own[0])].as_py()
                 if cuts is None:
@@ -181,18 +197,19 @@ def forest(classes: DataFrame, least: float) -> DataFrame:
     rows = classes.select("node", "embedding", trees, F.lit(0.0).alias("spent"))
     schema, done = rows.schema, rows.filter("false").select("node", "leaf")
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = _normed(np.array(group.sort_values("node").embedding.tolist(), float))
-        leaf = int(group.leaf.iloc[0])
-        cuts = _thresholds(x, leaf, int(group.total.iloc[0]), least, float(group.spent.iloc[0]))
-        return pd.DataFrame({"leaf": [leaf], "cuts": [cuts.tobytes() if (cuts[:, 0] < WHOLE).any() else None]})
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        rows = np.argsort(group.column("node").to_numpy())
+        leaf, total, spent = (group.column(c)[0].as_py() for c in ("leaf", "total", "spent"))
+        cuts = _thresholds(_rows_of(group.column("embedding").chunk(0), rows), leaf, total, least, spent)
+        return pa.table({"leaf": [leaf], "cuts": pa.array([cuts.tobytes() if (cuts[:, 0] < WHOLE).any() else None], pa.binary())})
 
     for _ in range(ROUNDS):
         large = written(rows.groupBy("leaf").agg(F.count("*").alias("total")).filter(F.col("total") > LEAF), "large")
         # a share of each node by hash, not a ranking: no node is sorted however large it is
         place = F.pmod(F.xxhash64("node", "leaf"), F.lit(1 << 40)) / F.lit(float(1 << 40))
         sample = rows.join(sized(large), "leaf").filter(place * F.col("total") < SAMPLE)
-        fitted = written(sample.groupBy("leaf").applyInPandas(fit, "leaf long, cuts binary").filter("cuts is not null"), "cuts")
+        fitted = written(sample.groupBy("leaf").applyInArrow(fit, "leaf long, cuts binary").filter("cuts is not null"), "cuts")
         n = fitted.count()
         if not n:
             break
@@ -202,7 +219,8 @@ def forest(classes: DataFrame, least: float) -> DataFrame:
         else:
             moved = written(rows.join(fitted, "leaf", "left").select("node", "embedding", "leaf", "cuts").mapInArrow(_moved(None), schema), "leaves")
         done = done.unionAll(moved.filter("embedding is null").select("node", "leaf"))
-        rows = moved.filter("embedding is not null")
+        # leaves are many by now: rows of one come together, and large ones are split again
+        rows = moved.filter("embedding is not null").hint("rebalance", "leaf").sortWithinPartitions("leaf")
     return done.unionAll(rows.select("node", "leaf"))
 
 
