@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import scalar as S
-from lattica.operators.vocabulary import ranged
+from lattica.operators.vocabulary import numbered, ranged
+from lattica.sources.database import written
 from lattica.sources.tables import RawDatabase
 
 
@@ -43,8 +46,21 @@ def transposed(e: DataFrame) -> DataFrame:
     return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in e.columns if c not in ("src", "dst")])
 
 
+def flat_adjacency(e: DataFrame) -> DataFrame:
+    """(row_id, place, neighbor): each edge at its place among its source's, in ascending order, duplicates included.
+
+    Edges are numbered in ranges of (src, dst), so a hub's neighbours are never in one place.
+    """
+    flat = written(numbered(e.select("src", "dst"), ["src", "dst"], "_at"), "flat")
+    first = flat.groupBy("src").agg(F.min("_at").alias("_first"))
+    return flat.join(first, "src").select(F.col("src").alias("row_id"), (F.col("_at") - F.col("_first")).alias("place"), F.col("dst").alias("neighbor"))
+
+
 def adjacency(e: DataFrame, all_nodes: DataFrame) -> DataFrame:
-    """(row_id, neighbors): ascending, with duplicates; an empty array for nodes without edges. A node's array is as long as its degree."""
+    """(row_id, neighbors): ascending, with duplicates; an empty array for nodes without edges.
+
+    A node's array is as long as its degree: for graphs whose degrees are bounded; flat_adjacency serves all others.
+    """
     lists = e.groupBy(F.col("src").alias("row_id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
     return all_nodes.join(lists, "row_id", "left").select("row_id", F.coalesce("neighbors", F.expr("cast(array() as array<bigint>)")).alias("neighbors"))
 
@@ -97,8 +113,65 @@ def expanded(frontier: DataFrame, e: DataFrame, times: DataFrame) -> DataFrame:
     return parents.unionByName(children.select("seq", "parent", "row_id", "obs", F.lit("child").alias("relation")))
 
 
-def top_children(found: DataFrame, width: int, seed: int = 0) -> DataFrame:
-    """The children of expanded(), at most width a parent: all where there are no more, else those of the least hash."""
-    order = Window.partitionBy("seq", "parent").orderBy(F.xxhash64(F.lit(seed), "seq", "parent", "row_id"), "row_id")
-    kids = found.filter("relation = 'child'").dropDuplicates(["seq", "parent", "row_id"])
-    return kids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= width).drop("k")
+#: Children of one parent whose times are summed up in one row of the index.
+BLOCK = 4096
+#: Steps through a parent's children; primes above any number of children, so that a step visits each once.
+STEPS = (2147483647, 2246822519, 2654435761, 3266489917, 4294967291)
+
+
+@dataclass
+class ChildIndex:
+    """Every parent's children by place, in the order of time: children (parent, pos, child, us), blocks (parent, block, us).
+
+    us of a block is its first child's time. Children without a time come first; two references of one row to another count once.
+    """
+
+    children: DataFrame
+    blocks: DataFrame
+
+
+def child_index(e: DataFrame, times: DataFrame) -> ChildIndex:
+    """The index of edges (src, dst) and times (row_id, us), numbered in ranges, so that no hub's children are in one task."""
+    kids = e.select(F.col("dst").alias("parent"), F.col("src").alias("child")).distinct()
+    kids = kids.join(times.withColumnRenamed("row_id", "child"), "child", "left").select("parent", "child", "us")
+    placed = written(numbered(kids, ["parent", "us", "child"], "_at"), "placed")
+    first = placed.groupBy("parent").agg(F.min("_at").alias("_first"))
+    children = written(placed.join(first, "parent").select("parent", (F.col("_at") - F.col("_first")).alias("pos"), "child", "us"), "children")
+    blocks = children.groupBy("parent", F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.when(F.count("us") == F.count("*"), F.min("us")).alias("us"))
+    return ChildIndex(children, written(blocks, "blocks"))
+
+
+def eligible(asked: DataFrame, index: ChildIndex) -> DataFrame:
+    """asked (row_id, obs and others) with total: how many of a row's children are not later than obs (null: no limit).
+
+    In the order of time they are the first ones, so the last block that begins in time tells all but its own part.
+    """
+    limit = F.coalesce("obs", F.lit(S.NO_LIMIT)).alias("limit")
+    keys = asked.select(F.col("row_id").alias("parent"), limit).distinct()
+    in_time = F.col("us").isNull() | (F.col("us") <= F.col("limit"))
+    last = keys.join(index.blocks, "parent").filter(in_time).groupBy("parent", "limit").agg(F.max("block").alias("block"))
+    own = index.children.withColumn("block", F.floor(F.col("pos") / BLOCK)).select("parent", "block", "us")
+    total = last.join(own, ["parent", "block"]).filter(in_time).groupBy("parent", "limit", "block").agg(F.count("*").alias("n"))
+    total = total.select(F.col("parent").alias("row_id"), "limit", (F.col("block") * BLOCK + F.col("n")).alias("total"))
+    return asked.withColumn("limit", limit).join(total, ["row_id", "limit"], "left").withColumn("total", F.coalesce("total", F.lit(0))).drop("limit")
+
+
+def drawn_children(asked: DataFrame, index: ChildIndex, seed: int = 0) -> DataFrame:
+    """(seq, parent, row_id, rank) of asked (seq, row_id, total, since, upto): the children drawn at the ranks since to upto - 1.
+
+    A draw steps through the eligible children from a start, both by a hash of (seed, seq, parent): as many are looked up
+    as are asked for, however many there are.
+    """
+    h = F.xxhash64(F.lit(seed), "seq", "row_id")
+    step = F.element_at(F.array(*map(F.lit, STEPS)), (F.pmod(h, F.lit(len(STEPS))) + 1).cast("int"))
+    ranks = asked.filter(F.col("since") < F.least("upto", "total")).select(
+        "seq", F.col("row_id").alias("parent"), "total", h.alias("h"), step.alias("step"), F.explode(F.sequence(F.col("since").cast("long"), F.least("upto", "total").cast("long") - 1)).alias("rank")
+    )
+    ranks = ranks.withColumn("pos", F.pmod(F.pmod(F.shiftright("h", 8), F.col("total")) + F.col("rank") * F.col("step"), F.col("total")))
+    return ranks.join(index.children, ["parent", "pos"]).select("seq", "parent", F.col("child").alias("row_id"), "rank")
+
+
+def top_children(asked: DataFrame, index: ChildIndex, width: int, seed: int = 0) -> DataFrame:
+    """(seq, parent, row_id, rank): at most width children in time of each of asked (seq, row_id, obs): all where there are no more, else a draw."""
+    rows = eligible(asked.select("seq", "row_id", "obs"), index).withColumns({"since": F.lit(0), "upto": F.lit(width)})
+    return drawn_children(rows, index, seed)

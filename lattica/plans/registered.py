@@ -31,6 +31,8 @@ ANNOTATION = annotation()
 ORDER = list(ANNOTATION.tables)
 #: SQL for each table's first row number.
 OFFSET = {t: "(0" + "".join(f" + (SELECT count(*) FROM {x})" for x in ORDER[:i]) + ")" for i, t in enumerate(ORDER)}
+#: Where each row stands in its table: its key, or its place in the file where it has none.
+ROWS = {t: f"(SELECT *, {KEYED[t]} AS _row FROM {t})" if t in KEYED else f"(SELECT *, row_number() OVER () - 1 AS _row FROM {t})" for t in ORDER}
 US = "epoch_us({})"
 
 
@@ -124,8 +126,12 @@ def stats_text(spark, sf_dir):
 
 
 def _stats(spark, sf_dir, kind: SType) -> DataFrame:
-    d = db(spark, sf_dir)
-    return union(d.scan(t).agg(A.aggregates(kind, F.col(c)).alias("s")).select(F.lit(t).alias("tbl"), F.lit(c).alias("col"), "s.*") for t, c, _ in columns(kind))
+    """One aggregation a table, whatever the number of its columns."""
+    d, of = db(spark, sf_dir), {}
+    for t, c, _ in columns(kind):
+        of.setdefault(t, []).append(c)
+    one = lambda t, cs: d.scan(t).agg(*[A.aggregates(kind, F.col(c)).alias(c) for c in cs]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("s")) for c in cs])).alias("x"))
+    return union(one(t, cs).select(F.lit(t).alias("tbl"), "x.col", "x.s.*") for t, cs in of.items())
 
 
 @query(union_sql("""SELECT '{t}' AS tbl, '{c}' AS col, count(*) FILTER (WHERE {c} IS NULL) AS num_nulls, CAST(coalesce(min({c}), 0) AS DOUBLE) AS min, CAST(coalesce(max({c}), 0) AS DOUBLE) AS max,
@@ -194,28 +200,30 @@ def vocab_text(spark, sf_dir):
 # Encodings
 
 
-@query("""SELECT 'o_totalprice' AS col, o_orderkey AS key, round((o_totalprice - m) / s, 4) AS z FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders)
-  UNION ALL SELECT 'p_size', p_partkey, round((p_size - m) / s, 4) FROM part, (SELECT avg(p_size) AS m, stddev_samp(p_size) AS s FROM part)""")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS col, _row AS key, round(({c} - m) / s, 4) AS z FROM {ROWS[t]}, (SELECT avg(CAST({c} AS DOUBLE)) AS m, stddev_samp(CAST({c} AS DOUBLE)) AS s FROM {t})" for t, c, _ in columns(SType.NUMERICAL)))
 def encode_numerical_z(spark, sf_dir):
     d = db(spark, sf_dir)
     out = []
-    for t, key, c in (("orders", "o_orderkey", "o_totalprice"), ("part", "p_partkey", "p_size")):
-        s = A.table_stats(d.scan(t), d.annotation.tables[t])[c]
-        out.append(d.scan(t).select(F.lit(c).alias("col"), F.col(key).alias("key"), F.round(S.zscore(S.as_double(F.col(c)), s.mean, s.std), 4).alias("z")))
+    for t in ORDER:
+        own = [c for u, c, _ in columns(SType.NUMERICAL) if u == t]
+        if own:
+            s = A.table_stats(d.scan(t), d.annotation.tables[t])
+            z = [F.struct(F.lit(c).alias("col"), F.round(S.zscore(S.as_double(F.col(c)), s[c].mean, s[c].std), 4).alias("z")) for c in own]
+            out.append(d.rows(t).select(F.col(R.LOCAL).alias("key"), F.explode(F.array(*z)).alias("x")).select("x.col", "key", "x.z"))
     return union(out)
 
 
 _SLOTS = ", ".join(f"{f}(2 * pi() * {x} / {p}.0)" for x, p in (("second(t)", 60), ("minute(t)", 60), ("hour(t)", 24), ("(isodow(t) - 1)", 7), ("(day(t) - 1)", 31), ("(month(t) - 1)", 12), ("(dayofyear(t) - 1)", 366)) for f in ("sin", "cos"))
 
 
-@query(f"""WITH scale AS (SELECT {_SCALE} FROM ({_TIMES})), rows AS (SELECT 'orders' AS tbl, o_orderkey AS key, o_orderdate AS t FROM orders UNION ALL SELECT 'events', event_id, ts FROM events),
+@query(f"""WITH scale AS (SELECT {_SCALE} FROM ({_TIMES})), rows AS ({" UNION ALL ".join(f"SELECT '{t}' AS tbl, _row AS key, {c} AS t FROM {ROWS[t]}" for t, c, _ in columns(SType.TIMESTAMP))}),
   slots AS (SELECT tbl, key, [{_SLOTS}, (epoch_us(t) - mean) / std] AS v FROM rows, scale)
   SELECT tbl, key, unnest(range(15)) AS slot, round(CAST(CAST(unnest(v) AS FLOAT) AS DOUBLE), 4) + 0.0 AS value FROM slots""")
 def encode_timestamp15(spark, sf_dir):
     d = db(spark, sf_dir)
     scale = _scale(d).first()
-    vector = lambda t, k, c: d.scan(t).select(F.lit(t).alias("tbl"), F.col(k).alias("key"), F.posexplode(S.time_vector(F.col(c), scale.mean, scale.std)).alias("slot", "v"))
-    both = vector("orders", "o_orderkey", "o_orderdate").unionAll(vector("events", "event_id", "ts"))
+    vector = lambda t, c: d.rows(t).select(F.lit(t).alias("tbl"), F.col(R.LOCAL).alias("key"), F.posexplode(S.time_vector(F.col(c), scale.mean, scale.std)).alias("slot", "v"))
+    both = union(vector(t, c) for t, c, _ in columns(SType.TIMESTAMP))
     return both.select("tbl", "key", F.col("slot").cast("long").alias("slot"), (F.round(F.col("v").cast("double"), 4) + 0.0).alias("value"))
 
 
@@ -254,13 +262,7 @@ def truncate_utf8(spark, sf_dir):
 # The graph
 
 _FKS = [(t.name, c.name, c.index, to.name, to.primary_key) for t, c, to in ANNOTATION.foreign_keys()]
-#: Edges of keyed tables with both ends; lineitem and labels have no key that is their row number.
-_EDGES = " UNION ALL ".join(f"SELECT CAST({KEYED[t]} AS BIGINT) + {OFFSET[t]} AS src, CAST({c} AS BIGINT) + {OFFSET[to]} AS dst, {i} AS column_idx FROM {t}" for t, c, i, to, _ in _FKS if t in KEYED)
-
-
-def _keyed_edges(d: R.RawDatabase) -> DataFrame:
-    kept = [i for t, _, i, _, _ in _FKS if t in KEYED]
-    return G.edges(d).filter(F.col("column_idx").isin(kept))
+_EDGES = " UNION ALL ".join(f"SELECT CAST(_row AS BIGINT) + {OFFSET[t]} AS src, CAST({c} AS BIGINT) + {OFFSET[to]} AS dst, {i} AS column_idx FROM {ROWS[t]}" for t, c, i, to, _ in _FKS)
 
 
 @query("SELECT column_idx, dst, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {i} AS column_idx, CAST(x.{c} AS BIGINT) + {OFFSET[to]} AS dst FROM {t} x JOIN {to} y ON x.{c} = y.{k}" for t, c, i, to, k in _FKS) + ") GROUP BY column_idx, dst")
@@ -270,7 +272,7 @@ def fk_edges(spark, sf_dir):
 
 @query(_EDGES)
 def fk_edges_keyed(spark, sf_dir):
-    return _keyed_edges(db(spark, sf_dir)).select("src", "dst", "column_idx")
+    return G.edges(db(spark, sf_dir)).select("src", "dst", "column_idx")
 
 
 @query(f"SELECT o_orderkey + {OFFSET['orders']} AS src, CASE WHEN o_custkey % 3 = 1 THEN o_custkey END + {OFFSET['customer']} AS dst FROM orders WHERE o_custkey % 3 = 1")
@@ -294,25 +296,25 @@ _DEGREES = f"""edges AS ({_EDGES}), {_NODES}, degrees AS (SELECT row_id, coalesc
 @query(f"WITH {_DEGREES} SELECT row_id, out_degree, in_degree FROM degrees")
 def degrees(spark, sf_dir):
     d = db(spark, sf_dir)
-    return G.degrees(_keyed_edges(d), G.nodes(d))
+    return G.degrees(G.edges(d), G.nodes(d))
 
 
 @query(f"WITH {_DEGREES} SELECT row_id, CAST(sum(out_degree) OVER (ORDER BY row_id) - out_degree AS BIGINT) AS row_ptr FROM degrees")
 def csr_row_ptr(spark, sf_dir):
     d = db(spark, sf_dir)
-    return G.row_pointers(G.degrees(_keyed_edges(d), G.nodes(d)))
+    return G.row_pointers(G.degrees(G.edges(d), G.nodes(d)))
 
 
 @query(f"WITH edges AS ({_EDGES}) SELECT src AS row_id, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS place, dst AS neighbor FROM edges")
 def csr_adjacency(spark, sf_dir):
     d = db(spark, sf_dir)
-    return G.adjacency(_keyed_edges(d), G.nodes(d)).select("row_id", F.posexplode("neighbors").alias("place", "neighbor")).withColumn("place", F.col("place").cast("long"))
+    return G.flat_adjacency(G.edges(d))
 
 
 @query(f"WITH edges AS ({_EDGES}) SELECT dst AS row_id, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS place, src AS neighbor FROM edges")
 def csr_transpose(spark, sf_dir):
     d = db(spark, sf_dir)
-    return G.adjacency(G.transposed(_keyed_edges(d)), G.nodes(d)).select("row_id", F.posexplode("neighbors").alias("place", "neighbor")).withColumn("place", F.col("place").cast("long"))
+    return G.flat_adjacency(G.transposed(G.edges(d)))
 
 
 _STATS = "SELECT '{c}' AS side, round(avg({c}), 6) AS mean, max({c}) AS max, list_sort(list({c}))[count(*) // 2 + 1] AS median, list_sort(list({c}))[CAST(floor(count(*) * 0.99) AS BIGINT) + 1] AS p99 FROM degrees"
@@ -321,7 +323,7 @@ _STATS = "SELECT '{c}' AS side, round(avg({c}), 6) AS mean, max({c}) AS max, lis
 @query(f"WITH {_DEGREES} {_STATS.format(c='out_degree')} UNION ALL {_STATS.format(c='in_degree')}")
 def degree_stats(spark, sf_dir):
     d = db(spark, sf_dir)
-    g = G.degrees(_keyed_edges(d), G.nodes(d))
+    g = G.degrees(G.edges(d), G.nodes(d))
     return union(G.degree_stats(g, c).select(F.lit(c).alias("side"), F.round("mean", 6).alias("mean"), "max", "median", "p99") for c in ("out_degree", "in_degree"))
 
 
@@ -331,7 +333,7 @@ def node_sample(spark, sf_dir):
     return G.sampled_nodes(G.nodes(d), sum(d.counts.values()), 5)
 
 
-_ORDERTIME = f"SELECT o_orderkey + {OFFSET['orders']} AS row_id, epoch_us(o_orderdate) AS us FROM orders"
+_ALLTIMES = " UNION ALL ".join(f"SELECT _row + {OFFSET[t]} AS row_id, epoch_us({c}) AS us FROM {ROWS[t]}" for t, c, _ in columns(SType.TIMESTAMP))
 
 
 def _frontier(d: R.RawDatabase) -> DataFrame:
@@ -343,7 +345,7 @@ def _times(d: R.RawDatabase) -> DataFrame:
     return union(d.rows(t).select("row_id", S.micros(F.col(c)).alias("us")) for t, c, _ in columns(SType.TIMESTAMP))
 
 
-_HOP = f"""edges AS ({_EDGES}), times AS ({_ORDERTIME} UNION ALL SELECT event_id + {OFFSET['events']}, epoch_us(ts) FROM events),
+_HOP = f"""edges AS ({_EDGES}), times AS ({_ALLTIMES}),
   start AS (SELECT c_custkey AS seq, c_custkey + {OFFSET['customer']} AS row_id FROM customer),
   hop1 AS (SELECT seq, row_id AS parent, dst AS row_id, 'parent' AS relation FROM start JOIN edges ON src = row_id
     UNION ALL SELECT seq, start.row_id, src, 'child' FROM start JOIN edges ON dst = start.row_id LEFT JOIN times ON times.row_id = src WHERE us IS NULL OR us <= 899251200000000)"""
@@ -352,7 +354,7 @@ _HOP = f"""edges AS ({_EDGES}), times AS ({_ORDERTIME} UNION ALL SELECT event_id
 @query(f"WITH {_HOP} SELECT seq, parent, row_id, relation FROM hop1")
 def neighbors_1hop_temporal(spark, sf_dir):
     d = db(spark, sf_dir)
-    return G.expanded(_frontier(d), _keyed_edges(d), _times(d)).drop("obs")
+    return G.expanded(_frontier(d), G.edges(d), _times(d)).drop("obs")
 
 
 @query(f"""WITH {_HOP}, front AS (SELECT DISTINCT seq, row_id FROM hop1), hop2 AS (SELECT seq, row_id AS parent, dst AS row_id, 'parent' AS relation FROM front JOIN edges ON src = row_id
@@ -360,16 +362,18 @@ def neighbors_1hop_temporal(spark, sf_dir):
   SELECT relation, row_id, count(*) AS n, count(DISTINCT seq) AS sequences FROM hop2 GROUP BY relation, row_id""")
 def neighbors_2hop_temporal(spark, sf_dir):
     d = db(spark, sf_dir)
-    e, t = _keyed_edges(d), _times(d)
+    e, t = G.edges(d), _times(d)
     one = G.expanded(_frontier(d), e, t).select("seq", "row_id", "obs").distinct()
     return G.expanded(one, e, t).groupBy("relation", "row_id").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("sequences"))
 
 
 @query(f"""WITH {_HOP}, kids AS (SELECT DISTINCT seq, parent, row_id FROM hop1 WHERE relation = 'child')
-  SELECT seq, least(count(*), 8) AS kept FROM kids GROUP BY seq""")
+  SELECT seq, least(count(*), 8) AS kept, 0 AS late FROM kids GROUP BY seq""")
 def child_topw(spark, sf_dir):
     d = db(spark, sf_dir)
-    return G.top_children(G.expanded(_frontier(d), _keyed_edges(d), _times(d)), 8).groupBy("seq").agg(F.count("*").alias("kept"))
+    index = G.child_index(G.edges(d), _times(d))
+    kept = G.top_children(_frontier(d), index, 8).join(index.children.withColumnRenamed("child", "row_id"), ["parent", "row_id"])
+    return kept.groupBy("seq").agg(F.count_distinct("row_id").alias("kept"), F.count_if(F.col("us") > 899251200000000).alias("late"))
 
 
 # Tasks
@@ -500,54 +504,114 @@ def rank_shard(spark, sf_dir):
     return B.sharded(B.assigned(_seeds(db(spark, sf_dir))), 1, 4, ("row",)).select("task_idx", "split", "row")
 
 
-# Sequences: the walk's order has no SQL; tests hold it against a plain model
+# Sequences. With children, what is drawn follows from hashes, and tests hold the walk against a plain model. Without
+# them (a width of 0) it is what rows refer to, first come first served, which SQL can say.
 
 
-def _context(spark, sf_dir):
+def _context(spark, sf_dir, table: str, config: M.SamplerConfig):
+    """(database, edges, walked) of every row of a table, seen at the middle of 1998."""
     d = db(spark, sf_dir)
     written = lambda df: keep(df, "walk")
-    config = M.SamplerConfig(sequence_length=64, bfs_child_width=4, max_rows_per_seq=12)
-    seeds = d.rows("supplier").select(F.col("s_suppkey").alias("seq"), "row_id", F.lit(899251200000000).alias("obs"))
+    seeds = d.rows(table).select(F.col("row_id").alias("seq"), "row_id", F.lit(899251200000000).alias("obs"))
     widths = [(d.offsets[t.name], sum(c.stype != SType.IGNORED for c in t.columns.values())) for t in d.annotation.tables.values()]
     e = written(G.edges(d))
-    return d, e, M.sampled(spark, seeds, e, written(_times(d)), widths, config, written), config
+    return d, e, M.sampled(spark, seeds, e, _times(d), widths, config, written)
 
 
 def _long_cells(d: R.RawDatabase) -> DataFrame:
-    """Cells of every row without values: enough for what does not look at them."""
-    tables = [(t.index, pos, c.index, int(c.stype)) for t in d.annotation.tables.values() for pos, c in enumerate(x for x in t.columns.values() if x.stype != SType.IGNORED)]
-    layout = d.spark.createDataFrame(tables, "table_idx int, pos int, column_idx int, stype int")
-    return d.table_of(G.nodes(d)).join(F.broadcast(layout), "table_idx").select("row_id", "pos", "column_idx", "stype", F.lit(False).alias("is_null"))
+    """Cells of every row: numbers as they stand, of orders no lowest priority, and what is null."""
+    out = []
+    for t in d.annotation.tables.values():
+        rows = d.rows(t.name)
+        if t.name == "orders":
+            rows = rows.withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+        cells = []
+        for pos, c in enumerate(x for x in t.columns.values() if x.stype != SType.IGNORED):
+            null = F.lit(False) if c.stype == SType.IDENTIFIER else F.col(c.name).isNull()
+            number = F.col(c.name).cast("double") if c.stype == SType.NUMERICAL else F.lit(None).cast("double")
+            cells.append(F.struct(F.lit(pos).alias("pos"), F.lit(c.index).alias("column_idx"), F.lit(int(c.stype)).alias("stype"), null.alias("is_null"), number.alias("numeric")))
+        out.append(rows.select("row_id", F.explode(F.array(*cells)).alias("c")).select("row_id", "c.*"))
+    return union(out)
 
 
 @query()
 def sequence_cells(spark, sf_dir):
-    d, _, walked, config = _context(spark, sf_dir)
+    config = M.SamplerConfig()
+    d, _, walked = _context(spark, sf_dir, "supplier", config)
     return M.sequence_cells(walked, _long_cells(d), config).select("seq", "pos", "seq_row_id", "row_id", "column_idx", "stype")
 
 
 @query()
-def sequence_summary(spark, sf_dir):
-    d, e, walked, config = _context(spark, sf_dir)
-    return M.summary(M.sequence_cells(walked, _long_cells(d), config), M.row_adjacency(walked, e))
+def sequence_edges(spark, sf_dir):
+    """References within the sequences of sequence_cells."""
+    _, e, walked = _context(spark, sf_dir, "supplier", M.SamplerConfig())
+    return M.row_adjacency(walked, e)
 
 
-@query()
-def target_mark(spark, sf_dir):
-    d, _, walked, config = _context(spark, sf_dir)
-    at = M.target_position([c.stype for c in d.annotation.tables["supplier"].columns.values()], SType.NUMERICAL)
-    return M.sequence_cells(walked, _long_cells(d), config).filter(F.col("pos") == at).select("seq", "pos", "column_idx", "row_id")
+_WIDTH = {t.name: sum(c.stype != SType.IGNORED for c in t.columns.values()) for t in ANNOTATION.tables.values()}
+_SIZE = "CASE " + " ".join(f"WHEN row_id >= {OFFSET[t]} THEN {_WIDTH[t]}" for t in reversed(ORDER)) + " END"
+#: What a line item refers to, in the order of the walk: supplier, part, order, the supplier's nation, the customer, the
+#: nation's region, and the customer's nation and its region where they are others.
+_ANCESTORS = f"""parts AS (SELECT l._row + {OFFSET['lineitem']} AS seq, l_suppkey + {OFFSET['supplier']} AS r1, l_partkey + {OFFSET['part']} AS r2, l_orderkey + {OFFSET['orders']} AS r3, s_nationkey + {OFFSET['nation']} AS r4,
+    o_custkey + {OFFSET['customer']} AS r5, a.n_regionkey AS r6, c_nationkey + {OFFSET['nation']} AS r7, b.n_regionkey AS r8, o_orderpriority = '5-LOW' AS low
+    FROM {ROWS['lineitem']} l JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN customer ON c_custkey = o_custkey JOIN nation b ON b.n_nationkey = c_nationkey),
+  lists AS (SELECT seq, low, [seq, r1, r2, r3, r4, r5, r6] || (CASE WHEN r7 <> r4 THEN [r7] ELSE [] END) || (CASE WHEN r8 <> r6 THEN [r8] ELSE [] END) AS l FROM parts),
+  walked AS (SELECT seq, low, unnest(range(len(l))) AS seq_row_id, unnest(l) AS row_id FROM lists)"""
 
 
-@query()
+@query(f"""WITH {_ANCESTORS} SELECT seq, seq_row_id, row_id, CAST(sum({_SIZE}) OVER (PARTITION BY seq ORDER BY seq_row_id) - {_SIZE} AS BIGINT) AS first_pos FROM walked""")
+def sequence_ancestors(spark, sf_dir):
+    return _context(spark, sf_dir, "lineitem", M.SamplerConfig(bfs_child_width=0))[2]
+
+
+@query(f"""WITH {_ANCESTORS}, edges AS ({_EDGES}), e AS (SELECT a.seq, count(DISTINCT (a.row_id, b.row_id)) AS edges FROM walked a JOIN edges x ON x.src = a.row_id JOIN walked b ON b.seq = a.seq AND b.row_id = x.dst GROUP BY a.seq)
+  SELECT seq, CAST(sum({_SIZE}) AS BIGINT) AS cells, count(*) AS rows, CASE WHEN bool_or(low) THEN 1 ELSE 0 END AS nulls, any_value(edges) AS edges FROM walked JOIN e USING (seq) GROUP BY seq""")
+def sequence_summary(spark, sf_dir):
+    config = M.SamplerConfig(bfs_child_width=0)
+    d, e, walked = _context(spark, sf_dir, "lineitem", config)
+    return M.summary(M.sequence_cells(walked, _long_cells(d), config), M.row_adjacency(walked, e))
+
+
+@query(f"""WITH {_ANCESTORS}, edges AS ({_EDGES}) SELECT DISTINCT a.seq, a.seq_row_id AS i, b.seq_row_id AS j FROM walked a JOIN edges x ON x.src = a.row_id JOIN walked b ON b.seq = a.seq AND b.row_id = x.dst""")
 def fk_adj(spark, sf_dir):
-    _, e, walked, _ = _context(spark, sf_dir)
+    _, e, walked = _context(spark, sf_dir, "lineitem", M.SamplerConfig(bfs_child_width=0))
     return M.row_adjacency(walked, e)
 
 
-@query()
+_LAYOUT = " UNION ALL ".join(f"SELECT '{t.name}' AS tbl, {k} AS cell, {c.index} AS column_idx" for t in ANNOTATION.tables.values() if t.name in ("orders", "customer") for k, c in enumerate(x for x in t.columns.values() if x.stype != SType.IGNORED))
+
+
+@query(f"""WITH layout AS ({_LAYOUT}), w AS (SELECT o_orderkey + {OFFSET['orders']} AS seq, o_orderkey + {OFFSET['orders']} AS o, o_custkey + {OFFSET['customer']} AS c FROM orders)
+  SELECT seq, CAST(cell AS BIGINT) AS pos, 0 AS seq_row_id, o AS row_id, column_idx FROM w, layout WHERE tbl = 'orders'
+  UNION ALL SELECT seq, cell + {_WIDTH['orders']}, 1, c, column_idx FROM w, layout WHERE tbl = 'customer' AND cell + {_WIDTH['orders']} < 9""")
+def sequence_cut(spark, sf_dir):
+    """A length that ends within the second row."""
+    config = M.SamplerConfig(sequence_length=9, bfs_child_width=0)
+    d, _, walked = _context(spark, sf_dir, "orders", config)
+    return M.sequence_cells(walked, _long_cells(d), config).select("seq", "pos", "seq_row_id", "row_id", "column_idx")
+
+
+_AT = M.target_position([c.stype for c in ANNOTATION.tables["orders"].columns.values()], SType.NUMERICAL)
+
+
+@query(f"""WITH layout AS ({_LAYOUT}), counts AS (SELECT o_orderkey AS k, CASE WHEN num_lineitems > 1 THEN num_lineitems END AS v FROM ({K.rewritten(TASKS['task_num_lineitems_30d'][0], ORDER).replace('`', '')}))
+  SELECT o_orderkey + {OFFSET['orders']} AS seq, cell AS pos, cell = {_AT} AS is_target, CASE WHEN cell = {_AT} THEN v IS NULL ELSE column_idx = {next(c.index for c in ANNOTATION.tables['orders'].columns.values() if c.name == 'o_orderpriority')} AND o_orderpriority = '5-LOW' END AS is_null,
+    CASE WHEN cell = {_AT} THEN CAST(v AS DOUBLE) END AS numeric FROM orders JOIN counts ON k = o_orderkey, layout WHERE tbl = 'orders'""")
+def target_mark(spark, sf_dir):
+    config = M.SamplerConfig(sequence_length=_WIDTH["orders"], bfs_child_width=0)
+    d, _, walked = _context(spark, sf_dir, "orders", config)
+    d.register()
+    targets = K.resolved(d, d.annotation.tasks["task_num_lineitems_30d"]).select(F.col("row_id").alias("seq"), F.when(F.col("target") > 1, F.col("target").cast("double")).alias("numeric"))
+    marked = M.marked(M.sequence_cells(walked, _long_cells(d), config), targets, _AT, "numeric")
+    return marked.select("seq", F.col("pos").cast("int").alias("pos"), "is_target", "is_null", "numeric")
+
+
+@query(f"""SELECT s_suppkey + {OFFSET['supplier']} AS seq, unnest(range(12)) AS place, unnest([7, 8, 4, 5, 6, 0, 1, 2, 3, 9, 10, 11]) AS col_perm,
+  unnest([4, 5, 6, 0, 1, 2, 3, 7, 8, 9, 10, 11]) AS out_perm, unnest([7, 8, 4, 5, 6, 0, 1, 2, 3, 9, 10, 11]) AS in_perm FROM supplier""")
 def perm_rcm(spark, sf_dir):
-    d, e, walked, config = _context(spark, sf_dir)
+    """Chains of a supplier, its nation and its region: nine cells and three places of padding."""
+    config = M.SamplerConfig(sequence_length=12, bfs_child_width=0, max_rows_per_seq=3)
+    d, e, walked = _context(spark, sf_dir, "supplier", config)
     from lattica.streaming.batches import permuted
 
     return permuted(M.sequence_cells(walked, _long_cells(d), config), M.row_adjacency(walked, e), config)
@@ -567,11 +631,11 @@ def attention_masks(spark, sf_dir):
     return M.masks(cells, adjacency)
 
 
-@query("""WITH x AS (SELECT doc_id % 16 AS batch, doc_id // 16 AS seq, lang || source AS text FROM documents WHERE lang <> 'fr')
-  SELECT batch, text, row_number() OVER (PARTITION BY batch ORDER BY f) - 1 AS local FROM (SELECT batch, text, min(seq) AS f FROM x GROUP BY batch, text)""")
+@query("""WITH x AS (SELECT doc_id % 16 AS batch, doc_id // 16 AS seq, text FROM documents WHERE text IS NOT NULL)
+  SELECT batch, md5(text) AS digest, row_number() OVER (PARTITION BY batch ORDER BY f) - 1 AS local FROM (SELECT batch, text, min(seq) AS f FROM x GROUP BY batch, text)""")
 def batch_text_dedup(spark, sf_dir):
-    x = db(spark, sf_dir).scan("documents").select((F.col("doc_id") % 16).alias("batch"), F.floor(F.col("doc_id") / 16).alias("seq"), F.lit(0).alias("pos"), F.when(F.col("lang") != "fr", F.concat("lang", "source")).alias("text"))
-    return M.local_texts(x).withColumn("local", F.col("local").cast("long"))
+    x = db(spark, sf_dir).scan("documents").select((F.col("doc_id") % 16).alias("batch"), F.floor(F.col("doc_id") / 16).alias("seq"), F.lit(0).alias("pos"), "text")
+    return M.local_texts(x).select("batch", F.md5("text").alias("digest"), F.col("local").cast("long").alias("local"))
 
 
 # Vectors
@@ -597,10 +661,11 @@ def cosine(spark, sf_dir):
     return e.join(near, "vec_id").select("vec_id", (F.round(S.cosine(F.col("embedding"), F.col("other")), 4) + 0.0).alias("cosine"))
 
 
-@query("SELECT event_id, vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM events JOIN embeddings ON vec_id = user_id % 500")
+@query("SELECT event_id, vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)")
 def embed_gather(spark, sf_dir):
     e = R.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
-    return R.read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 500).alias("vec_id")).join(e, "vec_id").select("event_id", "vec_id", F.round("x", 6).alias("first"))
+    keys = R.read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % e.count()).alias("vec_id"))
+    return keys.join(e, "vec_id").select("event_id", "vec_id", F.round("x", 6).alias("first"))
 
 
 # Profiles
@@ -635,10 +700,17 @@ def fk_check(spark, sf_dir):
     return one("lineitem", "l_orderkey", "orders", "o_orderkey").unionAll(one("events", "user_id", "supplier", "s_suppkey"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, {len(ANNOTATION.tables[t].columns)} AS n_columns, count(*) AS n_rows FROM {t}" for t in ORDER))
+_DISTINCT = lambda t, k: " + ".join(["0", *(f"(SELECT count(DISTINCT {c}) FROM {t})" for u, c, _ in columns(k) if u == t)])
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, {len(ANNOTATION.tables[t].columns)} AS n_columns, (SELECT count(*) FROM {t}) AS n_rows, {' + '.join(['0', *(f'(SELECT count({c}) FROM {u})' for u, c, *_ in _FKS if u == t)])} AS n_edges, {_DISTINCT(t, SType.CATEGORICAL)} AS n_categories, {sum(x[1] == t for x in TASKS.values())} AS n_tasks" for t in ORDER))
 def db_overview(spark, sf_dir):
     d = db(spark, sf_dir)
-    return spark.createDataFrame([(t, len(d.annotation.tables[t].columns), n) for t, n in d.counts.items()], "tbl string, n_columns int, n_rows long")
+    tables = spark.createDataFrame([(t, len(d.annotation.tables[t].columns), n, sum(x.anchor_table == t for x in d.annotation.tasks.values())) for t, n in d.counts.items()], "tbl string, n_columns int, n_rows long, n_tasks int")
+    of = spark.createDataFrame([(c.index, t.name) for t, c in d.annotation.column_list()], "column_idx int, tbl string")
+    count = lambda df, name: df.groupBy("column_idx").agg(F.count("*").alias("n")).join(F.broadcast(of), "column_idx").groupBy("tbl").agg(F.sum("n").alias(name))
+    out = tables.join(count(G.edges(d), "n_edges"), "tbl", "left").join(count(V.categorical(d), "n_categories"), "tbl", "left")
+    return out.fillna(0)
 
 
 # Losses
@@ -650,9 +722,9 @@ def loss_bce(spark, sf_dir):
     return e.select("event_id", F.round(L.bce(F.col("value") / 10 - 5, F.when(F.col("event_id") % 3 == 0, 1.0).otherwise(0.0)), 6).alias("loss"))
 
 
-@query("SELECT event_id, round(CASE WHEN abs(x) <= 1 THEN x * x / 2 ELSE abs(x) - 0.5 END, 6) AS loss FROM (SELECT event_id, value / 20 - 1 AS x FROM events)")
+@query("SELECT event_id, 0.5::DOUBLE * q * q + 1.0::DOUBLE * (abs(x) - q) AS loss FROM (SELECT event_id, x, least(abs(x), 1.0::DOUBLE) AS q FROM (SELECT event_id, CAST(value AS DOUBLE) / 20 - 1 AS x FROM events))")
 def loss_huber(spark, sf_dir):
-    return R.read(spark, sf_dir, "events").select("event_id", F.round(L.huber(F.col("value") / 20 - 1), 6).alias("loss"))
+    return R.read(spark, sf_dir, "events").select("event_id", L.huber(F.col("value").cast("double") / 20 - 1).alias("loss"))
 
 
 @query("""WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) * 8 FOR x IN embedding[1:15]] AS p, [CAST(x AS DOUBLE) * 8 FOR x IN embedding[16:30]] AS t FROM embeddings),

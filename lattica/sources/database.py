@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -14,12 +13,9 @@ from lattica.sources.annotation import Annotation, SType
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one."""
+    """The shared folder of spark.checkpoint.dir; where it is unset, one of the warehouse, which executors share as well."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = getattr(spark, "_lattica_folder", None) or tempfile.mkdtemp(prefix="lattica-")
-        spark._lattica_folder = at
-    return at.rstrip("/")
+    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -27,7 +23,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/lattica/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    return out
+
+
+def forget(tables: list[DataFrame]) -> None:
+    """Deletes tables made by written() that nothing is going to read again."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._lattica_path)
+        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import sampling as M
+from lattica.operators.graph import child_index
 from lattica.operators.split import assigned, positioned, sharded
 from lattica.sources.annotation import SType, stype_of
-from lattica.sources.database import Database, written
+from lattica.sources.database import Database, forget, written
 
 SPLITS = ("train", "val", "test")
 
@@ -71,6 +72,7 @@ class Sampler:
         self._sizes = {s: {r.task_idx: r.n for r in sizes if r.split == s} for s in SPLITS}
         self._numbered = self._written(positioned(self._seeds).withColumnRenamed("position", "k"))
         self._edges, self._times, self._cells = db.edges, self._written(db.times), db.cells
+        self._index = child_index(self._edges, self._times)
         self._stop = threading.Event()
         self._queues: dict[str, queue.Queue] = {}
         self._threads: list[threading.Thread] = []
@@ -79,9 +81,16 @@ class Sampler:
     def _written(df: DataFrame) -> DataFrame:
         return written(df, "batches")
 
-    def sequences(self, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(walked, cells) of seeds (seq, row_id, obs)."""
-        walked = self._written(M.sampled(self.db.spark, seeds, self._edges, self._times, self.db.widths(), self.config, self._written))
+    def sequences(self, seeds: DataFrame, tables: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+        """(walked, cells) of seeds (seq, row_id, obs); tables gets what is written on the way."""
+
+        def made(df: DataFrame) -> DataFrame:
+            out = self._written(df)
+            if tables is not None:
+                tables.append(out)
+            return out
+
+        walked = made(M.sampled(self.db.spark, seeds, self._edges, self._times, self.db.widths(), self.config, made, self._index))
         return walked, M.sequence_cells(walked, self._cells, self.config)
 
     def _choices(self, split: str, number: int) -> tuple[int, np.ndarray] | None:
@@ -104,13 +113,15 @@ class Sampler:
             rows += [(m * b + i, pick[0], int(k)) for i, k in enumerate(pick[1])]
         picks = self.db.spark.createDataFrame(rows, "seq long, task_idx int, k long")
         seeds = self._written(self._numbered.filter(F.col("split") == split).join(F.broadcast(picks), ["task_idx", "k"]))
-        walked, cells = self.sequences(seeds)
+        tables = [seeds]
+        walked, cells = self.sequences(seeds, tables)
         found = cells.toPandas()
         adjacency = M.row_adjacency(walked, self._edges).toPandas()
         targets = seeds.toPandas().set_index("seq")
         texts = found.text.dropna().unique().astype("int64").tolist()
         wanted = self.db.spark.createDataFrame([(x,) for x in texts] or [(-1,)], "idx long")
         vectors = {r.idx: np.array(r.emb, np.float32) for r in self.db.embeddings("text").join(F.broadcast(wanted), "idx").collect()}
+        forget(tables)  # all is here; an endless stream must not fill the shared folder
         by_seq, by_adj = dict(list(found.groupby("seq"))), dict(list(adjacency.groupby("seq")))
         return [self._assembled(m, chosen[m], by_seq, by_adj, targets, vectors) for m in range(count)]
 

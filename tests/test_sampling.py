@@ -6,6 +6,7 @@ import uuid
 import numpy as np
 import pytest
 
+from lattica.operators import graph as G
 from lattica.operators import sampling as M
 from lattica.sources.annotation import SType
 
@@ -53,15 +54,36 @@ def test_walk_against_model(spark, tmp_path, trial):
     for a, b in edges:
         out.setdefault(a, []).append(b)
         into.setdefault(b, []).append(a)
+    hashes = {(r.seq, r.parent): r.h for r in spark.createDataFrame([(q, p) for q, *_ in seeds for p in into], "seq long, parent long").selectExpr("seq", "parent", f"xxhash64({c.seed}, seq, parent) AS h").collect()}
     for seq, seed, obs in seeds:
-        pairs = spark.createDataFrame([(seq, p, k) for p in into for k in set(into[p])], "seq long, parent long, row_id long")
-        ranked = pairs.selectExpr("parent", "row_id", f"xxhash64({c.seed}, seq, parent, row_id) AS h").collect()
-        rank = {(seed, r.parent, r.row_id): r.h for r in ranked}
+        rank = {}
+        for p in into:
+            kids = sorted((k for k in set(into[p]) if obs is None or times.get(k) is None or times[k] <= obs), key=lambda k: (times.get(k, -1), k))
+            h = hashes[seq, p]
+            for i in range(len(kids)):
+                rank[seed, p, kids[((h >> 8) % len(kids) + i * G.STEPS[h % len(G.STEPS)]) % len(kids)]] = i
         own = got[got.seq == seq].sort_values("seq_row_id")
         assert own.row_id.tolist() == model(seed, out, into, times, obs, rank, 3, c)
         assert own.first_pos.tolist() == [min(3 * i, 40) for i in range(len(own))]
 
 
+def test_children_of_a_hub_in_time(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 16)
+    rng = random.Random(3)
+    times = {i: rng.randrange(50) for i in range(1, 101) if i % 3}
+    e = spark.createDataFrame([(i, 0) for i in range(1, 101)] + [(1, 0)], "src long, dst long")
+    index = G.child_index(e, spark.createDataFrame(list(times.items()), "row_id long, us long"))
+    asked = spark.createDataFrame([(q, 0, obs) for q, obs in enumerate((None, -1, 0, 20, 49))] + [(9, 5, None)], "seq long, row_id long, obs long")
+    want = {q: {i for i in range(1, 101) if obs is None or times.get(i) is None or times[i] <= obs} for q, obs in enumerate((None, -1, 0, 20, 49))}
+    assert {r.seq: r.total for r in G.eligible(asked, index).collect()} == {q: len(x) for q, x in want.items()} | {9: 0}
+    for width in (5, 200):
+        got = {}
+        for r in G.top_children(asked, index, width).collect():
+            got.setdefault(r.seq, []).append(r.row_id)
+        for q, x in want.items():
+            assert len(set(got[q])) == len(got[q]) == min(width, len(x)) and set(got[q]) <= x
+
+
 def test_budgets_cut():
     c = M.SamplerConfig(sequence_length=7, bfs_child_width=5, max_rows_per_seq=3)
     chain = {i: [i + 1] for i in range(9)}
