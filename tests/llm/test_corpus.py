@@ -9,6 +9,7 @@ import pytest
 
 from lattica.llm import decontaminate as D
 from lattica.llm import packing as P
+from lattica.llm.minhash_dedup import near_duplicates
 from lattica.llm.shared import written
 
 
@@ -169,5 +170,5 @@ def test_stages(spark):
     assert not any(q in t for _, q, _ in items for t in texts.values())
     out = C.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in out} == set(texts)
-    near = C.near_duplicates(docs).collect()
+    near = near_duplicates(docs).collect()
     assert all(r.kept for r in near)
