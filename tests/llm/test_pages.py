@@ -137,17 +137,15 @@ def test_propagation_against_plain_loops(spark):
         e = edges if k == 0 else [(b, a) for a, b in edges]
         n = {a: sum(x == a for x, _ in e) for a, _ in e}
         reach = dict.fromkeys(hosts, 0.0)
-        for _ in range(U.STEPS):
+        for _ in range(200):
             held = {h: reach[h] + next(s[1 + k] for s in seeds if s[0] == h) for h in hosts}
-            new = dict.fromkeys(hosts, 0.0)
+            reach = dict.fromkeys(hosts, 0.0)
             for a, b in e:
-                new[b] += U.DAMPING * held[a] / n[a]
-            done = sum(abs(new[h] - reach[h]) for h in hosts) < U.SETTLED / 10
-            reach = new
-            if done:
-                break
+                reach[b] += U.DAMPING * held[a] / n[a]
+        total = sum(s[1 + k] for s in seeds)
+        assert 0 <= sum(reach.values()) - sum(got.get(h, (0, 0))[k] for h in hosts) <= 2 * U.SETTLED * total
         for h in hosts:
-            assert got.get(h, (0, 0))[k] == pytest.approx(reach[h], abs=1e-3), h
+            assert got.get(h, (0, 0))[k] == pytest.approx(reach[h], abs=3e-3), h
 
 
 def test_links_decide_where_no_rule_fits(spark, rules):
