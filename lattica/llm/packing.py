@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from lattica.llm.shared import small_batches, written
 
 WINDOW, END = 2048, 1
-SALTS = 16
+#: Pieces of one length are ranked in SALTS groups, in more where those would exceed RANKED rows.
+SALTS, RANKED = 16, 200_000
 #: Text the two tokenizer libraries may read differently: their special token, and letters newer than one of their tables.
 _UNLIKE = re.compile("<\\|endoftext\\|>|[⿠-\U0010ffff]")
 _ENCODERS: dict[tuple[str, str], tuple] = {}
@@ -168,18 +169,22 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[dict[int
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """pieces with sequence_id and offset: each sequence's pieces lie without gaps from 0 and are at most window long.
 
-    pieces needs doc_id, start and length (1 to window; other lengths are an error); all other columns are kept. It is
-    read more than once and so should be a written table. Equal lengths are ranked within salted groups, so one length
-    may hold any share of the rows. An empty table stays empty.
+    pieces needs doc_id, start and length (1 to window; other lengths are an error); other columns are kept, but for
+    columns of these two names. It is read more than once and so should be a written table. Equal lengths are ranked
+    in salted groups of about RANKED rows at most, so one length may hold any share of the rows. An empty table stays empty.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # at most window * SALTS rows
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = pieces.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.struct(*[f"`{c}`" for c in kept]).alias("row"))
+    groups = [(r.length, max(SALTS, -(-r.n // RANKED))) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()]  # at most window rows
+    sizes = spark.createDataFrame(groups, "length long, groups long")
+    salted = rows.join(F.broadcast(sizes), "length", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "groups"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # one row a group
     if any(not r.length or not 0 < r.length <= window for r in counts):
         raise ValueError(f"lengths must be between 1 and {window}")
     bases, sums = [], Counter()
     for r in sorted(counts):
-        bases.append((r.length, r._salt, sums[r.length]))
+        bases.append((r.length, r.salt, sums[r.length]))
         sums[r.length] += r.n
     slots, used, first = [], Counter(), 0
     for pattern, repeats in plan(dict(sums), window):
@@ -198,19 +203,17 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, start_of, base, mult, at = tables.value
         for b in batches:
-            length, rank = (b.column(c).to_numpy() for c in ("length", "_rank"))
+            length, rank = (b.column(c).to_numpy() for c in ("length", "rank"))
             i = np.searchsorted(low, (length << 48) + rank, "right") - 1
             q = rank - start_of[i]
-            cols = [b.column(c) for c in kept]
+            cols = b.column("row").flatten()
             yield pa.RecordBatch.from_arrays([*cols, pa.array(base[i] + q // mult[i]), pa.array(at[i] + q % mult[i] * length)], [*kept, "sequence_id", "offset"])
 
-    kept = pieces.columns
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "start")
-    ranked = salted.withColumn("_n", F.row_number().over(order))
-    bases_df = spark.createDataFrame(bases, "length long, _salt long, _base long")
-    ranked = ranked.join(F.broadcast(bases_df), ["length", "_salt"]).withColumn("_rank", F.col("_n") - 1 + F.col("_base"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*[f"`{c}`" for c in kept], "_rank").mapInArrow(place, schema)
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "start")
+    bases_df = spark.createDataFrame(bases, "length long, salt long, base long")
+    ranked = salted.withColumn("n", F.row_number().over(order)).join(F.broadcast(bases_df), ["length", "salt"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in kept) + ", sequence_id long, offset long"
+    return ranked.select("row", "length", (F.col("n") - 1 + F.col("base")).alias("rank")).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:

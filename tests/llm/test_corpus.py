@@ -44,6 +44,15 @@ def test_pieces_and_places(spark, tokenizer):
     assert P.pack_documents(df.filter("false")).count() == 0
 
 
+def test_both_tokenizer_libraries_give_the_same_ids(tokenizer):
+    rng, encode = random.Random(5), P._encoder(P.tokenizer_paths())
+    ranges = [(32, 127), (9, 14), (0xA0, 0x250), (0x300, 0x600), (0x900, 0xE00), (0x2000, 0x2100), (0x3040, 0x3100), (0x4E00, 0x9FFF), (0xAC00, 0xD7A0), (0x1F300, 0x1F700)]
+    for _ in range(3000):
+        own = rng.sample(ranges, 2)
+        text = "".join(chr(rng.randrange(*rng.choice(own))) for _ in range(rng.randrange(40)))
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_plan_uses_each_piece_once():
     rng = random.Random(1)
     for window, n in ((2048, 30_000), (64, 500), (2048, 3)):
@@ -64,11 +73,19 @@ def test_plan_uses_each_piece_once():
     assert len(P.plan({k: 1000 * v for k, v in h.items()})) <= 3 * 2048
 
 
-def test_one_length_may_hold_all(spark):
+def test_one_length_may_hold_all(spark, monkeypatch):
     df = written(spark.createDataFrame([(i, 0, 300, "c") for i in range(1000)], "doc_id long, start long, length long, own string"), "t")
     out = P.pack(df)
     assert out.columns == ["doc_id", "start", "length", "own", "sequence_id", "offset"]
     assert Counter(Counter(r.sequence_id for r in out.collect()).values()) == {6: 166, 4: 1}
+    monkeypatch.setattr(P, "SALTS", 1)
+    monkeypatch.setattr(P, "RANKED", 7)
+    clash = written(df.selectExpr("doc_id", "start", "length", "own as salt", "1 as n", "'x' as row", "2 as base", "own as `a.b`", "5L as sequence_id", "0 as offset"), "t")
+    out = P.pack(clash)
+    assert out.columns == ["doc_id", "start", "length", "salt", "n", "row", "base", "a.b", "sequence_id", "offset"]
+    rows = out.collect()
+    assert {(r.doc_id, r.salt, r.n, r.row, r.base, r["a.b"]) for r in rows} == {(i, "c", 1, "x", 2, "c") for i in range(1000)}
+    assert Counter(Counter(r.sequence_id for r in rows).values()) == {6: 166, 4: 1}
     with pytest.raises(ValueError, match="lengths"):
         P.pack(df.selectExpr("doc_id", "start", "0L as length"))
 
