@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from lattica.functions.embedders import Hashing, Http, Zero
+from lattica.functions.embedders import AT_ONCE, BATCH, Hashing, Http, Zero, request_totals
 from lattica.operators.profile import draft
 from lattica.operators.sampling import SamplerConfig
 from lattica.plans.inspect import batch_report, report
@@ -26,6 +26,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--embedder", choices=("hashing", "zero", "http"), default="hashing")
     a.add_argument("--skip-embeddings", action="store_true", help="the same as --embedder zero")
     a.add_argument("--url", help="where the http embedder posts to")
+    a.add_argument("--batch-size", type=int, default=BATCH, help="strings of one request")
+    a.add_argument("--max-concurrent", type=int, default=AT_ONCE, help="requests that one task has under way")
     a = sub.add_parser("inspect", help="report on an encoded database")
     a.add_argument("--db-dir", required=True)
     for what in ("rows", "nodes", "seeds"):
@@ -47,8 +49,12 @@ def main(argv: list[str] | None = None) -> None:
     o = parser().parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if o.command == "preprocess":
-        embedder = Zero() if o.skip_embeddings else {"hashing": Hashing, "zero": Zero, "http": lambda: Http(o.url)}[o.embedder]()
-        preprocess(spark, o.data_dir, Annotation.load(o.annotation), o.out, embedder)
+        embedder = Zero() if o.skip_embeddings else {"hashing": Hashing, "zero": Zero, "http": lambda: Http(o.url, batch=o.batch_size, at_once=o.max_concurrent)}[o.embedder]()
+        totals = request_totals(spark)
+        preprocess(spark, o.data_dir, Annotation.load(o.annotation), o.out, embedder, totals)
+        if totals.value[0]:
+            names = ("serialize", "http", "deserialize", "convert")
+            print(f"{totals.value[0]} requests;", ", ".join(f"{n} {t / 1e6:.3f} s" for n, t in zip(names, totals.value[1:], strict=True)))
     elif o.command == "inspect":
         print(report(Database.load(spark, o.db_dir), o.sample_rows, o.sample_nodes, o.sample_seeds))
     elif o.command == "sample":

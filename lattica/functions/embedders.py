@@ -11,15 +11,18 @@ import random
 import time
 import urllib.request
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import astuple, dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.accumulators import Accumulator, AccumulatorParam
+from pyspark.sql import DataFrame, SparkSession
 
 DIMENSION, SERVED = 256, 1024
-BATCH = 128
+#: Strings of one request, and requests that a task has under way at once.
+BATCH, AT_ONCE = 128, 64
 
 
 class Embedder(Protocol):
@@ -69,7 +72,8 @@ class Timings:
 class Http:
     """Posts {"input": [...]}, wants as many vectors of `served` components, shortens and scales them.
 
-    Fails after `attempts`; waits 0.2 s, doubled each time up to 10 s, times 0.5 to 1.5.
+    Fails after `attempts`; waits 0.2 s, doubled each time up to 10 s, times 0.5 to 1.5. On a column each task has at most
+    `at_once` requests of `batch` strings under way, and the cluster that many times its cores.
     """
 
     url: str
@@ -77,6 +81,8 @@ class Http:
     dimension: int = DIMENSION
     served: int = SERVED
     attempts: int = 5
+    batch: int = BATCH
+    at_once: int = AT_ONCE
     timings: list[Timings] = field(default_factory=list)
 
     def _once(self, texts: list[str]) -> np.ndarray:
@@ -117,20 +123,48 @@ def shortened(x: np.ndarray, size: int) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def embedded(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = BATCH) -> DataFrame:
-    """df with emb in place of text, batch strings a call; partitions work at once, order within them is kept."""
+class _Sums(AccumulatorParam):
+    def zero(self, value: list[int]) -> list[int]:
+        return [0] * len(value)
+
+    def addInPlace(self, value1: list[int], value2: list[int]) -> list[int]:
+        return [a + b for a, b in zip(value1, value2, strict=True)]
+
+
+def request_totals(spark: SparkSession) -> Accumulator:
+    """Requests and the sums of their Timings, brought to the driver by embedded(); repeated tasks count each time."""
+    return spark.sparkContext.accumulator([0] * 5, _Sums())
+
+
+def embedded(df: DataFrame, embedder: Embedder, text: str = "text", batch: int | None = None, totals: Accumulator | None = None) -> DataFrame:
+    """df with emb in place of text; partitions work at once, order within them is kept.
+
+    batch strings a call, else as many as the embedder says, else BATCH. An embedder with at_once over 1 is called in so
+    many threads a task. Null texts are embedded as empty ones. totals, from request_totals, adds up an embedder's timings.
+    """
     kept = [f for f in df.schema if f.name != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", emb array<float>"
     names = [f.name for f in kept]
+    batch, threads = batch or getattr(embedder, "batch", BATCH), getattr(embedder, "at_once", 1)
+
+    def count() -> None:
+        timings = getattr(embedder, "timings", None)
+        if timings:
+            own = [(1, *astuple(t)) for t in timings]
+            timings.clear()
+            if totals is not None:
+                totals.add([sum(c) for c in zip(*own, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, len(b), batch):
-                part = b.slice(at, batch)
-                x = np.asarray(embedder.embed([t or "" for t in part.column(text).to_pylist()]), np.float32)
-                # vectors are kept as 16-bit floats would keep them
-                x = x.astype(np.float16).astype(np.float32)
-                emb = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), emb], [*names, "emb"])
+        with ThreadPoolExecutor(threads) as pool:
+            for b in batches:
+                parts = [b.slice(at, batch) for at in range(0, len(b), batch)]
+                inputs = ([t or "" for t in part.column(text).to_pylist()] for part in parts)
+                for part, x in zip(parts, (pool.map if threads > 1 else map)(embedder.embed, inputs), strict=True):
+                    # vectors are kept as 16-bit floats would keep them
+                    x = np.asarray(x, np.float32).astype(np.float16).astype(np.float32)
+                    emb = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), emb], [*names, "emb"])
+                count()
 
     return df.mapInArrow(run, schema)

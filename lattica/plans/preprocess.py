@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,11 @@ from lattica.sources.tables import RawDatabase
 VALUES = {SType.NUMERICAL: ("numeric", "float"), SType.TIMESTAMP: ("timestamp", "array<float>"), SType.BOOLEAN: ("boolean", "boolean"), SType.CATEGORICAL: ("categorical", "bigint")}
 
 
-def preprocess(spark: SparkSession, data_dir: str, annotation: Annotation, out: str, embedder: Embedder | None = None) -> Database:
-    """Write the database to out and load it. Tasks without seeds are left out and leave no gap in the numbers."""
+def preprocess(spark: SparkSession, data_dir: str, annotation: Annotation, out: str, embedder: Embedder | None = None, totals: Accumulator | None = None) -> Database:
+    """Write the database to out and load it. Tasks without seeds are left out and leave no gap in the numbers.
+
+    totals, from request_totals, adds up the embedder's requests.
+    """
     db = RawDatabase(spark, data_dir, annotation)
     known = {t: stats.table_stats(db.scan(t), annotation.tables[t]) for t in annotation.tables}
     times = [(db.scan(t.name), c.name) for t, c in annotation.column_list() if c.stype == SType.TIMESTAMP and c.name in db.scan(t.name).columns]
@@ -36,7 +40,7 @@ def preprocess(spark: SparkSession, data_dir: str, annotation: Annotation, out:
         known[table.name][column.name].categories = row["values"]
         known[table.name][column.name].min = row.start
     strings = vocabulary.all_strings(spark, annotation, categories, texts)
-    kept(embedded(strings.withColumn("string", F.col("text")), embedder or Zero(), "string"), "embeddings")
+    kept(embedded(strings.withColumn("string", F.col("text")), embedder or Zero(), "string", totals=totals), "embeddings")
     for t in annotation.tables.values():
         kept(encode.encode_table(db.rows(t.name), t, known[t.name], scale, categories, texts), f"tables/{t.name}")
     edges = kept(graph.edges(db), "edges")

@@ -1,4 +1,8 @@
 import datetime as dt
+import json
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
@@ -6,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import losses as L
 from lattica.functions import scalar as S
-from lattica.functions.embedders import Hashing, Zero, embedded, shortened
+from lattica.functions.embedders import Hashing, Http, Zero, embedded, request_totals, shortened
 from lattica.functions.siphash import siphash13
 from lattica.operators import split as B
 
@@ -70,6 +74,47 @@ def test_embedders(spark):
     assert [r.i for r in got] == list(range(300)) and all(len(r.emb) == 16 for r in got)
 
 
+def test_served_embeddings(spark):
+    lock, state = threading.Lock(), {"calls": 0, "now": 0, "most": 0}
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            with lock:
+                state["calls"] += 1
+                state["now"] += 1
+                state["most"] = max(state["most"], state["now"])
+                fails = state["calls"] % 7 == 1
+            time.sleep(0.1)
+            # vectors come in any order, with their place
+            body = json.dumps({"data": [{"index": i, "embedding": [3.0, float(len(t)), 9.0]} for i, t in reversed(list(enumerate(texts)))]}).encode()
+            with lock:
+                state["now"] -= 1
+            self.send_response(500 if fails else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        totals, url = request_totals(spark), f"http://127.0.0.1:{server.server_address[1]}/"
+        texts = [(i, None if i == 5 else "x" * (i % 11)) for i in range(200)]
+        df = spark.createDataFrame(texts, "i int, text string").coalesce(1)
+        got = embedded(df, Http(url, dimension=2, served=3, batch=10, at_once=8), totals=totals).collect()
+        assert [r.i for r in got] == list(range(200))
+        for r, (_, t) in zip(got, texts, strict=True):
+            want = np.array([3.0, len(t or "")])
+            assert r.emb == pytest.approx(want / np.linalg.norm(want), abs=1e-3)
+        assert 1 < state["most"] <= 8 and state["calls"] > 20
+        assert totals.value[0] == 20 and totals.value[2] >= 20 * 100_000
+    finally:
+        server.shutdown()
+
+
 def test_bits():
     raw = S.packed_bits([True, False, True] + [False] * 62 + [True])
     assert len(raw) == 16 and S.bit(raw, 0) and not S.bit(raw, 1) and S.bit(raw, 2) and S.bit(raw, 65)
