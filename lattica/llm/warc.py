@@ -1,8 +1,9 @@
 """WARC archives with revisits resolved by payload digest.
 
 Only headers (digest, size, id) are shuffled to find originals: of records with one digest, the smallest id stays a
-response and the others revisit it. Records are then written with fresh headers as plain WARC/1.1 files through Spark's
-own writer, so any Hadoop file system and the commit protocol for lost tasks serve, and are read back by Content-Length.
+response and the others revisit it. Records are then written with fresh headers as WARC/1.1 files, each record a gzip
+member of its own, through Spark's own writer, so any Hadoop file system and the commit protocol for lost tasks serve,
+and are read back by Content-Length.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from lattica.llm.shared import shared_dir, small_batches
 
 LEAST = 100
-#: Records in one archive file at most.
-FILE_RECORDS = 20_000
+#: A file holds at most so many runs of members; a run ends with the member by which it reaches so many bytes.
+FILE_RUNS, RUN_BYTES = 128, 4_000_000
 
 
 def resolve_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -62,9 +64,41 @@ def records(resolved: DataFrame) -> DataFrame:
     return resolved.select(F.concat(head, F.when(own, F.col("html")).otherwise(F.lit("")), F.lit("\r\n")).alias("value"))
 
 
-def write_archives(resolved: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Each file is a series of records; every record ends with two line ends, the second written as line separator."""
-    records(resolved).write.option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def member(record: bytes) -> bytes:
+    """A record as one gzip member, without a time or a name."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of members without their last byte, which is 0: a member ends in its length, of which that is the high byte."""
+    run = bytearray()
+
+    def done() -> pa.RecordBatch:
+        if run[-1]:  # 16 MB or more: an empty member follows
+            run.extend(member(b""))
+        out = pa.RecordBatch.from_arrays([pa.array([bytes(run[:-1])], pa.binary())], ["value"])
+        run.clear()
+        return out
+
+    for batch in batches:
+        for record in batch.column("value"):
+            run += member(record.as_buffer().to_pybytes() + b"\r\n")
+            if len(run) >= RUN_BYTES:
+                yield done()
+    if run:
+        yield done()
+
+
+def write_archives(resolved: DataFrame, path: str) -> None:
+    """Files of gzip members, one a record, so that a reader may start at any of them; every record ends with two line ends.
+
+    Spark's text writer writes the bytes as they are and, as its line separator, each run's last byte. A file's bytes
+    are bounded by FILE_RUNS runs of RUN_BYTES, or of one larger record.
+    """
+    small_batches(resolved.sparkSession)
+    runs = records(resolved).mapInArrow(_runs, "value binary").select(F.col("value").cast("string").alias("value"))
+    runs.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_RUNS).text(path)
 
 
 def parse_archive(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:

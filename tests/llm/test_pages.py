@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,9 +171,21 @@ def test_archives(spark, tmp_path):
         want = ("revisit", 2) if i in (5, 9) else ("response", None)
         assert (r.record_type, r.refers_to) == want and bytes(r.block) == (raw if want[0] == "response" else b"")
     assert got[2].url is None and got[5].url == "http://a/1X: y"
+    members = 0
+    for f in (tmp_path / "w").glob("part-*"):
+        rest = f.read_bytes()
+        while rest:
+            one = zlib.decompressobj(31)
+            text = one.decompress(rest) + one.flush()
+            assert one.eof and text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n")
+            rest, members = one.unused_data, members + 1
+    assert members == len(rows)
     with pytest.raises(Exception, match="record"):
         (tmp_path / "bad").mkdir()
         (tmp_path / "bad" / "f.txt").write_bytes(b"junk")
         W.read_archives(spark, f"{tmp_path}/bad").collect()
+    large = spark.createDataFrame([(1, "u", "abc" * 6_000_000), (2, "u", "y" * 200)], "page_id long, url string, html string")
+    W.write_archives(W.resolve_revisits(large).coalesce(1), f"{tmp_path}/large")
+    assert {r.page_id: r.payload_bytes for r in W.read_archives(spark, f"{tmp_path}/large").collect()} == {1: 18_000_000, 2: 200}
     W.write_archives(W.resolve_revisits(df.filter("false")), f"{tmp_path}/none")
     assert W.read_archives(spark, f"{tmp_path}/none").count() == 0
