@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_BYTES = 2048
@@ -123,5 +123,19 @@ def packed_bits(bits: list[bool]) -> bytes:
     return raw + b"\0" * (-len(raw) % 8)
 
 
+def packed_rows(df: DataFrame, row: str, predicate: Column) -> DataFrame:
+    """(byte, bits): a bitmap of the rows of which a predicate is true, eight rows a byte, the least significant first.
+
+    Null counts as false; bytes without a row of df are absent. Rows must not repeat.
+    """
+    set_ = F.when(predicate, F.call_function("shiftleft", F.lit(1), (F.col(row) % 8).cast("int"))).otherwise(0)
+    return df.groupBy(F.floor(F.col(row) / 8).alias("byte")).agg(F.sum(set_).cast("int").alias("bits"))
+
+
+def bit_of(bits: Column, row: Column) -> Column:
+    """Whether the row's bit is set in its byte."""
+    return F.call_function("shiftright", bits, (row % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def bit(mask: bytes, i: int) -> bool:
     return bool(mask[i >> 3] >> (i & 7) & 1)

@@ -129,6 +129,45 @@ def db_metadata(spark, sf_dir):
     return spark.createDataFrame(out, "what string, name string, n long")
 
 
+_HALF = f"(SELECT *, CAST(o_orderkey AS BIGINT) + {OFFSET['orders']} AS row_id FROM orders WHERE o_orderkey % 2 = 0)"
+
+
+@query(f"""WITH {Q._VOCABULARY} SELECT 'time' AS cell, row_id, o_orderdate IS NOT NULL AS present, epoch_us(o_orderdate) AS us, CAST(NULL AS BIGINT) AS idx FROM {_HALF}
+  UNION ALL SELECT 'key', row_id, o_custkey IS NOT NULL, epoch_us(o_orderdate), NULL FROM {_HALF}
+  UNION ALL SELECT 'category', row_id, o_orderstatus IS NOT NULL, epoch_us(o_orderdate), v.idx FROM {_HALF} LEFT JOIN vocabulary v ON v.text = 'o_orderstatus is ' || o_orderstatus""")
+def db_values(spark, sf_dir):
+    """Cells of the orders with even keys: the rows are the request."""
+    d = encoded(spark, sf_dir)
+    asked = d.table("orders").select("row_id").filter((F.col("row_id") - d.offsets["orders"]) % 2 == 0)
+    out = []
+    for cell, column in (("time", "o_orderdate"), ("key", "o_custkey"), ("category", "o_orderstatus")):
+        idx = F.col("value") if cell == "category" else F.lit(None).cast("bigint")
+        out.append(d.values(asked, "orders", column).select(F.lit(cell).alias("cell"), "row_id", "present", F.col("_us").alias("us"), idx.alias("idx")))
+    return union(out)
+
+
+@query(f"SELECT event_id + {OFFSET['events']} AS row_id, 'event_type is ' || event_type AS text, CASE WHEN event_type IS NOT NULL THEN 256 ELSE -1 END AS dimension FROM events")
+def db_embedding_of(spark, sf_dir):
+    d = encoded(spark, sf_dir)
+    rows = d.table("events").select("row_id", F.col("event_type").alias("idx"))
+    return d.embedded(rows, "categorical").select("row_id", "text", F.coalesce(F.size("emb"), F.lit(-1)).alias("dimension"))
+
+
+_BIG = "CASE WHEN event_type <> 'click' THEN value > 50 END"
+
+
+@query(f"SELECT event_id // 8 AS byte, CAST(sum(CASE WHEN {_BIG} THEN 1 << CAST(event_id % 8 AS INTEGER) ELSE 0 END) AS INTEGER) AS bits FROM events GROUP BY event_id // 8")
+def bitmap(spark, sf_dir):
+    return S.packed_rows(R.read(spark, sf_dir, "events"), "event_id", F.expr(_BIG))
+
+
+@query(f"SELECT event_id, coalesce({_BIG}, false) AS is_set FROM events")
+def bitmap_bits(spark, sf_dir):
+    events = R.read(spark, sf_dir, "events")
+    packed = S.packed_rows(events, "event_id", F.expr(_BIG))
+    return events.select("event_id", F.floor(F.col("event_id") / 8).alias("byte")).join(packed, "byte").select("event_id", S.bit_of(F.col("bits"), F.col("event_id")).alias("is_set"))
+
+
 # What an annotator asks
 
 

@@ -117,6 +117,22 @@ class Database:
                 return None if r is None else r[0]
         return None
 
+    def values(self, rows: DataFrame, table: str, column: str) -> DataFrame:
+        """rows (row_id) of a table with the cell of one column: present (it is not null), value as encoded, and _us, the row's time or null.
+
+        An identifier's value is its presence. Rows that are not the table's own are left out; all cells come from one join.
+        """
+        own = self.table(table)
+        time = F.col("_us") if "_us" in own.columns else F.lit(None).cast("bigint")
+        cell = F.col(f"`{column}`")
+        present = cell if self.annotation.tables[table].columns[column].stype == SType.IDENTIFIER else cell.isNotNull()
+        return rows.select("row_id").join(own.select("row_id", present.alias("present"), cell.alias("value"), time.alias("_us")), "row_id")
+
+    def embedded(self, rows: DataFrame, kind: str, idx: str = "idx") -> DataFrame:
+        """rows with text and emb of the vocabulary's entry that the column idx names; null for those without one."""
+        entries = self.embeddings(kind).withColumnRenamed("idx", "_entry")
+        return rows.join(entries, F.col(f"`{idx}`") == F.col("_entry"), "left").drop("_entry")
+
     def widths(self) -> list[tuple[int, int]]:
         """(first row, cells a row) of each table that has rows."""
         return [(self.offsets[t.name], sum(c.stype != SType.IGNORED for c in t.columns.values())) for t in self.annotation.tables.values() if self.metadata["rows"][t.name]]
