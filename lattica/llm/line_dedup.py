@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from lattica.llm.shared import sized, written
 
-#: Shorter lines are left alone: equal ones occur by chance. Lines of NEAR_WORDS or more are matched with one word edited.
-LEAST_WORDS, NEAR_WORDS = 4, 10
+#: Lines with fewer words and fewer characters are left alone: equal ones occur by chance. Lines of NEAR_WORDS or more are
+#: matched with one word edited.
+LEAST_WORDS, LEAST_CHARS, NEAR_WORDS = 4, 40, 10
 
 
 def normal(text: Column) -> Column:
@@ -22,20 +23,20 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, line, n): every line of LEAST_WORDS or more, normalised; th tells rows of one doc_id apart."""
+def _lines(docs: DataFrame, words: int, chars: int) -> DataFrame:
+    """(doc_id, th, pos, line, n): every line of so many words or characters, normalised; th tells rows of one doc_id apart."""
     # the text is normalised before it is parted, where it is read once: a filter would repeat what it looks at
     rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("pos", "line"))
-    rows = rows.filter(F.octet_length("line") >= 2 * LEAST_WORDS - 1).withColumn("line", F.trim("line"))
+    rows = rows.filter(F.octet_length("line") >= min(2 * words - 1, chars)).withColumn("line", F.trim("line"))
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
-    return rows.withColumn("n", spaces + 1).filter(F.col("n") >= LEAST_WORDS)
+    return rows.withColumn("n", spaces + 1).filter((F.col("n") >= words) | (F.length("line") >= chars))
 
 
 def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
-def _halves(line: Column, n: Column) -> Column:
+def _halves(line: Column, n: Column, near_words: int) -> Column:
     """Hashes of the first and the second half of a line as one of n words and as one that has a word more than n - 1.
 
     Of two lines of c and c or c + 1 words that are near, the first c // 2 words are equal or the last c - c // 2 are.
@@ -45,7 +46,7 @@ def _halves(line: Column, n: Column) -> Column:
     for c in (n, n - 1):
         k = F.floor(c / 2).cast("int")
         out += [F.xxhash64(F.lit("first"), c, part(k)), F.xxhash64(F.lit("last"), c, part(k - c))]
-    return F.when(n >= NEAR_WORDS, F.array(*out))
+    return F.when(n >= near_words, F.array(*out))
 
 
 def _neighbourhood(w: Column) -> Column:
@@ -63,14 +64,14 @@ def _neighbourhood(w: Column) -> Column:
     return F.flatten(F.transform(F.array(both), keys))  # the chains are computed once
 
 
-def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, classes: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """(h1, h2) of the classes of equal lines to which an earlier line is near but not equal."""
     halves = classes.filter(F.col("halves").isNotNull()).select("h1", "h2", "first", F.explode("halves").alias("g"))
     paired = halves.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     found = written(halves.join(paired, "g").select("h1", "h2", "first").distinct(), "paired")
     within = written(found.select(F.col("first.doc_id").alias("doc_id")).distinct(), "within")
-    own = _lines(docs.select("doc_id", "text").join(sized(within), "doc_id", "left_semi")).filter(F.col("n") >= NEAR_WORDS)
-    own = own.select(*_hashes(F.col("line")), F.struct("doc_id", "pos", "th").alias("first"), F.split("line", " ").alias("w"))
+    own = _lines(docs.select("doc_id", "text").join(sized(within), "doc_id", "left_semi"), near_words, 2 * near_words - 1)
+    own = own.filter(F.col("n") >= near_words).select(*_hashes(F.col("line")), F.struct("doc_id", "pos", "th").alias("first"), F.split("line", " ").alias("w"))
     texts = own.join(sized(found), ["h1", "h2", "first"], "left_semi").dropDuplicates(["h1", "h2"])
     texts = written(texts.withColumn("keys", _neighbourhood(F.col("w"))), "texts")
     # most keys stand alone; only those that do not go on with what they belong to
@@ -88,24 +89,24 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return sure.filter(left("w", "i", "cut") == left("e", "i", "ecut")).select("h1", "h2").distinct()
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs (doc_id, text, other columns kept) with lines removed that an earlier line equals or is near to, and n_lines, n_removed.
 
-    Lines are what \\n parts; earlier is the smaller (doc_id, place). A line of fewer than LEAST_WORDS words is never
-    removed nor removes others, and near matches need NEAR_WORDS words on both sides. Lower case and the blanks between
-    words do not matter. An earlier line removes later ones also if it is itself removed. Null and empty texts stay as
-    they are (n_lines 0 and 1); rows without a doc_id keep their text. Equal rows of one doc_id have equal results:
+    Lines are what \\n parts; earlier is the smaller (doc_id, place). A line of fewer than least_words words and fewer
+    than least_chars characters is never removed nor removes others, so that lines without spaces count by their length;
+    near matches need near_words words (2 or more) on both sides. Lower case and the blanks between words do not matter.
+    An earlier line removes later ones also if it is itself removed. Null and empty texts stay as they are (n_lines 0 and 1); rows without a doc_id keep their text. Equal rows of one doc_id have equal results:
     their lines are not later than each other's.
     """
     for name in ("n_lines", "n_removed"):
         if name in docs.columns:
             docs = docs.drop(name)
     # Lines are read once; from here on they are a place and hashes.
-    lines = _lines(docs).select("doc_id", "th", "pos", *_hashes(F.col("line")), _halves(F.col("line"), F.col("n")).alias("halves"))
+    lines = _lines(docs, least_words, least_chars).select("doc_id", "th", "pos", *_hashes(F.col("line")), _halves(F.col("line"), F.col("n"), near_words).alias("halves"))
     lines = written(lines, "lines")
     grouped = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "th")).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves"))
     classes = written(grouped, "classes")
-    near = near_classes(docs, classes).withColumn("near", F.lit(True))
+    near = near_classes(docs, classes, near_words).withColumn("near", F.lit(True))
     repeated = classes.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").filter("c > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     repeated = written(repeated, "repeated")
     gone = lines.select("doc_id", "th", "pos", "h1", "h2").join(sized(repeated), ["h1", "h2"])
@@ -134,7 +135,7 @@ WITH lines AS (
 ), worded AS (
   SELECT doc_id, pos, string_split_regex(regexp_replace(lower(line), '^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$', '', 'g'), '[ \t\r\f\x0B]+') AS w FROM lines
 ), long AS (
-  SELECT doc_id, pos, w, len(w) AS n FROM worded WHERE len(w) >= 4
+  SELECT doc_id, pos, w, len(w) AS n FROM worded WHERE len(w) >= 4 OR length(array_to_string(w, ' ')) >= 40
 ), classes AS (
   SELECT w, n, min({'d': doc_id, 'p': pos}) AS first FROM long GROUP BY w, n
 ), keys AS (

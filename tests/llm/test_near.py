@@ -238,13 +238,16 @@ def test_line_dedup(spark):
         return rng.choice([" ", "  ", "\t"]).join(w).upper() + rng.choice(["", " "])
 
     rows = [(i, "\n".join(line() for _ in range(rng.randrange(6)))) for i in range(60)] + [(100, None), (101, ""), (None, "\n".join(" ".join(b) for b in base)), (102, "a " * 30_000)]
+    unspaced = ["字" * 40, "字" * 39, "字" * 60 + " 文", "x" * 37 + " y"]  # without four words they count from 40 characters on
+    rows += [(110, "\n".join(unspaced)), (111, "\n".join([unspaced[0], *unspaced])), (112, "x" * 37 + "  y\n" + "x" * 38 + "\ty")]
     seen, want = [], {}
     for i, text in sorted((r for r in rows if r[0] is not None and r[1] is not None)):
         keep, gone = [], 0
         for one in text.split("\n"):
             w = [x for x in re.split(r"[ \t\r\f\x0B]+", one.lower()) if x]
-            again = len(w) >= 4 and any(w == s or (len(w) >= 10 and len(s) >= 10 and abs(len(w) - len(s)) < 2 and edits(w, s) <= 1) for s in seen)
-            if len(w) >= 4:
+            counts = len(w) >= 4 or len(" ".join(w)) >= 40
+            again = counts and any(w == s or (len(w) >= 10 and len(s) >= 10 and abs(len(w) - len(s)) < 2 and edits(w, s) <= 1) for s in seen)
+            if counts:
                 seen.append(w)
             gone += again
             if not again:
