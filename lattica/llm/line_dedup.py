@@ -95,8 +95,9 @@ def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, leas
     Lines are what \\n parts; earlier is the smaller (doc_id, place). A line of fewer than least_words words and fewer
     than least_chars characters is never removed nor removes others, so that lines without spaces count by their length;
     near matches need near_words words (2 or more) on both sides. Lower case and the blanks between words do not matter.
-    An earlier line removes later ones also if it is itself removed. Null and empty texts stay as they are (n_lines 0 and 1); rows without a doc_id keep their text. Equal rows of one doc_id have equal results:
-    their lines are not later than each other's.
+    An earlier line removes later ones also if it is itself removed. Null and empty texts stay as they are (n_lines 0 and
+    1); rows without a doc_id keep their text. Equal rows of one doc_id have equal results: their lines are not later
+    than each other's.
     """
     for name in ("n_lines", "n_removed"):
         if name in docs.columns:
