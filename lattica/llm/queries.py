@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.decontaminate import op4_decontaminate
+from lattica.llm.divergence import OP13_SQL, op13_divergence
 from lattica.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from lattica.llm.html_extract import op7_html_extract
 from lattica.llm.langid import op10_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_warc_revisits": op9_warc_revisits,
     "op10_language_id": op10_language_id,
     "op11_sharding": op11_sharding,
+    "op13_divergence": op13_divergence,
 }
 
 SQL = {
@@ -35,4 +37,5 @@ SQL = {
     "op8_minhash_dedup": OP8_SQL,
     "op9_warc_revisits": OP9_SQL,
     "op11_sharding": OP11_SQL,
+    "op13_divergence": OP13_SQL,
 }

@@ -128,6 +128,31 @@ def words_of(data: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tupl
     return run_hashes(values, starts, ends), np.append(np.searchsorted(starts, first), len(starts))
 
 
+#: What a byte does in tokens(): it belongs to a token, or parts tokens, or parts pieces and so tokens too.
+INSIDE, BLANK, END = 0, 1, 2
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(code, dictionary, row, piece) of a chunk's tokens (A-Z lower-cased): code and row of each, its piece's number in the chunk.
+
+    kinds tells for each byte what it does; those that part must be ASCII. A row's end parts pieces.
+    """
+    n_rows = len(offsets) - 1
+    sizes = np.diff(offsets)
+    values = np.full(len(data) + n_rows, 10, np.uint8)
+    kind = np.full(len(values), END, np.uint8)
+    moved = np.arange(len(data)) + np.repeat(np.arange(n_rows), sizes)
+    values[moved], kind[moved] = _LOWER[data], kinds[data]
+    inside = kind == INSIDE
+    edge = np.diff(np.concatenate(([False], inside, [False])).view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(values[inside])).dictionary_encode()
+    row = np.searchsorted(offsets[1:] + np.arange(n_rows), starts, "right")
+    return words.indices.to_numpy(), words.dictionary, row, np.cumsum(kind == END)[starts]
+
+
 def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
     """Distinct k-word shingles' hashes, sorted; of fewer words the whole sequence as one; of none, none."""
     n = len(words)
