@@ -10,6 +10,7 @@ from lattica.llm.langid import op10_language_id
 from lattica.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lattica.llm.minhash_dedup import OP8_SQL, op8_minhash_dedup
 from lattica.llm.packing import op5_packing
+from lattica.llm.phrases import OP12_SQL, op12_phrases
 from lattica.llm.sharding import OP11_SQL, op11_sharding
 from lattica.llm.toxicity import op1_toxicity
 from lattica.llm.url_filter import OP2_SQL, op2_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_warc_revisits": op9_warc_revisits,
     "op10_language_id": op10_language_id,
     "op11_sharding": op11_sharding,
+    "op12_phrases": op12_phrases,
     "op13_divergence": op13_divergence,
 }
 
@@ -37,5 +39,6 @@ SQL = {
     "op8_minhash_dedup": OP8_SQL,
     "op9_warc_revisits": OP9_SQL,
     "op11_sharding": OP11_SQL,
+    "op12_phrases": OP12_SQL,
     "op13_divergence": OP13_SQL,
 }

@@ -39,10 +39,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As written(), in buckets of a key: tables of as many buckets of one key are joined by it without a shuffle."""
+    spark = df.sparkSession
+    table = f"lattica_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lattica/{table}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._lattica_path, out._lattica_table = path, table
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that nothing is going to read again."""
+    """Deletes tables made by written() or bucketed() that nothing is going to read again."""
     for t in tables:
         spark = t.sparkSession
+        if hasattr(t, "_lattica_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {t._lattica_table}")
         at = spark._jvm.org.apache.hadoop.fs.Path(t._lattica_path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
