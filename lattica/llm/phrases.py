@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lattica.llm.shared import BLANK, END, INSIDE, bucketed, forget, small_batches, sized, text_chunks, tokens, written
 
 #: Least frequency of a phrase, most words in it, ranks reported for a language; bytes of text in a block.
-LEAST, LONGEST, RANKS, BLOCK = 100, 5, 2000, 4_000_000
+LEAST, LONGEST, RANKS, BLOCK = 100, 5, 2000, 2_000_000
 #: Bytes of a space and tab part words; those of .,;:!? and of line ends part pieces.
 _KINDS = np.full(256, INSIDE, np.uint8)
 _KINDS[[32, 9]] = BLANK
@@ -34,7 +34,7 @@ def _gaps(at: np.ndarray) -> bytes:
 
 
 def _positions(gaps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(gaps, np.int32), dtype=np.int64)
+    return np.cumsum(np.frombuffer(gaps, np.int32), dtype=np.int32)
 
 
 def _cell(values: np.ndarray | pa.Array) -> pa.ListArray:
@@ -128,7 +128,7 @@ def _places(lists: DataFrame, frequent: DataFrame, by: list[str]) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, a) of every phrase of 1 to longest words that occurs at least so often, and (lang, n) of all words."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size=8_000_000)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     # as many buckets as partitions of a shuffle, so that no side of a join is dealt out anew, or as the input is read in
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())

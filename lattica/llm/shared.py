@@ -151,10 +151,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np
     kinds tells for each byte what it does; those that part must be ASCII. A row's end parts pieces.
     """
     n_rows = len(offsets) - 1
-    sizes = np.diff(offsets)
+    place = np.int32 if len(data) + n_rows < 1 << 31 else np.int64  # half the memory
     values = np.full(len(data) + n_rows, 10, np.uint8)
     kind = np.full(len(values), END, np.uint8)
-    moved = np.arange(len(data)) + np.repeat(np.arange(n_rows), sizes)
+    moved = np.arange(len(data), dtype=place) + np.repeat(np.arange(n_rows, dtype=place), np.diff(offsets))
     values[moved], kind[moved] = _LOWER[data], kinds[data]
     inside = kind == INSIDE
     edge = np.diff(np.concatenate(([False], inside, [False])).view(np.int8))
@@ -163,7 +163,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np
     np.cumsum(ends - starts, out=bounds[1:])
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(values[inside])).dictionary_encode()
     row = np.searchsorted(offsets[1:] + np.arange(n_rows), starts, "right")
-    return words.indices.to_numpy(), words.dictionary, row, np.cumsum(kind == END)[starts]
+    return words.indices.to_numpy(), words.dictionary, row, np.cumsum(kind == END, dtype=place)[starts]
 
 
 def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
