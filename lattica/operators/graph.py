@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import scalar as S
@@ -113,21 +113,73 @@ def expanded(frontier: DataFrame, e: DataFrame, times: DataFrame) -> DataFrame:
     return parents.unionByName(children.select("seq", "parent", "row_id", "obs", F.lit("child").alias("relation")))
 
 
+def reached(frontier: DataFrame, e: DataFrame, times: DataFrame) -> DataFrame:
+    """(relation, row_id, n, sequences): one hop from a frontier (seq, row_id, obs), as expanded() has it, counted by where it leads.
+
+    n is how many links lead to a row, sequences how many sequences do. A row of the frontier counts for all its sequences
+    of one observation time at once, so every edge is followed once a row and time, not once a sequence. Where a row is
+    reached from one row alone, its sequences are that row's. Where paths meet, sequences are listed, once for all rows
+    that are reached from the same rows. Repeated frontier rows count once.
+    """
+    front = written(frontier.select("seq", "row_id", "obs").distinct(), "front")
+    weights = written(front.groupBy("row_id", "obs").agg(F.count("*").alias("w")), "weights")
+    hops = expanded(weights.select(F.col("w").alias("seq"), "row_id", "obs"), e, times).withColumnRenamed("seq", "w")
+    # references of one row to another may repeat: links counts them, the rest does not
+    hops = hops.groupBy("relation", "row_id", "parent", "obs").agg(F.first("w").alias("w"), F.count("*").alias("links"))
+    source = F.xxhash64(F.lit(1), "parent", "obs"), F.xxhash64(F.lit(2), "parent", "obs")
+    hops = written(hops.withColumns({"h1": source[0], "h2": source[1]}), "hops")
+    met = hops.groupBy("relation", "row_id").agg(
+        F.sum(F.col("w") * F.col("links")).alias("n"), F.sum("w").alias("w"), (F.min("parent") != F.max("parent")).alias("meet"), F.count("*").alias("size"),
+        F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"),
+    )
+    met = written(met, "met")
+    # a set of sources is told by its size and the hashes of its members, in whatever order they come
+    key = ["size", "x1", "x2"]
+    sets = met.filter("meet").groupBy(*key).agg(F.min(F.struct("relation", "row_id")).alias("one"))
+    members = hops.join(sets.select(*key, "one.*"), ["relation", "row_id"]).select(*key, F.col("parent"), F.col("obs").alias("at"))
+    listed = members.join(front, (F.col("parent") == F.col("row_id")) & F.col("at").eqNullSafe(F.col("obs")))
+    listed = written(listed.groupBy(*key).agg(F.count_distinct("seq").alias("together")), "listed")
+    return met.join(listed, key, "left").select("relation", "row_id", "n", F.when(F.col("meet"), F.col("together")).otherwise(F.col("w")).alias("sequences"))
+
+
 #: Children of one parent whose times are summed up in one row of the index.
 BLOCK = 4096
+#: Rows that a part of a store is to hold, and parts at least and at most.
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 1_000_000, 16, 4096
+#: Rows asked for that are sent to all executors; more are shuffled.
+SENT_ROWS = 500_000
 #: Steps through a parent's children; primes above any number of children, so that a step visits each once.
 STEPS = (2147483647, 2246822519, 2654435761, 3266489917, 4294967291)
 
 
+def parts_for(rows: int) -> int:
+    return min(MOST_PARTS, max(LEAST_PARTS, rows // PART_ROWS))
+
+
+def pruned(store: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """store joined with asked, both with a column part: only the parts that are asked for are read.
+
+    asked is a written table. Parts are few (MOST_PARTS), so which ones they are is known before the plan is made.
+    """
+    parts = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}
+    asked = F.broadcast(asked) if sum(parts.values()) <= SENT_ROWS else asked
+    return store.filter(F.col("part").isin(sorted(parts))).join(asked, [*on, "part"])
+
+
 @dataclass
 class ChildIndex:
     """Every parent's children by place, in the order of time: children (parent, pos, child, us), blocks (parent, block, us).
 
-    us of a block is its first child's time. Children without a time come first; two references of one row to another count once.
+    us of a block is its first child's time. Children without a time come first; two references of one row to another count
+    once. Blocks of children are dealt to so many parts, each in a folder of its own.
     """
 
     children: DataFrame
     blocks: DataFrame
+    parts: int
+
+    def part(self, parent: Column, pos: Column) -> Column:
+        return F.pmod(F.xxhash64(parent, F.floor(pos / BLOCK)), F.lit(self.parts)).cast("int")
 
 
 def child_index(e: DataFrame, times: DataFrame) -> ChildIndex:
@@ -135,10 +187,13 @@ def child_index(e: DataFrame, times: DataFrame) -> ChildIndex:
     kids = e.select(F.col("dst").alias("parent"), F.col("src").alias("child")).distinct()
     kids = kids.join(times.withColumnRenamed("row_id", "child"), "child", "left").select("parent", "child", "us")
     placed = written(numbered(kids, ["parent", "us", "child"], "_at"), "placed")
-    first = placed.groupBy("parent").agg(F.min("_at").alias("_first"))
-    children = written(placed.join(first, "parent").select("parent", (F.col("_at") - F.col("_first")).alias("pos"), "child", "us"), "children")
-    blocks = children.groupBy("parent", F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.when(F.count("us") == F.count("*"), F.min("us")).alias("us"))
-    return ChildIndex(children, written(blocks, "blocks"))
+    first = placed.groupBy("parent").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    out = ChildIndex(None, None, parts_for(first.agg(F.sum("_n")).first()[0] or 0))
+    children = placed.join(first, "parent").select("parent", (F.col("_at") - F.col("_first")).alias("pos"), "child", "us")
+    out.children = written(children.withColumn("part", out.part(F.col("parent"), F.col("pos"))), "children", ("part",))
+    blocks = out.children.groupBy("parent", F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.when(F.count("us") == F.count("*"), F.min("us")).alias("us"))
+    out.blocks = written(blocks, "blocks")
+    return out
 
 
 def eligible(asked: DataFrame, index: ChildIndex) -> DataFrame:
@@ -150,25 +205,31 @@ def eligible(asked: DataFrame, index: ChildIndex) -> DataFrame:
     keys = asked.select(F.col("row_id").alias("parent"), limit).distinct()
     in_time = F.col("us").isNull() | (F.col("us") <= F.col("limit"))
     last = keys.join(index.blocks, "parent").filter(in_time).groupBy("parent", "limit").agg(F.max("block").alias("block"))
-    own = index.children.withColumn("block", F.floor(F.col("pos") / BLOCK)).select("parent", "block", "us")
-    total = last.join(own, ["parent", "block"]).filter(in_time).groupBy("parent", "limit", "block").agg(F.count("*").alias("n"))
+    last = written(last.withColumn("part", index.part(F.col("parent"), F.col("block") * BLOCK)), "last")
+    own = index.children.withColumn("block", F.floor(F.col("pos") / BLOCK)).select("parent", "block", "us", "part")
+    total = pruned(own, last, ["parent", "block"]).filter(in_time).groupBy("parent", "limit", "block").agg(F.count("*").alias("n"))
     total = total.select(F.col("parent").alias("row_id"), "limit", (F.col("block") * BLOCK + F.col("n")).alias("total"))
     return asked.withColumn("limit", limit).join(total, ["row_id", "limit"], "left").withColumn("total", F.coalesce("total", F.lit(0))).drop("limit")
 
 
+def draw(seed: int, seq: Column, row_id: Column, rank: Column, total: Column) -> Column:
+    """Which of total children, in the order of time, is the rank-th drawn: steps from a start, both by a hash of (seed, seq, row)."""
+    h = F.xxhash64(F.lit(seed), seq, row_id)
+    step = F.element_at(F.array(*map(F.lit, STEPS)), (F.pmod(h, F.lit(len(STEPS))) + 1).cast("int"))
+    return F.pmod(F.pmod(F.shiftright(h, 8), total) + rank * step, total)
+
+
 def drawn_children(asked: DataFrame, index: ChildIndex, seed: int = 0) -> DataFrame:
     """(seq, parent, row_id, rank) of asked (seq, row_id, total, since, upto): the children drawn at the ranks since to upto - 1.
 
-    A draw steps through the eligible children from a start, both by a hash of (seed, seq, parent): as many are looked up
-    as are asked for, however many there are.
+    As many are looked up as are asked for, however many there are.
     """
-    h = F.xxhash64(F.lit(seed), "seq", "row_id")
-    step = F.element_at(F.array(*map(F.lit, STEPS)), (F.pmod(h, F.lit(len(STEPS))) + 1).cast("int"))
     ranks = asked.filter(F.col("since") < F.least("upto", "total")).select(
-        "seq", F.col("row_id").alias("parent"), "total", h.alias("h"), step.alias("step"), F.explode(F.sequence(F.col("since").cast("long"), F.least("upto", "total").cast("long") - 1)).alias("rank")
+        "seq", F.col("row_id").alias("parent"), "total", F.explode(F.sequence(F.col("since").cast("long"), F.least("upto", "total").cast("long") - 1)).alias("rank")
     )
-    ranks = ranks.withColumn("pos", F.pmod(F.pmod(F.shiftright("h", 8), F.col("total")) + F.col("rank") * F.col("step"), F.col("total")))
-    return ranks.join(index.children, ["parent", "pos"]).select("seq", "parent", F.col("child").alias("row_id"), "rank")
+    ranks = ranks.withColumn("pos", draw(seed, F.col("seq"), F.col("parent"), F.col("rank"), F.col("total")))
+    ranks = written(ranks.withColumn("part", index.part(F.col("parent"), F.col("pos"))), "ranks")
+    return pruned(index.children, ranks, ["parent", "pos"]).select("seq", "parent", F.col("child").alias("row_id"), "rank")
 
 
 def top_children(asked: DataFrame, index: ChildIndex, width: int, seed: int = 0) -> DataFrame:

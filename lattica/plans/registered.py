@@ -363,8 +363,7 @@ def neighbors_1hop_temporal(spark, sf_dir):
 def neighbors_2hop_temporal(spark, sf_dir):
     d = db(spark, sf_dir)
     e, t = G.edges(d), _times(d)
-    one = G.expanded(_frontier(d), e, t).select("seq", "row_id", "obs").distinct()
-    return G.expanded(one, e, t).groupBy("relation", "row_id").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("sequences"))
+    return G.reached(G.expanded(_frontier(d), e, t), e, t)
 
 
 @query(f"""WITH {_HOP}, kids AS (SELECT DISTINCT seq, parent, row_id FROM hop1 WHERE relation = 'child')

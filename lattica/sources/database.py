@@ -18,11 +18,14 @@ def folder(spark: SparkSession) -> str:
     return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: what follows reads the same rows however often it is computed."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder: what follows reads the same rows however often it is computed.
+
+    by names columns whose values get a folder each, so that a filter on them leaves the other folders unread.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/lattica/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lattica_path = path
     return out

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import sampling as M
-from lattica.operators.graph import child_index
 from lattica.operators.split import assigned, positioned, sharded
+from lattica.operators.store import RowStore
 from lattica.sources.annotation import SType, stype_of
 from lattica.sources.database import Database, forget, written
 
@@ -72,7 +72,7 @@ class Sampler:
         self._sizes = {s: {r.task_idx: r.n for r in sizes if r.split == s} for s in SPLITS}
         self._numbered = self._written(positioned(self._seeds).withColumnRenamed("position", "k"))
         self._edges, self._times, self._cells = db.edges, self._written(db.times), db.cells
-        self._index = child_index(self._edges, self._times)
+        self._store = RowStore.build(self._edges, self._times)
         self._stop = threading.Event()
         self._queues: dict[str, queue.Queue] = {}
         self._threads: list[threading.Thread] = []
@@ -90,7 +90,7 @@ class Sampler:
                 tables.append(out)
             return out
 
-        walked = made(M.sampled(self.db.spark, seeds, self._edges, self._times, self.db.widths(), self.config, made, self._index))
+        walked = made(M.sampled(self.db.spark, seeds, self._edges, self._times, self.db.widths(), self.config, made, self._store))
         return walked, M.sequence_cells(walked, self._cells, self.config)
 
     def _choices(self, split: str, number: int) -> tuple[int, np.ndarray] | None:

@@ -136,3 +136,47 @@ def test_permutations_put_padding_last():
     for v in M.permutations(rows, cols, padding, np.array([[0, 1, 0], [0, 0, 0], [0, 0, 0]], bool)).values():
         assert sorted(v.tolist()) == list(range(6)) and set(v[-2:].tolist()) == {4, 5}
     assert M.permutations(rows, cols, padding, np.zeros((3, 3), bool))["col_perm"].tolist() == [0, 2, 1, 3, 4, 5]
+
+
+def test_reached_against_listing_all(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(40), rng.randrange(6)) for _ in range(150)] + [(a, 40 + a % 3) for a in range(6)] + [(100 + i, rng.choice([0, 1])) for i in range(60)] * 2
+    e = spark.createDataFrame(edges, "src long, dst long")
+    times = spark.createDataFrame([(i, rng.choice([None, rng.randrange(9)])) for i in range(160)], "row_id long, us long")
+    front = [(q, rng.randrange(45), [None, 3, 7][q % 3]) for q in range(60) for _ in range(rng.randrange(1, 8))]
+    df = spark.createDataFrame(front, "seq long, row_id long, obs long")
+    want, meet = {}, 0
+    for r in G.expanded(df.distinct(), e, times).collect():
+        x = want.setdefault((r.relation, r.row_id), [0, set(), set()])
+        x[0] += 1
+        x[1].add(r.seq)
+        x[2].add(r.parent)
+    got = {(r.relation, r.row_id): (r.n, r.sequences) for r in G.reached(df, e, times).collect()}
+    assert got == {k: (n, len(q)) for k, (n, q, _) in want.items()}
+    assert any(len(p) > 1 for *_, p in want.values()) and any(len(p) == 1 and len(q) > 1 for _, q, p in want.values())
+    assert G.reached(df.filter("false"), e, times).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 500])
+def test_walks_over_hubs_are_those_over_rows(spark, monkeypatch, width):
+    """Whether a row's children stand beside it or in blocks of an index, a walk is the same, and no step reads all parts."""
+    from lattica.operators import store as T
+    from lattica.sources.database import written
+
+    rng = random.Random(5)
+    edges = [(i, rng.choice([0, 1, 2, 900, 901])) for i in range(10, 800)] + [(i, 10 + i % 50) for i in range(1000, 1300)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    t = spark.createDataFrame([(i, rng.randrange(100)) for i in range(10, 700)], "row_id long, us long")
+    seeds = spark.createDataFrame([(i, rng.choice([0, 20, 700, 1100, 5000]), rng.choice([None, 50])) for i in range(20)], "seq long, row_id long, obs long")
+    c = M.SamplerConfig(sequence_length=120, bfs_child_width=width, max_rows_per_seq=40)
+    keep = lambda df: written(df, "walk")
+    run = lambda: sorted(map(tuple, M.sampled(spark, seeds, e, t, [(0, 2)], c, keep).collect()))
+    plain = run()
+    monkeypatch.setattr(T, "HUB", 20)
+    monkeypatch.setattr(G, "BLOCK", 16)
+    assert run() == plain and len(plain) > 100
+    store = T.RowStore.build(e, t)
+    asked = written(spark.createDataFrame([(1, 700, None, 0, 9)], "seq long, row_id long, obs long, since int, upto int"), "asked")
+    found = store.look_up(asked, 1)
+    assert [(r.row_id, r.total) for r in found.collect()] == [(700, 0)]
+    assert len(found.inputFiles()) < len(store.rows.inputFiles())
