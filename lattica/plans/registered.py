@@ -563,6 +563,34 @@ def sequence_ancestors(spark, sf_dir):
     return _context(spark, sf_dir, "lineitem", M.SamplerConfig(bfs_child_width=0))[2]
 
 
+#: Budgets of which some sequences use up the one and some the other, and a width above every number of children.
+_ALL = M.SamplerConfig(sequence_length=80, bfs_child_width=1_000_000_000, max_rows_per_seq=17)
+#: The walk as a recursion: a row of it pops the first waiting row that is new, parents before children, and lets what
+#: that row refers to and what refers to it in time wait. Where no row has more children than the width none are drawn.
+_WALK = f"""RECURSIVE {_NODES}, edges AS ({_EDGES}), times AS ({_ALLTIMES}),
+  up AS (SELECT src, list(DISTINCT dst ORDER BY dst) AS l FROM edges GROUP BY src),
+  down AS (SELECT dst, list({{'r': src, 'us': us}} ORDER BY src) AS l FROM (SELECT DISTINCT dst, src FROM edges) LEFT JOIN times ON row_id = src GROUP BY dst),
+  links AS (SELECT row_id, {_SIZE} AS size, coalesce(up.l, []) AS parents, coalesce(down.l, []) AS children FROM nodes LEFT JOIN up ON src = row_id LEFT JOIN down ON dst = row_id),
+  walk AS (
+    SELECT seq, obs, [seq] AS first, CAST([] AS BIGINT[]) AS later, CAST([] AS BIGINT[]) AS seen, CAST([] AS BIGINT[]) AS places, CAST(0 AS BIGINT) AS cells
+    FROM (SELECT o_orderkey + {OFFSET['orders']} AS seq, epoch_us(o_orderdate + INTERVAL 60 DAY) AS obs FROM orders)
+    UNION ALL
+    SELECT seq, obs, CASE WHEN f = [] THEN f ELSE f[2:] END || parents, (CASE WHEN f = [] THEN l[2:] ELSE l END) || list_transform(list_filter(children, lambda k: k.us IS NULL OR k.us <= obs), lambda k: k.r),
+      seen || [row_id], places || [cells], least({_ALL.sequence_length}, cells + size)
+    FROM (SELECT *, list_filter(first, lambda x: NOT list_contains(seen, x)) AS f, list_filter(later, lambda x: NOT list_contains(seen, x)) AS l FROM walk
+      WHERE cells < {_ALL.sequence_length} AND len(seen) < {_ALL.max_rows_per_seq}) JOIN links ON row_id = coalesce(f[1], l[1])),
+  ended AS (SELECT seq, arg_max(seen, len(seen)) AS seen, arg_max(places, len(places)) AS places FROM walk GROUP BY seq)"""
+
+
+@query(f"WITH {_WALK} SELECT seq, CAST(unnest(range(len(seen))) AS INTEGER) AS seq_row_id, unnest(seen) AS row_id, CAST(unnest(places) AS INTEGER) AS first_pos FROM ended")
+def sequence_rows(spark, sf_dir):
+    """Walks from every order, seen two months after its day, over what it refers to and what refers to that."""
+    d = db(spark, sf_dir)
+    seeds = d.rows("orders").select(F.col("row_id").alias("seq"), "row_id", (S.micros(F.col("o_orderdate")) + 60 * 86400 * 1_000_000).alias("obs"))
+    widths = [(d.offsets[t.name], sum(c.stype != SType.IGNORED for c in t.columns.values())) for t in d.annotation.tables.values()]
+    return M.sampled(spark, seeds, keep(G.edges(d), "walk"), _times(d), widths, _ALL, lambda df: keep(df, "walk"))
+
+
 @query(f"""WITH {_ANCESTORS}, edges AS ({_EDGES}), e AS (SELECT a.seq, count(DISTINCT (a.row_id, b.row_id)) AS edges FROM walked a JOIN edges x ON x.src = a.row_id JOIN walked b ON b.seq = a.seq AND b.row_id = x.dst GROUP BY a.seq)
   SELECT seq, CAST(sum({_SIZE}) AS BIGINT) AS cells, count(*) AS rows, CASE WHEN bool_or(low) THEN 1 ELSE 0 END AS nulls, any_value(edges) AS edges FROM walked JOIN e USING (seq) GROUP BY seq""")
 def sequence_summary(spark, sf_dir):
