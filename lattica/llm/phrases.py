@@ -87,11 +87,14 @@ def longer(n: np.ndarray, at: np.ndarray, wn: np.ndarray, wat: np.ndarray, lengt
     """(phrase, word, n, at) of every phrase of so many words extended by the word that follows, from the lists of both.
 
     Positions are dense, so the lists meet by looking up which word stands at a position: a merge join of all lists at once.
+    What stands one position on must begin a phrase of the list too, since a phrase is no more frequent than its last words.
     """
     stands = np.full(max(at.max(initial=0), wat.max(initial=0)) + length + 1, -1, np.int32)
     stands[wat] = np.repeat(np.arange(len(wn), dtype=np.int32), wn)
+    begins = np.zeros(len(stands) + 1, bool)
+    begins[at] = True
     word = stands[at + length]
-    found = word >= 0
+    found = (word >= 0) & begins[at + 1]
     code = np.repeat(np.arange(len(n)), n)[found] * max(1, len(wn)) + word[found]
     order = np.argsort(code, kind="stable")
     code = code[order]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for as long as the block runs."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As written(), in buckets of a key: tables of as many buckets of one key are joined by it without a shuffle."""
+    """As written(), in buckets of a key: such tables are joined and grouped by it without a shuffle, if they have as many.
+
+    What is written may itself come from such tables: Spark is told to read them by bucket also where rows are exploded
+    and broadcasts joined before they are grouped by the key.
+    """
     spark = df.sparkSession
     table = f"lattica_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/lattica/{table}"
-    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    with setting(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):
+        df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
     out = spark.table(table)
     out._lattica_path, out._lattica_table = path, table
     return out
