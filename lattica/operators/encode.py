@@ -57,8 +57,8 @@ def encode_table(rows: DataFrame, table: Table, stats: dict[str, Stats], scale:
     return out.select(*chosen)
 
 
-def cells(encoded: DataFrame, table: Table, text_order: bool = True) -> DataFrame:
-    """Encoded rows as long form: row_id, pos (place among the row's cells), column_idx, stype, is_null and one value of each type.
+def row_cells(encoded: DataFrame, table: Table) -> DataFrame:
+    """(row_id, cells) of encoded rows: an array of pos (place among the row's cells), column_idx, stype, is_null and one value of each type.
 
     An identifier's cell is never null, whether or not it is present.
     """
@@ -71,4 +71,9 @@ def cells(encoded: DataFrame, table: Table, text_order: bool = True) -> DataFram
         values = [(own if slot.get(c.stype) == n else F.lit(None)).cast(k).alias(n) for n, k in none.items()]
         null = F.lit(False) if c.stype == SType.IDENTIFIER else own.isNull()
         made.append(F.struct(F.lit(pos).alias("pos"), F.lit(c.index).alias("column_idx"), F.lit(int(c.stype)).alias("stype"), null.alias("is_null"), *values))
-    return encoded.select("row_id", F.explode(F.array(*made)).alias("c")).select("row_id", "c.*")
+    return encoded.select("row_id", F.array(*made).alias("cells"))
+
+
+def cells(encoded: DataFrame, table: Table) -> DataFrame:
+    """The cells of encoded rows, one a row of the table: row_id and the fields of row_cells()."""
+    return row_cells(encoded, table).select("row_id", F.inline("cells"))

@@ -156,12 +156,14 @@ def parts_for(rows: int) -> int:
     return min(MOST_PARTS, max(LEAST_PARTS, rows // PART_ROWS))
 
 
-def pruned(store: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
-    """store joined with asked, both with a column part: only the parts that are asked for are read.
+def pruned(store: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame | None:
+    """store joined with asked, both with a column part: only the parts that are asked for are read. None if none are.
 
-    asked is a written table. Parts are few (MOST_PARTS), so which ones they are is known before the plan is made.
+    asked comes from a written table. Parts are few (MOST_PARTS), so which ones they are is known before the plan is made.
     """
     parts = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}
+    if not parts:
+        return None
     asked = F.broadcast(asked) if sum(parts.values()) <= SENT_ROWS else asked
     return store.filter(F.col("part").isin(sorted(parts))).join(asked, [*on, "part"])
 
@@ -207,7 +209,10 @@ def eligible(asked: DataFrame, index: ChildIndex) -> DataFrame:
     last = keys.join(index.blocks, "parent").filter(in_time).groupBy("parent", "limit").agg(F.max("block").alias("block"))
     last = written(last.withColumn("part", index.part(F.col("parent"), F.col("block") * BLOCK)), "last")
     own = index.children.withColumn("block", F.floor(F.col("pos") / BLOCK)).select("parent", "block", "us", "part")
-    total = pruned(own, last, ["parent", "block"]).filter(in_time).groupBy("parent", "limit", "block").agg(F.count("*").alias("n"))
+    found = pruned(own, last, ["parent", "block"])
+    if found is None:
+        return asked.withColumn("total", F.lit(0).cast("long"))
+    total = found.filter(in_time).groupBy("parent", "limit", "block").agg(F.count("*").alias("n"))
     total = total.select(F.col("parent").alias("row_id"), "limit", (F.col("block") * BLOCK + F.col("n")).alias("total"))
     return asked.withColumn("limit", limit).join(total, ["row_id", "limit"], "left").withColumn("total", F.coalesce("total", F.lit(0))).drop("limit")
 
@@ -229,7 +234,10 @@ def drawn_children(asked: DataFrame, index: ChildIndex, seed: int = 0) -> DataFr
     )
     ranks = ranks.withColumn("pos", draw(seed, F.col("seq"), F.col("parent"), F.col("rank"), F.col("total")))
     ranks = written(ranks.withColumn("part", index.part(F.col("parent"), F.col("pos"))), "ranks")
-    return pruned(index.children, ranks, ["parent", "pos"]).select("seq", "parent", F.col("child").alias("row_id"), "rank")
+    found = pruned(index.children, ranks, ["parent", "pos"])
+    if found is None:
+        found = ranks.withColumn("child", F.col("parent"))  # nothing is drawn
+    return found.select("seq", "parent", F.col("child").alias("row_id"), "rank")
 
 
 def top_children(asked: DataFrame, index: ChildIndex, width: int, seed: int = 0) -> DataFrame:

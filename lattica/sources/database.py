@@ -102,16 +102,21 @@ class Database:
         return out
 
     @property
-    def cells(self) -> DataFrame:
-        """All rows of all tables in long form."""
-        from lattica.operators.encode import cells
+    def row_cells(self) -> DataFrame:
+        """(row_id, cells) of all rows of all tables."""
+        from lattica.operators.encode import row_cells
 
         out = None
         for t in self.annotation.tables.values():
-            part = cells(self.table(t.name), t)
+            part = row_cells(self.table(t.name), t)
             out = part if out is None else out.unionByName(part)
         return out
 
+    @property
+    def cells(self) -> DataFrame:
+        """All rows of all tables in long form."""
+        return self.row_cells.select("row_id", F.inline("cells"))
+
     def value(self, row_id: int, column: str):
         """One encoded value of a row."""
         for t, first in reversed(self.offsets.items()):

@@ -1,7 +1,7 @@
 """Batches of sequences without end: a producer that stays a few ahead of its consumer, and fixed arrays for training.
 
-One Spark job makes the sequences of several batches. What goes to the driver is their cells alone, batch size times
-sequence length of them.
+One Spark job makes several batches, each assembled by one task: a batch is bounded by its size, its sequences' length and
+their rows. What goes to the driver is its arrays, one row a batch.
 """
 
 from __future__ import annotations
@@ -13,16 +13,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lattica.operators import sampling as M
+from lattica.operators.graph import parts_for, pruned
 from lattica.operators.split import assigned, positioned, sharded
 from lattica.operators.store import RowStore
 from lattica.sources.annotation import SType, stype_of
 from lattica.sources.database import Database, forget, written
 
 SPLITS = ("train", "val", "test")
+#: The seeds' column with a target's value and the batch's array for it, by its type.
+_SLOT = {SType.NUMERICAL: ("numeric", "numeric_values"), SType.TIMESTAMP: ("timestamp", "timestamp_values"), SType.BOOLEAN: ("boolean", "bool_values"), SType.CATEGORICAL: ("categorical", "categorical_embed_ids")}
+_SEED = "struct<i:int,at:int,slot:string,value:array<double>>"
 
 
 def permuted(cells: DataFrame, adjacency: DataFrame, config: M.SamplerConfig) -> DataFrame:
@@ -51,6 +57,72 @@ def _matrix(adjacency: pd.DataFrame, r: int) -> np.ndarray:
     return out
 
 
+def fields(config: M.SamplerConfig) -> dict[str, tuple[type, tuple[int, ...]]]:
+    """Type and shape of the arrays that a batch has for its sequences."""
+    b, n, r = config.batch_size, config.sequence_length, config.max_rows_per_seq
+    kinds = {"semantic_types": np.int8, "column_ids": np.int32, "seq_row_ids": np.uint16, "numeric_values": np.float32, "timestamp_values": np.float32, "bool_values": np.uint8, "categorical_embed_ids": np.uint32, "text_embed_ids": np.uint32}
+    kinds |= {"is_null": np.uint8, "is_target": np.uint8, "is_padding": np.uint8, "fk_adj": np.uint8, "col_perm": np.uint16, "out_perm": np.uint16, "in_perm": np.uint16}
+    return {k: (t, (b, r, r) if k == "fk_adj" else (b, n, 15) if k == "timestamp_values" else (b, n)) for k, t in kinds.items()}
+
+
+def _column(values: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Which list each value is of, and the values."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return np.repeat(np.arange(len(lists)), lengths), pc.list_flatten(lists)
+
+
+def assembled(rows: pa.Table, seeds: pa.Table, config: M.SamplerConfig) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """A batch's arrays and its texts' numbers, in the order of their first appearance.
+
+    rows has a row for each visited row: i (the sequence's place in the batch), seq_row_id, row_id, first_pos, parents
+    and cells; seeds for each sequence: i, at (the target's place), slot (the array it goes to) and value (null if unknown).
+    """
+    n, r = config.sequence_length, config.max_rows_per_seq
+    out = {k: np.zeros(shape, kind) for k, (kind, shape) in fields(config).items()}
+    rows = rows.sort_by([("i", "ascending"), ("seq_row_id", "ascending")])
+    seq, own, row_id = (_column(rows[c]).to_numpy() for c in ("i", "seq_row_id", "row_id"))
+    at, cells = _flat(_column(rows["cells"]))
+    value = lambda c, null: pc.fill_null(cells.field(c), null).to_numpy(zero_copy_only=False)
+    pos = _column(rows["first_pos"]).to_numpy()[at] + value("pos", 0)
+    kept = pos < n
+    i, p = seq[at[kept]], pos[kept]
+    out["is_padding"][:] = 1
+    out["is_padding"][i, p] = 0
+    out["seq_row_ids"][i, p] = own[at[kept]]
+    for name, field, null in (("semantic_types", "stype", 0), ("column_ids", "column_idx", 0), ("is_null", "is_null", True), ("numeric_values", "numeric", 0.0), ("bool_values", "boolean", False), ("categorical_embed_ids", "categorical", 0)):
+        out[name][i, p] = value(field, null)[kept]
+    times = cells.field("timestamp")
+    timed = pc.is_valid(times).to_numpy(zero_copy_only=False) & kept
+    out["timestamp_values"][seq[at[timed]], pos[timed]] = pc.list_flatten(times.filter(pa.array(timed))).to_numpy().reshape(-1, 15)
+    worded = pc.is_valid(cells.field("text")).to_numpy(zero_copy_only=False) & kept
+    texts, first, which = np.unique(value("text", 0)[worded], return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    local = np.empty(len(texts), np.int64)
+    local[order] = np.arange(len(texts))
+    out["text_embed_ids"][seq[at[worded]], pos[worded]] = local[which]
+    # a row's references to rows of its own sequence
+    place = {(a, b): k for a, b, k in zip(seq.tolist(), row_id.tolist(), own.tolist(), strict=True)}
+    of, parents = _flat(_column(rows["parents"]))
+    for x, parent in zip(of.tolist(), parents.to_pylist(), strict=True):
+        j = place.get((seq[x], parent))
+        if j is not None:
+            out["fk_adj"][seq[x], own[x], j] = 1
+    for k in range(config.batch_size):
+        # cells of a target's type are ordered as they stand, before the target is put in
+        for name, perm in M.permutations(out["seq_row_ids"][k].astype(np.int64), out["column_ids"][k].astype(np.int64), out["is_padding"][k] == 1, out["fk_adj"][k].astype(bool)).items():
+            out[name][k] = perm
+    for x in seeds.to_pylist():
+        k, at_ = x["i"], x["at"]
+        known = x["value"] is not None
+        out["is_target"][k, at_], out["is_null"][k, at_] = 1, not known
+        out[x["slot"]][k, at_] = (x["value"] if x["slot"] == "timestamp_values" else x["value"][0]) if known else 0
+    return out, texts[order]
+
+
 class Shutdown(Exception):
     """The sampler has been shut down."""
 
@@ -71,27 +143,29 @@ class Sampler:
         sizes = self._seeds.groupBy("split", "task_idx").agg(F.count("*").alias("n")).collect()
         self._sizes = {s: {r.task_idx: r.n for r in sizes if r.split == s} for s in SPLITS}
         self._numbered = self._written(positioned(self._seeds).withColumnRenamed("position", "k"))
-        self._edges, self._times, self._cells = db.edges, self._written(db.times), db.cells
+        self._edges, self._times = db.edges, self._written(db.times)
         self._store = RowStore.build(self._edges, self._times)
+        self._rows = self._in_parts(db.row_cells.join(self._store.rows.select("row_id", "parents"), "row_id", "left"), "row_id", self._store.width)
+        n = max(1, db.metadata["vocabulary"]["text"])
+        self._text_width = -(-n // parts_for(n))
+        self._texts = self._in_parts(db.embeddings("text").select("idx", "emb"), "idx", self._text_width)
+        one = db.embeddings("column").select(F.size("emb").alias("n")).first()
+        self._dimension = one.n if one else 0
         self._stop = threading.Event()
         self._queues: dict[str, queue.Queue] = {}
         self._threads: list[threading.Thread] = []
 
     @staticmethod
-    def _written(df: DataFrame) -> DataFrame:
-        return written(df, "batches")
+    def _written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        return written(df, "batches", by)
 
-    def sequences(self, seeds: DataFrame, tables: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-        """(walked, cells) of seeds (seq, row_id, obs); tables gets what is written on the way."""
+    def _in_parts(self, df: DataFrame, key: str, width: int) -> DataFrame:
+        """df in ranges of a number, a folder each, so that a job reads only those it needs."""
+        return self._written(df.withColumn("part", F.floor(F.col(key) / width).cast("int")).repartitionByRange(key).sortWithinPartitions(key), ("part",))
 
-        def made(df: DataFrame) -> DataFrame:
-            out = self._written(df)
-            if tables is not None:
-                tables.append(out)
-            return out
-
-        walked = made(M.sampled(self.db.spark, seeds, self._edges, self._times, self.db.widths(), self.config, made, self._store))
-        return walked, M.sequence_cells(walked, self._cells, self.config)
+    @staticmethod
+    def _found(store: DataFrame, asked: DataFrame, key: str, width: int) -> DataFrame | None:
+        return pruned(store, asked.withColumn("part", F.floor(F.col(key) / width).cast("int")), [key])
 
     def _choices(self, split: str, number: int) -> tuple[int, np.ndarray] | None:
         tasks = sorted(k for k, n in self._sizes[split].items() if n)
@@ -102,75 +176,74 @@ class Sampler:
         return task, rng.integers(self._sizes[split][task], size=self.config.batch_size)
 
     def batches(self, split: str, first: int, count: int) -> list[dict[str, np.ndarray]]:
-        """Batches number first to first + count - 1 of a split; none if it has no seeds."""
-        b = self.config.batch_size
+        """Batches number first to first + count - 1 of a split, the same however many are asked for at once; none if it has no seeds.
+
+        Executors walk, look up cells and assemble: what comes to the driver is a row a batch with its arrays as bytes.
+        """
+        b, config = self.config.batch_size, self.config
         chosen, rows = {}, []
         for m in range(count):
             pick = self._choices(split, first + m)
             if pick is None:
                 return []
-            chosen[m] = pick[0]
-            rows += [(m * b + i, pick[0], int(k)) for i, k in enumerate(pick[1])]
+            chosen[first + m] = pick[0]
+            rows += [((first + m) * b + i, pick[0], int(k)) for i, k in enumerate(pick[1])]
         picks = self.db.spark.createDataFrame(rows, "seq long, task_idx int, k long")
         seeds = self._written(self._numbered.filter(F.col("split") == split).join(F.broadcast(picks), ["task_idx", "k"]))
         tables = [seeds]
-        walked, cells = self.sequences(seeds, tables)
-        found = cells.toPandas()
-        adjacency = M.row_adjacency(walked, self._edges).toPandas()
-        targets = seeds.toPandas().set_index("seq")
-        texts = found.text.dropna().unique().astype("int64").tolist()
-        wanted = self.db.spark.createDataFrame([(x,) for x in texts] or [(-1,)], "idx long")
-        vectors = {r.idx: np.array(r.emb, np.float32) for r in self.db.embeddings("text").join(F.broadcast(wanted), "idx").collect()}
+
+        def made(df: DataFrame) -> DataFrame:
+            tables.append(self._written(df))
+            return tables[-1]
+
+        walked = made(M.sampled(self.db.spark, seeds, self._edges, self._times, self.db.widths(), config, made, self._store))
+        visited = self._found(self._rows, walked, "row_id", self._store.width)
+        batch, i = F.floor(F.col("seq") / b).alias("batch"), (F.col("seq") % b).cast("int").alias("i")
+        visited = visited.select(batch, F.struct(i, "seq_row_id", "row_id", "first_pos", "parents", "cells").alias("row"), F.lit(None).cast(_SEED).alias("seed"))
+        targets = seeds.select(batch, F.lit(None).cast(visited.schema["row"].dataType).alias("row"), self._target(i).alias("seed"))
+        names = list(fields(config))
+
+        def assemble(group: pa.Table) -> pa.Table:
+            own = {c: pa.Table.from_batches([pa.RecordBatch.from_struct_array(_column(group[c]).filter(pc.is_valid(_column(group[c]))))]) for c in ("row", "seed")}
+            arrays, texts = assembled(own["row"], own["seed"], config)
+            columns = [pa.array([group["batch"][0].as_py()], pa.int64()), *(pa.array([arrays[k].tobytes()], pa.binary()) for k in names), pa.array([texts.tolist()], pa.list_(pa.int64()))]
+            return pa.Table.from_arrays(columns, names=["batch", *names, "texts"])
+
+        done = visited.unionAll(targets).groupBy("batch").applyInArrow(assemble, "batch long, " + ", ".join(f"{k} binary" for k in names) + ", texts array<long>")
+        done = made(done)
+        texts = done.select("batch", F.posexplode("texts").alias("local", "idx"))
+        vectors = self._found(self._texts, texts, "idx", self._text_width)
+        if vectors is not None:
+            done = done.join(vectors.groupBy("batch").agg(F.collect_list(F.struct("local", "emb")).alias("vectors")), "batch", "left")
+        out = [self._shaped(x, chosen[x.batch]) for x in sorted(done.collect(), key=lambda x: x.batch)]
         forget(tables)  # all is here; an endless stream must not fill the shared folder
-        by_seq, by_adj = dict(list(found.groupby("seq"))), dict(list(adjacency.groupby("seq")))
-        return [self._assembled(m, chosen[m], by_seq, by_adj, targets, vectors) for m in range(count)]
+        return out
 
-    def _assembled(self, m: int, task_idx: int, cells: dict, adjacency: dict, targets: pd.DataFrame, vectors: dict) -> dict[str, np.ndarray]:
-        c, b = self.config, self.config.batch_size
-        n, r = c.sequence_length, c.max_rows_per_seq
+    def _target(self, i: Column) -> Column:
+        """Of each seed: where its target stands, in which array, and its value as an array of numbers, null if it is unknown."""
+        places, slots, values = [], [], []
+        for k, task in enumerate(self.db.metadata["tasks"]):
+            kind = stype_of(task["target_stype"])
+            own = F.col("task_idx") == k
+            columns = self.db.annotation.tables[task["anchor_table"]].columns.values()
+            places.append(F.when(own, M.target_position([x.stype for x in columns], kind)))
+            slots.append(F.when(own, _SLOT[kind][1]))
+            cell = F.col(_SLOT[kind][0])
+            number = cell if kind == SType.TIMESTAMP else F.when(cell.isNotNull() & ~F.isnan(cell.cast("double")), F.array(cell.cast("double")))
+            values.append(F.when(own, number.cast("array<double>")))
+        return F.struct(i, F.coalesce(*places).alias("at"), F.coalesce(*slots).alias("slot"), F.coalesce(*values).alias("value"))
+
+    def _shaped(self, row: Row, task_idx: int) -> dict[str, np.ndarray]:
+        out = {k: np.frombuffer(row[k], kind).reshape(shape).copy() for k, (kind, shape) in fields(self.config).items()}
         task = self.db.metadata["tasks"][task_idx]
-        kind = stype_of(task["target_stype"])
-        table = self.db.annotation.tables[task["anchor_table"]]
-        at = M.target_position([x.stype for x in table.columns.values()], kind)
-        grid = lambda t, *more: np.zeros((b, n, *more), t)
-        out = {
-            "semantic_types": grid(np.int8), "column_ids": grid(np.int32), "seq_row_ids": grid(np.uint16), "numeric_values": grid(np.float32), "timestamp_values": grid(np.float32, 15),
-            "bool_values": grid(np.uint8), "categorical_embed_ids": grid(np.uint32), "text_embed_ids": grid(np.uint32), "is_null": grid(np.uint8), "is_target": grid(np.uint8),
-            "is_padding": grid(np.uint8), "fk_adj": np.zeros((b, r, r), np.uint8), "col_perm": grid(np.uint16), "out_perm": grid(np.uint16), "in_perm": grid(np.uint16),
-        }
-        out["is_padding"][:] = 1
-        local: dict[int, int] = {}
-        for i in range(b):
-            seq = m * b + i
-            x = cells[seq].sort_values("pos")
-            p = x.pos.to_numpy()
-            out["semantic_types"][i, p], out["column_ids"][i, p], out["seq_row_ids"][i, p] = x.stype, x.column_idx, x.seq_row_id
-            out["is_null"][i, p], out["is_padding"][i, p] = x.is_null.astype(np.uint8), 0
-            out["numeric_values"][i, p] = x.numeric.fillna(0)
-            out["bool_values"][i, p] = x.boolean.map(lambda v: int(v is True or v == 1))
-            out["categorical_embed_ids"][i, p] = x.categorical.fillna(0)
-            for q, v, t in zip(p, x.timestamp, x.text, strict=True):
-                if v is not None:
-                    out["timestamp_values"][i, q] = v
-                if t is not None and t == t:
-                    out["text_embed_ids"][i, q] = local.setdefault(int(t), len(local))
-            seed = targets.loc[seq]
-            value = seed[{SType.NUMERICAL: "numeric", SType.TIMESTAMP: "timestamp", SType.BOOLEAN: "boolean", SType.CATEGORICAL: "categorical"}[kind]]
-            null = value is None or (np.isscalar(value) and value != value)
-            out["is_target"][i, at], out["is_null"][i, at] = 1, int(null)
-            slot = {SType.NUMERICAL: "numeric_values", SType.TIMESTAMP: "timestamp_values", SType.BOOLEAN: "bool_values", SType.CATEGORICAL: "categorical_embed_ids"}[kind]
-            out[slot][i, at] = 0 if null else value
-            a = _matrix(adjacency[seq], r) if seq in adjacency else np.zeros((r, r), bool)
-            out["fk_adj"][i] = a
-            for k, v in M.permutations(*_rows_and_columns(x, n), a).items():
-                out[k][i] = v
-        known = next(iter(vectors.values()), np.zeros(256, np.float32))
-        out["text_batch_embeddings"] = np.stack([vectors.get(t, np.zeros_like(known)) for t in local]) if local else np.zeros((0, len(known)), np.float32)
-        stats = self.db.metadata["columns"][task["anchor_table"]].get(task["target_column"], {})
-        own = stats.get("categories") or []
-        out["target_stype"], out["task_idx"] = np.array([int(kind)], np.uint8), np.array([task_idx], np.uint32)
-        out["cat_emb_start"] = np.array([stats.get("min") if own else 0], np.uint32)
-        out["cat_emb_count"] = np.array([len(own)], np.uint32)
+        out["text_batch_embeddings"] = np.zeros((len(row.texts), self._dimension), np.float32)
+        for x in (row.asDict().get("vectors") or ()):
+            out["text_batch_embeddings"][x.local] = x.emb
+        own = self.db.metadata["columns"][task["anchor_table"]].get(task["target_column"], {})
+        categories = own.get("categories") or []
+        out["target_stype"], out["task_idx"] = np.array([int(stype_of(task["target_stype"]))], np.uint8), np.array([task_idx], np.uint32)
+        out["cat_emb_start"] = np.array([own.get("min") if categories else 0], np.uint32)
+        out["cat_emb_count"] = np.array([len(categories)], np.uint32)
         return out
 
     def stream(self, split: str, first: int = 0) -> Iterator[dict[str, np.ndarray]]:

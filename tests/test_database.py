@@ -106,6 +106,8 @@ def test_batches(field):
     x, again = s.batches("train", 0, 2)
     same = s.batches("train", 0, 1)[0]
     assert all(np.array_equal(x[k], same[k]) for k in x)
+    alone = s.batches("train", 1, 1)[0]
+    assert all(np.array_equal(again[k], alone[k]) for k in again)
     for b in (x, again):
         assert b["semantic_types"].shape == (3, 24) and b["timestamp_values"].shape == (3, 24, 15) and b["fk_adj"].shape == (3, 5, 5)
         assert (b["is_target"].sum(1) == 1).all() and (b["seq_row_ids"][:, 0] == 0).all()
