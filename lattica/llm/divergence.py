@@ -19,6 +19,8 @@ from lattica.llm.shared import BLANK, INSIDE, small_batches, sized, text_chunks,
 
 #: Documents of a language that a term must be in, ranks of terms reported, shares in units of 1 / UNIT.
 LEAST_DOCS, TERMS, UNIT = 3, 200, 1_000_000_000
+#: Bytes of text whose terms are counted together before anything is shuffled.
+CHUNK = 6_000_000
 #: Letters A-Z, a-z and all that is not ASCII make terms.
 _KINDS = np.array([INSIDE if i >= 128 or chr(i).isalpha() else BLANK for i in range(256)], np.uint8)
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -37,7 +39,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         rows = np.bincount(group, minlength=len(groups))
         yield named(np.arange(len(groups)), pa.nulls(len(groups), pa.string()), np.zeros(len(groups)), rows)
-        for first, _, data, offsets in text_chunks(b.column("text")):
+        for first, _, data, offsets in text_chunks(b.column("text"), CHUNK):
             code, terms, row, _ = tokens(data, offsets, _KINDS)
             if not len(code):
                 continue
