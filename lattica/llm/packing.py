@@ -51,9 +51,12 @@ def _encoder(paths: tuple[str, str]):
     fast, slow = _ENCODERS[paths]
 
     def encode(text: str) -> np.ndarray:
-        if _UNLIKE.search(text):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=())
+        if not _UNLIKE.search(text):
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its pattern gives up on very long runs of white space; the tokenizer itself does not
+                pass
+        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 

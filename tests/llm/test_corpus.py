@@ -53,6 +53,17 @@ def test_both_tokenizer_libraries_give_the_same_ids(tokenizer):
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_long_runs_of_one_class(spark, tokenizer):
+    runs = [" " * 2_000_000, "\n" * 1_500_000, "a" * 1_000_000, " \t\n" * 400_000, "word " * 500 + "\r\n" * 800_000 + "end", "7" * 900_000]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").repartition(3)
+    got = {}
+    for r in P.pack_documents(df).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, text in enumerate(runs):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert sorted(got[i]) == [(k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
+
+
 def test_plan_uses_each_piece_once():
     rng = random.Random(1)
     for window, n in ((2048, 30_000), (64, 500), (2048, 3)):
