@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from lattica.llm.shared import connected_components, forget, sized, small_batches, written
 
-TREES = 8
+TREES = 16
 #: Leaves are split further while they have more vectors than this.
-LEAF = 256
+LEAF = 128
 #: Leaves of more vectors, which could not be split, are compared in blocks of about so many; small ones are compared
 #: together in tasks of about GROUP rows.
 BLOCK, GROUP = 1024, 4000
@@ -99,7 +99,7 @@ def _loss(margin: float, radii: np.ndarray, apart: float) -> float:
 
 
 def _thresholds(unit: np.ndarray, leaf: int, total: int, least: float, spent: float = 0.0) -> np.ndarray:
-    """(cut, margin, chances of parting spent so far) of each node of LEVELS levels.
+    """(cut, margin, chance of having parted a pair so far) of each node of LEVELS levels.
 
     WHOLE where a node stays whole: small enough, or not to be parted within what is left of the chances.
     """
@@ -113,8 +113,8 @@ def _thresholds(unit: np.ndarray, leaf: int, total: int, least: float, spent: fl
             continue
         p = unit[r] @ way[node]
         cut = float(np.median(p))
-        # what is left is dealt evenly over the levels to come
-        may = (MISS ** (1 / TREES) - used) / (1 + math.log(len(r) * share / LEAF) / -math.log(USUAL))
+        # what is left is dealt evenly over the levels to come; directions are drawn anew, so chances to stay together multiply
+        may = 1 - (max(1 - MISS ** (1 / TREES), 0) / (1 - used)) ** (1 / (1 + math.log(len(r) * share / LEAF) / -math.log(USUAL)))
         radii = _radii(unit[r], apart)
         small, large = 0.0, 4.0
         for _ in range(12):
@@ -125,8 +125,8 @@ def _thresholds(unit: np.ndarray, leaf: int, total: int, least: float, spent: fl
         lost = _loss(large, radii, apart)
         if max(len(low), len(high)) > WIDEST * len(r) or lost > may:
             continue
-        out[node] = cut, margin, used + lost
-        rows[2 * node + 1], rows[2 * node + 2] = (low, used + lost), (high, used + lost)
+        out[node] = cut, margin, 1 - (1 - used) * (1 - lost)
+        rows[2 * node + 1], rows[2 * node + 2] = (low, out[node, 2]), (high, out[node, 2])
     return out
 
 
