@@ -164,7 +164,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs (text and any other columns) in which no item is found."""
+    """The rows of docs (text and any other columns) in which no item is found.
+
+    Every row is judged by its own whole text, repeated ones alike; null and empty texts hold no item and stay. Without
+    items, or without rows, docs stay as they are.
+    """
     for index in _indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

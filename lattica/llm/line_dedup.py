@@ -113,14 +113,16 @@ def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, leas
     gone = lines.select("doc_id", "th", "pos", "h1", "h2").join(sized(repeated), ["h1", "h2"])
     gone = gone.filter("near or doc_id > first.doc_id or (doc_id = first.doc_id and pos > first.pos)")
     gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"}), "gone")
-    texts = docs.join(sized(gone), (docs.doc_id == F.col("_doc_id")) & (F.xxhash64(docs.text) == F.col("_th")), "left")
+    # a row travels as one structure, so that its columns may have any name
+    rows = docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    texts = rows.join(sized(gone), (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64("text") == F.col("_th")), "left")
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     joined = F.transform(F.array(parts), lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n"))[0]  # parted once
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(joined)
     ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(ends + 1)
-    own = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    own = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     return texts.select(*own, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 

@@ -294,7 +294,9 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss
     """
     gone = components(docs, k, percent, miss).filter("not kept and doc_id is not null")
     gone = written(gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct(), "gone")
-    return docs.join(sized(gone), (docs["doc_id"] == F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_th")), "left_anti")
+    # a row travels as one structure, so that its columns may have any name
+    rows = docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    return rows.join(sized(gone), (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_th")), "left_anti").select("row.*")
 
 
 def _kind(docs: DataFrame) -> str:

@@ -220,6 +220,11 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The pieces of docs (doc_id, text) with sequence_id and offset.
+
+    A null or empty text gives the end mark alone; a text of any length, of whatever characters, is read whole. Rows that
+    repeat or lack a doc_id give pieces of their own. Other columns are ignored; an empty table stays empty.
+    """
     return pack(written(token_pieces(docs, window), "pieces"), window)
 
 

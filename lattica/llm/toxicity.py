@@ -107,7 +107,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) ->
     labels (doc_id, toxic) of the held-out fold are never read; toxic other than 0 and 1 and labels of no document are
     ignored, of two labels for one document the greater holds. Null and empty texts and texts without letters are
     scored as texts without words. Where a label has no text at all to learn from, every score is 0. Rows that repeat a
-    doc_id each give a row; for a null one held_out is false. Other columns are ignored.
+    doc_id each give a row; for a null one held_out is false. Other columns are ignored, also a kept one called as a result.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -123,18 +123,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) ->
         x = np.array(sorted((*r.x, r.toxic, r.times) for r in _featured(cal, model).collect()))
         tables = model, logistic(x[:, :-2], x[:, -2], 1e-4, times=x[:, -1])
 
-    kept = ["doc_id", *(c for c in keep if c != "doc_id")]
+    kept = ["doc_id", *(c for c in keep if c not in ("doc_id", "held_out", "score", "predicted"))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(tables[0].value) if tables else None
         for batch in batches:
             if len(batch):
-                texts = batch.column("_text").to_pylist()
+                texts = batch.column(len(kept) + 1).to_pylist()
                 p = probability(features(texts, scorer), tables[1]) if tables else np.zeros(len(batch))
                 own = [batch.column(i) for i in range(len(kept) + 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "held_out", "score", "predicted"])
 
-    table = docs.select(*[f"`{c}`" for c in kept], F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").alias("_text"))
+    table = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").alias("_text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return table.mapInArrow(score, f"{schema}, held_out boolean, score double, predicted int")
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate as D
 from lattica.llm import packing as P
@@ -200,3 +201,26 @@ def test_stages(spark):
     assert {r.doc_id for r in out} == set(texts)
     near = near_duplicates(docs).collect()
     assert all(r.kept for r in near)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, repeated rows and ids, long texts and clashing names go through all stages; clean rows stay."""
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.001"
+    clean = "an ordinary report about the harvest of apples in the northern valleys during a mild autumn"
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, clean, "en", None, None), (1, clean, "en", None, None), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "a text without any number of its own", None, "s", 3)]
+    rows += [(4, long, "en", "s", len(long)), (5, " " * 700_000, "en", "s", 700_000), (6, long + " more", "en", "s", 1), (6, "another text under the same number", "en", "s", 1)]
+    names = ["_gone", "_th", "_doc_id", "_gone_id", "_row", "row", "score", "predicted", "n_removed"]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(1).alias(c) for c in names]), "odd")
+    kept = None
+    for name, stage in C.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        kept = Counter((r.doc_id, (r.text or "")[:20]) for r in docs.collect())
+        assert kept[None, "a text without any n"] == 1 and kept[2, ""] == 1 and kept[6, "another text under t"] == 1, name
+        if name == "minhash_dedup":  # the later copy of the long text goes at one of the first stages
+            assert sum(n for (i, t), n in kept.items() if t.startswith("word0")) == 1
+    out = C.STAGES[-1][1](spark, docs, sf).groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in out} == {i for i, _ in kept}

@@ -48,6 +48,12 @@ def test_toxicity(spark):
     assert got[0].lang == rows[0][2]
 
 
+def test_toxicity_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a text", 7, 8, 9)], "doc_id long, text string, score int, _text int, other int")
+    out = toxicity(df, spark.createDataFrame([], "doc_id long, toxic int"), keep=("score", "_text", "other", "text"))
+    assert out.columns == ["doc_id", "_text", "other", "text", "held_out", "score", "predicted"] and tuple(out.first())[:4] == (1, 8, 9, "a text") and out.first().score == 0
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

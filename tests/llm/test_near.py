@@ -73,8 +73,8 @@ def test_one_id_for_several_texts(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
         got = sorted(tuple(r) for r in M.near_duplicates(df, 2).select("doc_id", "component_id", "kept").collect())
         assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 4, False)]
-    kept = M.without_near_duplicates(df.withColumn("_gone_id2", F.lit(1)), 2)
-    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(r for r in rows if r[0] in (1, 4)) and kept.columns == ["doc_id", "text", "_gone_id2"]
+    kept = M.without_near_duplicates(df.withColumns({c: F.lit(1) for c in ("_gone_id", "_gone_th", "row", "th")}), 2)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(r for r in rows if r[0] in (1, 4)) and kept.columns == ["doc_id", "text", "_gone_id", "_gone_th", "row", "th"]
 
 
 def test_group_larger_than_a_block(spark, monkeypatch):
@@ -262,3 +262,13 @@ def test_line_dedup(spark):
         assert (got[i].text, got[i].n_lines, got[i].n_removed) == w, i
     assert got[100].text is None and got[None].n_removed == 0
     assert L.without_repeated_lines(df.filter("false")).count() == 0
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "one and the same line of many words that two documents have"
+    df = spark.createDataFrame([(1, line), (2, f"own\n{line}"), (None, line), (3, None)], "doc_id long, text string")
+    names = ["_doc_id", "_th", "_gone", "row", "first", "pos", "a.b"]
+    out = L.without_repeated_lines(df.select("*", *[F.lit(c).alias(c) for c in names]))
+    assert out.columns == ["doc_id", "text", *names, "n_lines", "n_removed"]
+    got = {(r[0], r[1]): tuple(r)[2:] for r in out.collect()}
+    assert got == {(1, line): (*names, 1, 0), (2, "own"): (*names, 2, 1), (None, line): (*names, 1, 0), (3, None): (*names, 0, 0)}
