@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lattica.functions import scalar as S
 from lattica.sources.annotation import Annotation, Column, SType, Table
+from lattica.sources.database import written
 from lattica.sources.tables import listed, read
 
 MOST_VALUES = 50
@@ -47,6 +48,25 @@ def contained(df: DataFrame, column: str, other: DataFrame, key: str) -> DataFra
     return out.withColumn("rate", F.round(F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(0.0), 4))
 
 
+def inclusions(parts: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """(col, holder, total, matched, rate) of every two of the columns (name, table, column): as contained() has it for each pair.
+
+    All columns' values are grouped once, each to the set of columns that hold it; how often a column's values have which
+    set is all that pairs need, and sets are few, however many values there are. Values are compared as 64-bit integers,
+    others are left out. A column without values is held by none.
+    """
+    values = None
+    for name, df, column in parts:
+        own = df.select(F.lit(name).alias("col"), S.as_long(F.col(f"`{column}`")).alias("v")).filter("v is not null").groupBy("col", "v").agg(F.count("*").alias("n"))
+        values = own if values is None else values.unionAll(own)
+    sets = values.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("col", "n"))).alias("held"))
+    sets = sets.select(F.col("held.col").alias("holders"), F.inline("held")).groupBy("holders", "col").agg(F.sum("n").alias("n"))
+    pairs = sets.select("col", "n", F.explode("holders").alias("holder")).groupBy("col", "holder").agg(F.sum("n").alias("matched"))
+    pairs = written(pairs, "pairs")  # at most a row for each two columns
+    total = F.broadcast(pairs.filter("col = holder").select("col", F.col("matched").alias("total")))
+    return pairs.filter("col <> holder").join(total, "col").withColumn("rate", F.round(F.col("matched") / F.col("total"), 4)).select("col", "holder", "total", "matched", "rate")
+
+
 def draft(spark: SparkSession, data_dir: str, name: str) -> Annotation:
     """An annotation by rules: types from physical types, names and distinct counts; keys from uniqueness; references from names and containment."""
     frames = {t: read(spark, data_dir, t) for t in listed(spark, data_dir)}
@@ -86,12 +106,11 @@ def draft(spark: SparkSession, data_dir: str, name: str) -> Annotation:
         if key:
             unique[t] = key
     stem = lambda c: c.lower().rpartition("_")[2]
-    for t, table in tables.items():
-        for c in table.columns.values():
-            if c.stype != SType.IDENTIFIER or c.name == table.primary_key or not isinstance(frames[t].schema[c.name].dataType, T.IntegralType):
-                continue
-            for other, key in unique.items():
-                if other != t and stem(c.name) == stem(key) and contained(frames[t], c.name, frames[other], key).first().rate >= 0.99:
-                    c.foreign_key = f"{other}.{key}"
-                    break
+    whole = [(t, c) for t, table in tables.items() for c in table.columns.values() if c.stype == SType.IDENTIFIER and isinstance(frames[t].schema[c.name].dataType, T.IntegralType)]
+    rates = {(r.col, r.holder): r.rate for r in inclusions([(f"{t}.{c.name}", frames[t], c.name) for t, c in whole]).collect()} if whole else {}
+    for t, c in whole:
+        for other, key in unique.items():
+            if c.name != tables[t].primary_key and other != t and stem(c.name) == stem(key) and rates.get((f"{t}.{c.name}", f"{other}.{key}"), 0) >= 0.99:
+                c.foreign_key = f"{other}.{key}"
+                break
     return Annotation(name, tables)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import scalar as S
+from lattica.operators.vocabulary import numbered
 from lattica.sources.annotation import SType, Table
 
 
@@ -73,10 +74,8 @@ def table_stats(df: DataFrame, table: Table) -> dict[str, Stats]:
 
 def categories(df: DataFrame, column: str) -> DataFrame:
     """(category, place): distinct values as text in the order of their bytes, numbered from 0. One row a category."""
-    from pyspark.sql import Window
-
     values = df.select(S.as_text(F.col(f"`{column}`")).alias("category")).filter("category is not null").distinct()
-    return values.select("category", (F.row_number().over(Window.orderBy("category")) - 1).alias("place"))
+    return numbered(values, ["category"], "place").select("category", F.col("place").cast("int").alias("place"))
 
 
 def all_times(parts: list[tuple[DataFrame, str]]) -> DataFrame:

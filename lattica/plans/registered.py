@@ -633,6 +633,19 @@ def target_mark(spark, sf_dir):
     return marked.select("seq", F.col("pos").cast("int").alias("pos"), "is_target", "is_null", "numeric")
 
 
+@query(f"""WITH counts AS (SELECT o_orderkey AS k, CASE WHEN num_lineitems > 1 THEN num_lineitems END AS v FROM ({K.rewritten(TASKS['task_num_lineitems_30d'][0], ORDER).replace('`', '')}))
+  SELECT o_orderkey + {OFFSET['orders']} AS seq, CAST({sum(_WIDTH[t] for t in ('orders', 'customer', 'nation', 'region'))} AS BIGINT) AS cells, CAST(4 AS BIGINT) AS rows,
+    CAST(CASE WHEN v IS NULL THEN 1 ELSE 0 END + CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS BIGINT) AS nulls, CAST(1 AS BIGINT) AS targets, CAST(3 AS BIGINT) AS edges FROM orders JOIN counts ON k = o_orderkey""")
+def sequence_targets(spark, sf_dir):
+    """Summaries of the sequences of a task's seeds: an order, its customer, nation and region, with the target put in."""
+    config = M.SamplerConfig(bfs_child_width=0)
+    d, e, walked = _context(spark, sf_dir, "orders", config)
+    d.register()
+    targets = K.resolved(d, d.annotation.tasks["task_num_lineitems_30d"]).select(F.col("row_id").alias("seq"), F.when(F.col("target") > 1, F.col("target").cast("double")).alias("numeric"))
+    marked = M.marked(M.sequence_cells(walked, _long_cells(d), config), targets, _AT, "numeric")
+    return M.summary(marked, M.row_adjacency(walked, e)).select("seq", "cells", "rows", "nulls", "targets", "edges")
+
+
 @query(f"""SELECT s_suppkey + {OFFSET['supplier']} AS seq, unnest(range(12)) AS place, unnest([7, 8, 4, 5, 6, 0, 1, 2, 3, 9, 10, 11]) AS col_perm,
   unnest([4, 5, 6, 0, 1, 2, 3, 7, 8, 9, 10, 11]) AS out_perm, unnest([7, 8, 4, 5, 6, 0, 1, 2, 3, 9, 10, 11]) AS in_perm FROM supplier""")
 def perm_rcm(spark, sf_dir):
@@ -719,6 +732,18 @@ def profile_column_stats(spark, sf_dir):
     return union(P.column_profile(d.scan(t), c).withColumns(r).select(F.lit(c).alias("col"), "*") for t, c in (("orders", "o_totalprice"), ("part", "p_size"), ("lineitem", "l_quantity"), ("events", "value")))
 
 
+#: Identifiers that are whole numbers.
+_KEYS = [(t.name, c.name) for t, c in ANNOTATION.column_list() if c.stype == SType.IDENTIFIER and not c.name.endswith("name")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.{c}' AS col, '{u}.{k}' AS holder, count(*) AS total FROM (SELECT {c} AS v FROM {t} WHERE {c} IS NOT NULL) HAVING count(*) > 0 AND count(*) = count(*) FILTER (WHERE v IN (SELECT {k} FROM {u}))"
+  for t, c in _KEYS for u, k in _KEYS if (t, c) != (u, k)))
+def key_inclusions(spark, sf_dir):
+    """Every key column all of whose values another one holds."""
+    found = P.inclusions([(f"{t}.{c}", R.read(spark, sf_dir, t), c) for t, c in _KEYS])
+    return found.filter("matched = total").select("col", "holder", "total")
+
+
 @query("""SELECT 'lineitem.l_orderkey' AS fk, count(l_orderkey) AS total, count(o_orderkey) AS matched, round(count(o_orderkey) / count(l_orderkey), 4) AS rate FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
   UNION ALL SELECT 'events.user_id', count(user_id), count(s_suppkey), round(count(s_suppkey) / count(user_id), 4) FROM events LEFT JOIN supplier ON user_id = s_suppkey""")
 def fk_check(spark, sf_dir):
