@@ -49,11 +49,16 @@ def transposed(e: DataFrame) -> DataFrame:
 def flat_adjacency(e: DataFrame) -> DataFrame:
     """(row_id, place, neighbor): each edge at its place among its source's, in ascending order, duplicates included.
 
-    Edges are numbered in ranges of (src, dst), so a hub's neighbours are never in one place.
+    Edges are numbered in ranges of (src, dst), so a hub's neighbours are never in one place. Only a range's first source
+    may have edges in earlier ranges: what those hold of it is added, a row a range.
     """
-    flat = written(numbered(e.select("src", "dst"), ["src", "dst"], "_at"), "flat")
-    first = flat.groupBy("src").agg(F.min("_at").alias("_first"))
-    return flat.join(first, "src").select(F.col("src").alias("row_id"), (F.col("_at") - F.col("_first")).alias("place"), F.col("dst").alias("neighbor"))
+    parts = ranged(e.select("src", "dst"), ["src", "dst"])
+    firsts = parts.groupBy("_part").agg(F.min("src").alias("src"))
+    held = parts.join(F.broadcast(firsts.select("src").distinct()), "src").groupBy("src", "_part").agg(F.count("*").alias("_c"))
+    before = held.select("src", "_part", (F.sum("_c").over(Window.partitionBy("src").orderBy("_part")) - F.col("_c")).alias("_before"))
+    within = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part", "src").orderBy("dst")) - 1)
+    place = (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("long")
+    return within.join(F.broadcast(before), ["src", "_part"], "left").select(F.col("src").alias("row_id"), place.alias("place"), F.col("dst").alias("neighbor"))
 
 
 def adjacency(e: DataFrame, all_nodes: DataFrame) -> DataFrame:

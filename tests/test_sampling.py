@@ -180,3 +180,28 @@ def test_walks_over_hubs_are_those_over_rows(spark, monkeypatch, width):
     found = store.look_up(asked, 1)
     assert [(r.row_id, r.total) for r in found.collect()] == [(700, 0)]
     assert len(found.inputFiles()) < len(store.rows.inputFiles())
+
+
+def test_places_of_a_hub_that_spans_ranges(spark):
+    edges = [(7, i % 900) for i in range(4000)] + [(i, 3) for i in range(5)] + [(9, i) for i in range(700)]
+    got = {}
+    for r in G.flat_adjacency(spark.createDataFrame(edges, "src long, dst long").repartition(3)).collect():
+        got.setdefault(r.row_id, []).append((r.place, r.neighbor))
+    for src in {a for a, _ in edges}:
+        want = sorted(b for a, b in edges if a == src)
+        assert sorted(got.pop(src)) == list(enumerate(want))
+    assert not got
+
+
+def test_inclusions_against_sets(spark):
+    from lattica.operators import profile as P
+
+    rng = random.Random(8)
+    tables = {c: [rng.choice([None, *range(n)]) for _ in range(200)] for c, n in (("a", 5), ("b", 30), ("c", 31), ("none", 0))}
+    parts = [(c, spark.createDataFrame([(x,) for x in v], "v long"), "v") for c, v in tables.items()]
+    got = {(r.col, r.holder): (r.total, r.matched) for r in P.inclusions(parts).collect()}
+    for a, x in tables.items():
+        for b, y in tables.items():
+            own, there = [v for v in x if v is not None], set(y) - {None}
+            hit = sum(v in there for v in own)
+            assert a == b or got.get((a, b), (len(own), 0)) == (len(own), hit)
