@@ -17,8 +17,10 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, a folder of the warehouse, which executors share as well."""
+    """The folder named by spark.checkpoint.dir; where it is unset and all runs on one machine, the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
