@@ -100,6 +100,64 @@ def test_names_in_compounds():
     assert not any(map(H._says_beside, ("social-science", "search-algorithms", "related-work", "article", "", "adverb")))
 
 
+def _laid_out(k: int, i: int) -> tuple[str, str]:
+    """A page of the k-th layout, none of whose elements and classes say what they are, and its article."""
+    rng = random.Random(i)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    title, body, side = text(2), [text(30) for _ in range(3)], text(5)
+    article = f"<h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in body)
+    html = (
+        f"<div><p>Welcome all</p></div><div class='x'><div class='y'>{article}</div><div class='z'><p>{side}</p></div></div>",
+        f"<section><section class='q'>{article}</section></section><section class='r'><p>{side}</p><p>Terms apply</p></section>",
+        f"<div class='u'><div><p>Old and new</p></div><section class='v'>{article}</section><div class='w'><p>{side}</p></div></div>",
+    )[k]
+    return f"<html><body>{html}</body></html>", " ".join((title, *body))
+
+
+@pytest.mark.parametrize("most", [H.BROADCAST_BYTES, 0])
+def test_layouts_of_one_host_and_of_small_ones(spark, monkeypatch, most):
+    """Three layouts of a host have a template each; hosts of 1 to 4 pages take that of their layout, wherever it is known."""
+    monkeypatch.setattr(H, "BROADCAST_BYTES", most)
+    rows, want = [], []
+    for i in range(82):
+        html, text = _laid_out(i % 3, i)
+        rows.append((i, "http://large.org/a" if i < 60 else f"http://small{(i - 60) % 12}.org/a", html))
+        want.append(text)
+    # mirrors: the same page on forty hosts is one page of its layout, and none of its text becomes template
+    rows += [(i, f"http://mirror{i}.org/", rows[0][2]) for i in range(82, 122)]
+    want += [want[0]] * 40
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for names in (True, False):
+        assert [r.text for r in H.extracted(df, names).orderBy("page_id").collect()] == want
+
+
+def test_layout_is_the_set_of_section_paths():
+    a = "<body><div class='one 7'><p>x</p><!-- <div> --><script>'<main>'</script></div><div class=one><p>y</p></div></body>"
+    assert H.layout_of(a) == H.layout_of(a.replace("<p>y</p>", "<ul><li>z</ul>")) == H.layout_of("<BODY><DIV CLASS=one></DIV>")
+    assert len({H.layout_of(x) for x in ("", "<body>", a, "<body><div id=two>", "<div><body>", "<body><div class=one><div class=one>")}) == 6
+    assert H.layout_of("</div>" * 9 + a) == H.layout_of(a) and H.layout_of("<div>" * 50_000) != H.layout_of("<div>" * 49_999)
+    assert H.layout_of("<div " * 200_000) == H.layout_of("")
+
+
+def test_groups(spark):
+    """Groups by plain loops: of a host's pages of a layout, of all of a layout, of all of a host."""
+    rng = random.Random(5)
+    rows = [(h, y, n, rng.randint(0, n)) for h in "abcdef" for y in "uvwxyz" if (n := rng.choice([0, 1, 2, 4, 5, 9]))]
+    got = {(r.host, r.layout, r.choice): (r.total, r.mirrors) for r in H.groups(spark.createDataFrame(rows, "host string, layout string, pages long, own long")).collect()}
+    pool = {y: sum(o for _, x, _, o in rows if x == y) for y in "uvwxyz"}
+    small = {y for _, y, n, _ in rows if n < 5}
+    lone = {h for h, y, n, _ in rows if n < 5 and pool[y] < 5}
+    want = {}
+    for h, y, n, _ in rows:
+        if n >= 5:
+            want[h, y, 1] = (n, True)
+        if y in small and pool[y] >= 5:
+            want[h, y, 2] = (pool[y], False)
+        if h in lone and (total := sum(m for g, _, m, _ in rows if g == h)) >= 5:
+            want[h, y, 3] = (total, True)
+    assert got == want
+
+
 def test_extracted(spark):
     rows = [(i, f"http://h{i % 3}.org/{i}", PAGE) for i in range(30)] + [(100, None, PAGE), (101, "nothing", None), (102, "http://a.b/", ""), (None, "http://h1.org", PAGE), (3, "http://h0.org/3", PAGE)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, host int, template string")
