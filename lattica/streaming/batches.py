@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lattica.operators import sampling as M
 from lattica.operators.graph import parts_for, pruned
@@ -24,6 +25,7 @@ from lattica.operators.split import assigned, positioned, sharded
 from lattica.operators.store import RowStore
 from lattica.sources.annotation import SType, stype_of
 from lattica.sources.database import Database, forget, written
+from lattica.streaming.source import BatchNumbers
 
 SPLITS = ("train", "val", "test")
 #: The seeds' column with a target's value and the batch's array for it, by its type.
@@ -180,17 +182,52 @@ class Sampler:
 
         Executors walk, look up cells and assemble: what comes to the driver is a row a batch with its arrays as bytes.
         """
+        tables: list[DataFrame] = []
+        done = self._job(split, first, count, tables)
+        out = [] if done is None else [self._shaped(x) for x in sorted(done.collect(), key=lambda x: x.batch)]
+        forget(tables)  # all is here; an endless stream must not fill the shared folder
+        return out
+
+    def written_stream(self, split: str, path: str, checkpoint: str, each: int | None = None, until: int | None = None) -> StreamingQuery:
+        """Batches of a split as rows of Parquet, written by executors until the query is stopped, or up to number `until`.
+
+        A micro-batch makes `each` of them (batches_per_job by default), in a folder that its first number names. A query
+        started again on the checkpoint goes on where it stopped: what it had not finished is made anew, bit for bit, in
+        the place of what is there. A split without seeds gives none. Rows are read back by read_stream().
+        """
+        spark = self.db.spark
+        BatchNumbers.register(spark)
+        numbers = spark.readStream.format("batch_numbers").option("each", each or self.config.batches_per_job)
+        numbers = (numbers if until is None else numbers.option("until", until)).load()
+
+        def write(df: DataFrame, _: int) -> None:
+            low, n = df.agg(F.min("number"), F.count("*")).first()
+            tables: list[DataFrame] = []
+            done = self._job(split, low, n, tables) if n else None
+            if done is not None:
+                done.write.mode("overwrite").parquet(f"{path}/first={low}")
+            forget(tables)
+
+        return numbers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+    def read_stream(self, path: str, first: int, count: int) -> list[dict[str, np.ndarray]]:
+        """Batches number first to first + count - 1 of those that written_stream() has written so far."""
+        rows = self.db.spark.read.parquet(path).filter(F.col("batch").between(first, first + count - 1))
+        return [self._shaped(x) for x in sorted(rows.collect(), key=lambda x: x.batch)]
+
+    def _job(self, split: str, first: int, count: int, tables: list[DataFrame]) -> DataFrame | None:
+        """A row for each batch, of its number, its task, its arrays as bytes and its texts' vectors; tables gets what is to be forgotten."""
         b, config = self.config.batch_size, self.config
-        chosen, rows = {}, []
+        chosen, rows = [], []
         for m in range(count):
             pick = self._choices(split, first + m)
             if pick is None:
-                return []
-            chosen[first + m] = pick[0]
+                return None
+            chosen.append((first + m, pick[0]))
             rows += [((first + m) * b + i, pick[0], int(k)) for i, k in enumerate(pick[1])]
         picks = self.db.spark.createDataFrame(rows, "seq long, task_idx int, k long")
         seeds = self._written(self._numbered.filter(F.col("split") == split).join(F.broadcast(picks), ["task_idx", "k"]))
-        tables = [seeds]
+        tables.append(seeds)
 
         def made(df: DataFrame) -> DataFrame:
             tables.append(self._written(df))
@@ -215,9 +252,10 @@ class Sampler:
         vectors = self._found(self._texts, texts, "idx", self._text_width)
         if vectors is not None:
             done = done.join(vectors.groupBy("batch").agg(F.collect_list(F.struct("local", "emb")).alias("vectors")), "batch", "left")
-        out = [self._shaped(x, chosen[x.batch]) for x in sorted(done.collect(), key=lambda x: x.batch)]
-        forget(tables)  # all is here; an endless stream must not fill the shared folder
-        return out
+        else:
+            done = done.withColumn("vectors", F.lit(None).cast(f"array<struct<local:int,emb:{self._texts.schema['emb'].dataType.simpleString()}>>"))
+        tasks = self.db.spark.createDataFrame(chosen, "batch long, task_idx int")
+        return done.join(F.broadcast(tasks), "batch")
 
     def _target(self, i: Column) -> Column:
         """Of each seed: where its target stands, in which array, and its value as an array of numbers, null if it is unknown."""
@@ -233,11 +271,12 @@ class Sampler:
             values.append(F.when(own, number.cast("array<double>")))
         return F.struct(i, F.coalesce(*places).alias("at"), F.coalesce(*slots).alias("slot"), F.coalesce(*values).alias("value"))
 
-    def _shaped(self, row: Row, task_idx: int) -> dict[str, np.ndarray]:
+    def _shaped(self, row: Row) -> dict[str, np.ndarray]:
         out = {k: np.frombuffer(row[k], kind).reshape(shape).copy() for k, (kind, shape) in fields(self.config).items()}
+        task_idx = row.task_idx
         task = self.db.metadata["tasks"][task_idx]
         out["text_batch_embeddings"] = np.zeros((len(row.texts), self._dimension), np.float32)
-        for x in (row.asDict().get("vectors") or ()):
+        for x in row.vectors or ():
             out["text_batch_embeddings"][x.local] = x.emb
         own = self.db.metadata["columns"][task["anchor_table"]].get(task["target_column"], {})
         categories = own.get("categories") or []
