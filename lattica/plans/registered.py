@@ -13,6 +13,7 @@ from lattica.operators import encode as E
 from lattica.operators import graph as G
 from lattica.operators import profile as P
 from lattica.operators import sampling as M
+from lattica.operators import sketches as Q
 from lattica.operators import split as B
 from lattica.operators import stats as A
 from lattica.operators import vocabulary as V
@@ -732,6 +733,17 @@ def profile_column_stats(spark, sf_dir):
     return union(P.column_profile(d.scan(t), c).withColumns(r).select(F.lit(c).alias("col"), "*") for t, c in (("orders", "o_totalprice"), ("part", "p_size"), ("lineitem", "l_quantity"), ("events", "value")))
 
 
+#: Categories: so few that their count in a sketch is exact.
+_FEW = {t: [c.name for c in ANNOTATION.tables[t].columns.values() if c.stype == SType.CATEGORICAL] for t in ORDER}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, min(CAST({c} AS VARCHAR)) AS first, max(CAST({c} AS VARCHAR)) AS last FROM {t}" for t in ORDER for c in _FEW[t]))
+def profile_sketched(spark, sf_dir):
+    """Profiles of all columns of categories from sketches of files, merged over each table's files."""
+    parts = union(Q.sketched(R.read(spark, sf_dir, t), _FEW[t]).withColumn("tbl", F.lit(t)) for t in ORDER if _FEW[t])
+    return Q.profiles(Q.merged(parts, "tbl")).select("tbl", "col", "total", "nulls", F.col("distinct").alias("n_distinct"), "first", "last")
+
+
 #: Identifiers that are whole numbers.
 _KEYS = [(t.name, c.name) for t, c in ANNOTATION.column_list() if c.stype == SType.IDENTIFIER and not c.name.endswith("name")]
 
