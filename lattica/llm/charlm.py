@@ -2,7 +2,8 @@
 
 Text is read as words, runs of letters in lower case, each between two boundary marks; an n-gram stands inside one word
 with its marks. N-grams are 64-bit hashes in one sorted array an order; for each, one column a class of discounted
-probabilities and backoff weights. A model is as large as the bounded sample that it is fitted on.
+probabilities and backoff weights. A model is as large as the distinct n-grams inside words of the texts that it is
+fitted on, however often they occur.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from lattica.llm.shared import MULTIPLIER, mixed, run_hashes, sized, written
 
 CHARS = 2_000_000
+#: Counts that a task holds before it gives them to the shuffle, and those that it takes in before it sums them up.
+HELD, PENDING = 2_000_000, 500_000
 #: The rest of a distribution below unigrams: so many characters are thought possible.
 ALPHABET = 5_000
 DISCOUNT = 0.75
@@ -139,25 +142,46 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[tuple[np.ndarray, ...]]] = {}
+        held = pending = 0
+
+        def merged() -> int:
+            for key, parts in found.items():
+                found[key] = [summed(*map(np.concatenate, zip(*parts, strict=True)))]
+            return sum(len(x[0][0]) for x in found.values())
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for (k, c), ((h, ctx, low, n),) in found.items():
+                fixed = [pa.array(np.full(len(h), x, np.int32)) for x in (k, c)]
+                yield pa.RecordBatch.from_arrays([fixed[0], *(pa.array(x.view(np.int64)) for x in (h, ctx, low)), fixed[1], pa.array(n)], ["k", "h", "ctx", "low", "class", "n"])
+            found.clear()
+
         for batch in batches:
             classes = batch.column("class").to_numpy()
             for at, part in chunks(batch.column("text").to_pylist()):
                 w, own = Words(part), classes[at : at + len(part)]
-                s = w.spelled()
                 for c in np.unique(own):
                     counts = w.counts(own == c)
+                    which = np.flatnonzero(counts)
+                    s = w.spelled(which)
                     for k in range(1, order + 1):
-                        h, ctx, low, n = s.keyed(k, counts)
-                        grams = [x[n > 0].view(np.int64) for x in (h, ctx, low, n)]
-                        fixed = [pa.array(np.full(len(grams[0]), x, np.int32)) for x in (k, c)]
-                        yield pa.RecordBatch.from_arrays([fixed[0], *map(pa.array, grams[:3]), fixed[1], pa.array(grams[3])], ["k", "h", "ctx", "low", "class", "n"])
+                        new = s.keyed(k, counts[which])
+                        found.setdefault((k, int(c)), []).append(new)
+                        pending += len(new[0])
+                if pending > max(held, PENDING):
+                    held, pending = merged(), 0
+                    if held > HELD:
+                        yield from given()
+                        held = 0
+        merged()
+        yield from given()
 
     rows = texts.select("text", F.col("class").cast("int").alias("class")).mapInArrow(gather, "k int, h long, ctx long, low long, class int, n long")
     return rows.groupBy("k", "h", "ctx", "low", "class").agg(F.sum("n").alias("n"))
 
 
 def fitted(texts: DataFrame, classes: int, order: int, shared: DataFrame | None = None, shared_order: int = 0) -> Model:
-    """The model of texts (text, class from 0), a bounded sample; only its discounted tables come to the driver.
+    """The model of texts (text, class from 0); only its discounted tables come to the driver.
 
     shared (k, h, ctx, n), of the first shared_order orders, replaces the classes' own lower distributions by one that
     all of them back off to. Of it the model holds what the texts have n-grams or contexts of: an n-gram that no class

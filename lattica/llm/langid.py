@@ -1,8 +1,9 @@
 """Language by interpolated Kneser-Ney character models, one a language, in sorted hash arrays.
 
-The language whose model gives a text the lowest cross-entropy a character is chosen. How sure that is, is a logistic
-function of the distance to the second and of the length, fitted on texts that the models have not seen; texts below a
-wanted certainty can be rejected.
+The models are counted over all texts of known language outside of the held-out fold and of the calibration fold. The
+language whose model gives a text the lowest cross-entropy a character is chosen. How sure that is, is a logistic
+function of the distance to the second and of the length, fitted on all texts of the calibration fold, which the models
+have not seen; texts below a wanted certainty can be rejected.
 """
 
 from __future__ import annotations
@@ -15,32 +16,26 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.charlm import Scorer, Words, chunks, fitted, logistic, probability, sampled_share
-from lattica.llm.shared import sized, small_batches, written
+from lattica.llm.charlm import Scorer, Words, chunks, fitted
+from lattica.llm.shared import small_batches, written
 
 ORDER = 5
-#: Of each language, about so many texts of at most so many characters are used at most for the models and for the
-#: calibration: those whose hash of doc_id is in the share that gives so many.
-SAMPLE, CALIBRATION_SAMPLE, SAMPLE_CHARS = 1000, 400, 20_000
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 UNKNOWN = "und"
+#: Sums over all texts are taken in units of 2**-36, so that they are the same in whatever order and parts they are added.
+UNIT = 2.0**36
+#: Ridge of the calibration a text, most Newton steps.
+RIDGE, STEPS = 1e-4, 25
 
 
 def fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(FOLDS))
 
 
-def sampled(docs: DataFrame) -> DataFrame:
-    """(text, lang, calibration): bounded samples of each language, outside of the held-out fold.
-
-    Of several texts of one doc_id and language the one with the least hash is used.
-    """
-    texts = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "lang", "text")
-    known = texts.withColumn("f", fold()).filter(F.col("f") != HELD_OUT).withColumn("calibration", F.col("f") == CALIBRATION)
-    known = written(known.groupBy("doc_id", "lang", "calibration").agg(F.min(F.xxhash64("text")).alias("th")), "known")
-    ids = sampled_share(known, ["lang", "calibration"], F.when(F.col("calibration"), CALIBRATION_SAMPLE).otherwise(SAMPLE)).drop("times")
-    rows = texts.withColumn("th", F.xxhash64("text")).join(sized(written(ids, "ids")), ["doc_id", "lang", "th"])
-    return rows.dropDuplicates(["doc_id", "lang"]).select("text", "lang", "calibration")
+def known(docs: DataFrame) -> DataFrame:
+    """(text, lang, calibration) of all rows to learn from: those with text, lang and doc_id outside of the held-out fold."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT))
+    return rows.select("text", "lang", (fold() == CALIBRATION).alias("calibration"))
 
 
 def entropies(texts: list[str | None], scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +56,75 @@ def margins(means: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([gap, np.log1p(gap * sizes), np.log1p(sizes)], 1)
 
 
-def _held_against(rows: DataFrame, model: Broadcast) -> DataFrame:
-    """(x, right): margins of each of rows (text, class) that has letters, and whether its own class is the likeliest."""
+def _judged(docs: DataFrame, model: Broadcast, learned: str) -> DataFrame:
+    """(doc_id, held_out, best, x, right) of docs (doc_id, text, class): the likeliest class, the margins and, for rows
+    where the condition `learned` holds, whether their own class is the likeliest. best is null for texts without letters."""
+    names = ["doc_id", "held_out", "best", "x", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
             if len(batch):
                 means, sizes = entropies(batch.column("text").to_pylist(), scorer)
-                x, right = margins(means, sizes)[sizes > 0], (means.argmax(1) == batch.column("class").to_numpy())[sizes > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array(right)], ["x", "right"])
+                best = means.argmax(1).astype(np.int32)
+                own = batch.column("class").to_numpy(zero_copy_only=False)
+                right = pa.array(best == own, mask=(own < 0) | (sizes == 0))
+                x = pa.array(list(margins(means, sizes)), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(best, mask=sizes == 0), x, right], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = F.when(F.expr(learned), F.col("class")).otherwise(F.lit(-1))
+    table = docs.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "text", F.coalesce(own, F.lit(-1)).alias("class"))
+    return table.mapInArrow(run, f"doc_id {kind}, held_out boolean, best int, x array<double>, right boolean")
+
+
+def _sums(rows: DataFrame, terms) -> np.ndarray:
+    """Sums over all of rows (x, right) of the columns that terms(x, right) gives, in whole units; a task gives one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                x = batch.column("x").flatten().to_numpy().reshape(len(batch), -1)
+                part = np.rint(terms(x, batch.column("right").to_numpy(zero_copy_only=False).astype(float)) * UNIT).astype(np.int64).sum(0)
+                total = [int(p) + (total[i] if total else 0) for i, p in enumerate(part)]
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([[str(t) for t in total]], pa.list_(pa.string()))], names=["t"])
+
+    parts = [list(map(int, r.t)) for r in rows.select("x", "right").mapInArrow(run, "t array<string>").collect()]
+    # one right and one wrong case are added, so that certainty never is complete
+    more = np.rint(terms(np.array([[0.0, 0.0, 0.0], [1.0, 5.0, 5.0]]), np.array([0.0, 1.0])) * UNIT).astype(np.int64).tolist()
+    return np.array([sum(c) / UNIT for c in zip(*parts, *more, strict=True)])
+
 
-    return rows.select("text", "class").mapInArrow(run, "x array<double>, right boolean")
+def calibrated(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, coefficients with the intercept last) of a logistic regression of right on x over all rows (x, right).
+
+    Newton steps whose sums Spark takes; the driver gets 14 numbers a task and step.
+    """
+    s = _sums(rows, lambda x, y: np.column_stack((np.ones(len(x)), x, x * x)))
+    n, d = s[0], (len(s) - 1) // 2
+    mean = s[1 : d + 1] / n
+    scale = np.maximum(np.maximum(s[d + 1 :] / n - mean**2, 0) ** 0.5, 1e-9)
+    ridge = RIDGE * n * np.eye(d + 1)
+    ridge[-1, -1] = 1e-9
+    upper = np.triu_indices(d + 1)
+    b = np.zeros(d + 1)
+    for _ in range(STEPS):
+
+        def terms(x: np.ndarray, y: np.ndarray, b: np.ndarray = b) -> np.ndarray:
+            z = np.column_stack(((x - mean) / scale, np.ones(len(x))))
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            return np.column_stack((z * (p - y)[:, None], z[:, upper[0]] * z[:, upper[1]] * (p * (1 - p) + 1e-9)[:, None]))
+
+        s = _sums(rows, terms)
+        h = np.zeros((d + 1, d + 1))
+        h[upper] = s[d + 1 :]
+        step = np.linalg.solve(h + np.triu(h, 1).T + ridge, s[: d + 1] + ridge @ b)
+        b = b - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return mean, scale, b
 
 
 def languages(docs: DataFrame, reject_below: float = 0.0) -> DataFrame:
@@ -80,41 +132,30 @@ def languages(docs: DataFrame, reject_below: float = 0.0) -> DataFrame:
 
     lang_pred is a learned language, or und for texts that are null or without a letter and for those whose score is
     below reject_below; score is 0 where nothing could be predicted. lang is read only outside of the held-out fold and
-    never at a prediction; null ones are not learned. Rows that repeat a doc_id each give a row; for a null doc_id
-    held_out is false. Without a language to learn everything is und. Other columns are ignored.
+    never at a prediction; null ones are not learned. All other rows are learned from, each as often as it is there,
+    but for those without a doc_id, which are in no fold: for them held_out is false. Rows that repeat a doc_id each
+    give a row. Without a language to learn everything is und. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    rows = written(sampled(docs), "sample")
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = known(docs)
     parts = {(r.lang, r.calibration) for r in rows.select("lang", "calibration").distinct().collect()}
     # where one fold has nothing, the other serves for both
     fit = rows.filter("not calibration") if any(not c for _, c in parts) else rows
     names = sorted({x for x, c in parts if not c} or {x for x, _ in parts})
-    tables = None
-    if names:
-        number = docs.sparkSession.createDataFrame(list(enumerate(names)), "class int, lang string")
-        model = docs.sparkSession.sparkContext.broadcast(fitted(fit.join(F.broadcast(number), "lang").select("text", "class"), len(names), ORDER))
-        cal = rows.filter("calibration").join(F.broadcast(number), "lang")
-        cal = cal if {x for x, c in parts if c} & set(names) else fit.join(F.broadcast(number), "lang")
-        found = np.array(sorted((*r.x, float(r.right)) for r in _held_against(cal, model).collect())).reshape(-1, 4)
-        # one right and one wrong case are added, so that certainty never is complete
-        x = np.concatenate((found[:, :3], np.array([[0.0, 0.0, 0.0], [1.0, 5.0, 5.0]])))
-        tables = model, logistic(x, np.append(found[:, 3], [0.0, 1.0]), 1e-4)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(tables[0].value) if tables else None
-        for batch in batches:
-            if not len(batch):
-                continue
-            found, p = [UNKNOWN] * len(batch), np.zeros(len(batch))
-            if tables:
-                means, sizes = entropies(batch.column("text").to_pylist(), scorer)
-                p = np.where(sizes > 0, probability(margins(means, sizes), tables[1]), 0.0)
-                found = [names[i] if n and q >= reject_below else UNKNOWN for i, n, q in zip(means.argmax(1), sizes, p, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.string()), pa.array(p)], ["doc_id", "held_out", "lang_pred", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    table = docs.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return table.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    if not names:
+        none = docs.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"))
+        return none.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    number = F.broadcast(spark.createDataFrame(list(enumerate(names)), "class int, lang string"))
+    model = spark.sparkContext.broadcast(fitted(fit.join(number, "lang").select("text", "class"), len(names), ORDER))
+    both = {x for x, c in parts if c} & set(names) and any(not c for _, c in parts)
+    own = f"pmod(crc32(cast(doc_id as string)), {FOLDS}) " + (f"= {CALIBRATION}" if both else f"!= {HELD_OUT}")
+    judged = written(_judged(docs.select("doc_id", "text", "lang").join(number, "lang", "left"), model, own), "judged")
+    mean, scale, b = calibrated(judged.filter("right is not null"))
+    z = sum(((F.col("x")[i] - float(mean[i])) / float(scale[i]) * float(b[i]) for i in range(len(mean))), F.lit(float(b[-1])))
+    score = F.when(F.col("best").isNotNull(), 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).otherwise(F.lit(0.0))
+    found = F.when(F.col("best").isNotNull() & (F.col("score") >= reject_below), F.array(*map(F.lit, names))[F.col("best")]).otherwise(F.lit(UNKNOWN))
+    return judged.withColumn("score", score).select("doc_id", "held_out", found.alias("lang_pred"), "score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lattica.llm.charlm import Scorer, Words, fitted, logistic
-from lattica.llm.langid import languages
+from lattica.llm.langid import calibrated, languages
 from lattica.llm.toxicity import backoff_counts, toxicity
 
 SYLLABLES = {"aa": ["ka", "ro", "mi", "tes", "lun"], "bb": ["sch", "ein", "tze", "gra", "ub"], "cc": ["ção", "lhe", "nia", "oes", "qui"]}
@@ -94,6 +94,30 @@ def test_languages(spark):
     assert {r.lang_pred for r in sure} == {"und"}
 
 
+def test_languages_learn_from_every_row(spark):
+    # of 3,000 texts a language 60 have a word of their own, one stands in a text of 30,000 characters, one in a second row of a doc_id
+    rng = random.Random(3)
+    ids = [i for i in range(12_500) if zlib.crc32(str(i).encode()) % 4 < 2][:6000]
+    rows = [(i, "ka ro mi tes lun", "ab"[k % 2]) for k, i in enumerate(ids)]
+    own = ["".join(rng.choice("bcdfghjkqvwxyz") for _ in range(9)) for _ in range(60)]
+    for j, word in enumerate(own):
+        i, t, lang = rows[j * 99]
+        rows[j * 99] = (i, f"{t} {word} {word}" + " ka" * (10_000 if j == 7 else 0), lang)
+    rows[8 * 99] = (rows[0][0], *rows[8 * 99][1:])
+    asked = [(100_000 + j, " ".join([word] * 20), None) for j, word in enumerate(own)]
+    out = languages(spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")).filter("doc_id >= 100000").collect()
+    assert {r.doc_id - 100_000: r.lang_pred for r in out} == {j: "ab"[j * 99 % 2] for j in range(60)}
+
+
+def test_calibration_is_the_plain_logistic_regression(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((500, 3)) * [1, 5, 9]
+    y = x[:, 0] * 4 + rng.standard_normal(500) > 1
+    got = calibrated(spark.createDataFrame([(list(map(float, a)), bool(c)) for a, c in zip(x, y, strict=True)], "x array<double>, right boolean").repartition(5))
+    want = logistic(np.concatenate((x, [[0, 0, 0], [1, 5, 5]])), np.append(y.astype(float), [0.0, 1.0]), 1e-4)
+    assert all(np.allclose(a, c, atol=1e-6) for a, c in zip(got, want, strict=True))
+
+
 def test_languages_without_any(spark):
     df = spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string")
     assert languages(df).first().lang_pred == "und" and languages(df.filter("false")).count() == 0
