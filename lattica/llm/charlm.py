@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.shared import MULTIPLIER, mixed, run_hashes, sized, written
 
-CHARS = 2_000_000
+CHARS = 500_000
 #: Counts that a task holds before it gives them to the shuffle, and those that it takes in before it sums them up.
 HELD, PENDING = 2_000_000, 500_000
 #: The rest of a distribution below unigrams: so many characters are thought possible.
@@ -273,9 +273,9 @@ class Scorer:
             out[which] = self.model.scores(w.spelled(which))
             if len(self.known) > self.MOST:
                 self.known, self.values = self.known[:0], self.values[:0]
-            both = np.concatenate((self.known, w.hash[which]))
-            order = np.argsort(both, kind="stable")
-            self.known, self.values = both[order], np.concatenate((self.values, out[which]))[order]
+            which = which[np.argsort(w.hash[which])]
+            at = np.searchsorted(self.known, w.hash[which])
+            self.known, self.values = np.insert(self.known, at, w.hash[which]), np.insert(self.values, at, out[which], axis=0)
         return out
 
 

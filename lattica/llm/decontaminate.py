@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import shingles_of, small_batches, text_chunks, words_of
+from lattica.llm.shared import SMALL_BATCH, shingles_of, small_batches, text_chunks, words_of
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a passage retrieves it.
@@ -116,7 +116,7 @@ class Index:
 
 def _indexes(items: DataFrame) -> list[Index]:
     """Indexes of bounded size over items (item_id, question, answer); items without an id or a word in their question match nothing."""
-    small_batches(items.sparkSession)
+    small_batches(items.sparkSession, size=SMALL_BATCH)
     items = items.select("item_id", "question", "answer").filter("item_id is not null and question rlike '[^\\\\x00-\\\\x2f\\\\x3a-\\\\x40\\\\x5b-\\\\x60\\\\x7b-\\\\x7f]'")
     size = items.agg(F.sum(F.length("question") + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
     parts = size // INDEX_CHARS + 1

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import MULTIPLIER, connected_components, forget, mixed, shingles_of, sized, small_batches, text_chunks, words_of, written
+from lattica.llm.shared import SMALL_BATCH, MULTIPLIER, connected_components, forget, mixed, shingles_of, sized, small_batches, text_chunks, words_of, written
 
 ROWS, BANDS, STEP = 6, 42, 42
 HASHES = ROWS * BANDS
@@ -253,7 +253,7 @@ def _linked(docs: DataFrame, reps: DataFrame, k: int, percent: int, miss: float)
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """near_duplicates with th, the xxhash64 of the row's text."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=SMALL_BATCH)
     docs = docs.select("doc_id", "text")
     sketches = docs.withColumn("th", F.xxhash64("text")).mapInArrow(_sketch(k), f"{_kind(docs)}, th long, n_shingles long, fp string, sig binary")
     sketches = written(sketches, "sketches")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import small_batches, written
+from lattica.llm.shared import SMALL_BATCH, small_batches, written
 
 WINDOW, END = 2048, 1
 #: Pieces of one length are ranked in SALTS groups, in more where those would exceed RANKED rows.
@@ -68,7 +68,7 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, end: int = END, paths: t
     keep_ids, ids. A null text reads as empty and gives the one id `end`. Every row of docs (doc_id, text) gives its
     own pieces, those that repeat or lack a doc_id included; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=SMALL_BATCH)
     paths = paths or tokenizer_paths()
     kind = docs.schema["doc_id"].dataType.simpleString()
 

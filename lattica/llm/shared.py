@@ -11,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1_500_000
+#: Bytes of text that one step of a task takes; its arrays are many times as large, and a worker keeps much of that memory.
+CHUNK = 500_000
+#: Bytes of a batch for Python where several operators follow each other in one session.
+SMALL_BATCH = 4_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -97,7 +100,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            m = max(n, 1 << 20)
+            m = max(n, 1 << 18)
             for name, base in (("up", MULTIPLIER), ("down", INVERSE)):
                 a = np.full(m, base, np.uint64)
                 a[0] = 1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.charlm import Scorer, Words, chunks, fitted, logistic, probability, sampled_share, summed
-from lattica.llm.shared import sized, small_batches, written
+from lattica.llm.shared import SMALL_BATCH, sized, small_batches, written
 
 ORDER, SHARED_ORDER = 6, 3
 #: Of each label, about so many texts of at most so many characters are used at most for the models and for the
@@ -109,7 +109,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) ->
     scored as texts without words. Where a label has no text at all to learn from, every score is 0. Rows that repeat a
     doc_id each give a row; for a null one held_out is false. Other columns are ignored, also a kept one called as a result.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=SMALL_BATCH)
     spark = docs.sparkSession
     rows = written(sampled(docs, labels), "sample")
     counts = {(r.toxic, r.calibration) for r in rows.select("toxic", "calibration").distinct().collect()}

@@ -1,14 +1,16 @@
 """Toxicity and language: held-out accuracy, what the models are never to read, and edge cases."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lattica.llm.charlm import Scorer, Words, fitted, logistic
+from lattica.llm.charlm import Model, Scorer, Words, fitted, logistic
 from lattica.llm.langid import calibrated, languages
-from lattica.llm.toxicity import backoff_counts, toxicity
+from lattica.llm.toxicity import backoff_counts, features, toxicity
 
 SYLLABLES = {"aa": ["ka", "ro", "mi", "tes", "lun"], "bb": ["sch", "ein", "tze", "gra", "ub"], "cc": ["ção", "lhe", "nia", "oes", "qui"]}
 
@@ -123,6 +125,22 @@ def test_languages_without_any(spark):
     assert languages(df).first().lang_pred == "und" and languages(df.filter("false")).count() == 0
 
 
+def test_a_worker_needs_little_memory_for_many_texts():
+    # a batch of 8 MB: what is held at once follows from a step's characters, not from the batch
+    rng = random.Random(4)
+    words = ["".join(rng.choice(SYLLABLES["aa"]) for _ in range(rng.randrange(1, 6))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=250)) for _ in range(4000)]
+    model = Model(*[pa.table({"k": pa.array([], pa.int32()), "h": pa.array([], pa.int64()), "class": pa.array([], pa.int32()), "v": pa.array([], pa.float32())})] * 2, 2, 3)
+    scorer = Scorer(model)
+    tracemalloc.start()
+    got = features(texts, scorer)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 8e6 and most < 60e6, most
+    # words that were remembered from another step score the same
+    assert np.array_equal(got[::500], features(texts[::500], Scorer(model)))
+
+
 def test_probabilities_add_up(spark):
     m = fitted(spark.createDataFrame([("abab abc cab", 0), ("bca aab", 1)], "text string, class int"), 2, 3)
     w = Words(["a b c " + " ".join("abc"[i] + "abc"[j] for i in range(3) for j in range(3))])
