@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from lattica.llm import divergence as V
@@ -132,6 +134,52 @@ def test_scores_pass_64_bits(spark):
     assert set(by) == {"so it is", "it is so", "is so it"}
 
 
+def test_phrases_of_many_groups(spark, monkeypatch):
+    """Codes are dealt over more groups than there are buckets, most of them with few phrases or none that are frequent."""
+    monkeypatch.setattr(H, "GROUP", 100)
+    monkeypatch.setattr(H, "BLOCK", 2000)
+    rng = random.Random(2)
+    docs = [(" ".join(rng.choice("abcdefghijklmnop") for _ in range(150)), rng.choice("xy")) for _ in range(60)] + [("never twice", "z"), ("here is a phrase of six words", "x")] * 9
+    got = H.collocations(spark.createDataFrame(docs, "text string, lang string").repartition(3), least=8)
+    assert [tuple(r) for r in got.sort("lang", "rank").collect()] == sorted(plain_phrases(docs, 8, 5, 2000))
+
+
+def test_codes_and_packed_lists():
+    rng = np.random.default_rng(0)
+    for bits in (1, 2, 3, 12):
+        every = np.arange(1 << bits)
+        spread = H._spread(every, bits)
+        assert sorted(spread.tolist()) == every.tolist() and H._spread(spread, bits, back=True).tolist() == every.tolist()
+    codes = H.Codes(60_000, (10**9 * 60_000).bit_length(), 51)
+    prefix, word = rng.integers(0, 10**9, 200_000), rng.integers(0, 60_000, 200_000)
+    code = codes.of(prefix, word)
+    assert [x.tolist() for x in codes.parts(code)] == [prefix.tolist(), word.tolist()]
+    assert 3500 < min(n := np.bincount(codes.group(code), minlength=51)) and max(n) < 4400
+    # one prefix with every word, and every prefix with one word, are dealt out as evenly
+    for one in (codes.of(np.full(60_000, 7), np.arange(60_000)), codes.of(np.arange(60_000) * 1001, np.full(60_000, 3))):
+        assert 900 < min(n := np.bincount(codes.group(one), minlength=51)) and max(n) < 1500
+    length = rng.integers(1, 1 << 31, 999).astype(np.int32)
+    gaps = rng.integers(0, 1 << 63, 999).astype(np.uint64)
+    assert [x.tolist() for x in H._unpacked(H._packed(gaps, length), 999, np.uint64, np.int32)] == [gaps.tolist(), length.tolist()]
+
+
+def test_rare_phrases_are_shuffled_packed(spark):
+    """Of hundreds of thousands of pairs of frequent words few are frequent; the others cost a few bytes of shuffle each."""
+    rng = random.Random(3)
+    docs = [(" ".join(f"w{rng.randrange(1000)}" for _ in range(20_000)) + " so it goes" * 10, "x") for _ in range(20)]
+    pairs = Counter(p for t, _ in docs for w in [t.split(" ")] for p in zip(w, w[1:]))
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    moved = lambda: sum(e.apply(i).totalShuffleWrite() for e in [executors()] for i in range(e.size()))
+    before = moved()
+    every, _ = H.frequent_phrases(spark.createDataFrame(docs, "text string, lang string").repartition(4), longest=2)
+    text = sum(len(t) for t, _ in docs)
+    got = {r.phrase: r.a for r in every.filter("size = 2").collect()}
+    assert got == {" ".join(p): a for p, a in pairs.items() if a >= 100} and len(got) == 3
+    # the texts themselves are dealt out once
+    time.sleep(1)
+    assert len(pairs) > 300_000 and moved() - before - text < 4 * len(pairs)
+
+
 # Divergence
 
 
