@@ -16,6 +16,8 @@ from lattica.llm.shared import sized, written
 #: Lines with fewer words and fewer characters are left alone: equal ones occur by chance. Lines of NEAR_WORDS or more are
 #: matched with one word edited.
 LEAST_WORDS, LEAST_CHARS, NEAR_WORDS = 4, 40, 10
+#: Elements whose hashes are chained in one array.
+BLOCK = 32
 
 
 def normal(text: Column) -> Column:
@@ -49,11 +51,30 @@ def _halves(line: Column, n: Column, near_words: int) -> Column:
     return F.when(n >= near_words, F.array(*out))
 
 
+def _prefixes(x: Column, levels: int = 2) -> Column:
+    """Hashes of the first 0, 1, ... and of all elements of an array.
+
+    A chain that appends to an array copies it each time. Here only BLOCK elements at a time are chained like that; the
+    hashes of whole blocks are prefixes in the same way, two levels up in one chain, and go before those inside a block.
+    """
+    chain = lambda y: F.aggregate(y, F.array(F.lit(42).cast("long")), lambda acc, z: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), z))))
+    if not levels:
+        return chain(x)
+    once = lambda y, f: F.flatten(F.transform(F.array(y), f))  # noqa: E731  what a lambda names is computed anew for each element
+    parted = lambda y: F.transform(F.sequence(F.lit(0), F.floor(F.size(y) / BLOCK).cast("int")), lambda b: chain(F.slice(y, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined(b: Column) -> Column:
+        # a whole block's own hash is where the next one begins
+        before = _prefixes(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda y: F.element_at(y, -1)), levels - 1)
+        return F.flatten(F.zip_with(b, before, lambda y, h: F.transform(F.slice(y, 1, BLOCK), lambda z: F.xxhash64(h, z))))
+
+    return once(once(x, parted), joined)
+
+
 def _neighbourhood(w: Column) -> Column:
     """Hashes of every variant, of its length, its place and both sides: first without word 1 to n, then with a gap before word 1 to n + 1."""
     n = F.size(w)
-    chain = lambda x: F.aggregate(x, F.array(F.lit(42).cast("long")), lambda acc, y: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), y))))
-    both = F.struct(chain(w).alias("p"), chain(F.reverse(w)).alias("s"))
+    both = F.struct(_prefixes(w).alias("p"), _prefixes(F.reverse(w)).alias("s"))
 
     def keys(b: Column) -> Column:
         key = lambda size, i, left: F.xxhash64(size, i, F.element_at(b["p"], i), F.element_at(b["s"], left + 1))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -272,3 +273,28 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     assert out.columns == ["doc_id", "text", *names, "n_lines", "n_removed"]
     got = {(r[0], r[1]): tuple(r)[2:] for r in out.collect()}
     assert got == {(1, line): (*names, 1, 0), (2, "own"): (*names, 2, 1), (None, line): (*names, 1, 0), (3, None): (*names, 0, 0)}
+
+
+def test_line_dedup_of_very_long_lines(spark):
+    """Keys of a line of 100,000 words: their time once grew with the square of the words, for which jobs are ended after a minute."""
+    words = [f"w{i * i % 9973}" for i in range(100_000)]
+    other = words[:70_000] + ["new"] + words[70_001:]
+    less = words[:31_999] + words[32_000:]
+    far = words[:50_000] + ["two", "more"] + words[50_002:]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, other, less, far))], "doc_id long, text string")
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        assert {r.doc_id: r.n_removed for r in L.without_repeated_lines(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
+    finally:
+        timer.cancel()
+
+
+def test_line_dedup_hashes_of_prefixes(spark):
+    n = 2 * L.BLOCK * L.BLOCK + L.BLOCK
+    sizes = [*range(2 * L.BLOCK + 2), L.BLOCK * L.BLOCK - 1, L.BLOCK * L.BLOCK, L.BLOCK * L.BLOCK + 1, n]
+    df = spark.createDataFrame([(k, [str(i % 7) for i in range(k)]) for k in sizes], "k int, w array<string>")
+    found = {r.k: r.p for r in df.select("k", L._prefixes(F.col("w")).alias("p")).collect()}
+    whole = found[n]
+    assert len(set(whole)) == n + 1
+    assert all(p == whole[: k + 1] for k, p in found.items())
