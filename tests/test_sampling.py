@@ -102,6 +102,26 @@ def test_target_position():
     assert M.target_position(kinds, SType.NUMERICAL) == 1 and M.target_position(kinds, SType.BOOLEAN) == 0
 
 
+def test_each_pair_of_masks_is_made_once(spark, monkeypatch):
+    """Against all pairs: sequences of more rows than a block, a hub, a row that refers to itself, repeated references; no pair is shuffled."""
+    monkeypatch.setattr(M, "PAIRED", 4)
+    rng = random.Random(6)
+    cells = [(q, r * 3 + c, r, c + q % 2) for q in range(3) for r in range(11) for c in range(3) if (q, r, c) != (1, 2, 1)]
+    refer = {(q, rng.randrange(11), rng.randrange(11)) for q in range(3) for _ in range(9)} | {(0, i, 0) for i in range(11)} | {(1, 3, 3)}
+    df, adj = spark.createDataFrame(cells, "seq int, pos long, seq_row_id int, column_idx int"), spark.createDataFrame([*refer, *refer], "seq int, i int, j int")
+    want = set()
+    for q, i, ri, ci in cells:
+        for p, j, rj, cj in cells:
+            flags = ri == rj or (q, ri, rj) in refer, (q, rj, ri) in refer or i == j, ci == cj
+            if p == q and any(flags):
+                want.add((q, i, j, *flags))
+    out = M.masks(df, adj)
+    got = list(map(tuple, out.collect()))
+    assert len(got) == len(want) and set(got) == want
+    top = out._jdf.queryExecution().executedPlan().toString().split("Union", 1)[0]
+    assert "Aggregate" not in top and "Exchange" not in top
+
+
 def plain_rank(a, used):
     r = len(a)
     near = [[j for j in range(r) if a[i][j] and i != j] for i in range(r)]
