@@ -225,3 +225,17 @@ def test_inclusions_against_sets(spark):
             own, there = [v for v in x if v is not None], set(y) - {None}
             hit = sum(v in there for v in own)
             assert a == b or got.get((a, b), (len(own), 0)) == (len(own), hit)
+
+
+def test_only_children_of_those_asked_for_are_indexed(spark, monkeypatch):
+    from lattica.plans import registered as P
+
+    seen = []
+    index = G.child_index
+    monkeypatch.setattr(G, "child_index", lambda e, t: seen.append((e.select("dst").distinct(), e.count(), t.count())) or index(e, t))
+    sf = "/root/testdata/sf0.001"
+    assert P.child_topw(spark, sf).count() > 0
+    d = P.db(spark, sf)
+    (dst, n, times), first = seen[0], d.offsets["customer"]
+    assert n == d.counts["orders"] + d.counts["events"] == times
+    assert all(first <= r.dst < first + d.counts["customer"] for r in dst.collect())
