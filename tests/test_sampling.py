@@ -239,3 +239,62 @@ def test_only_children_of_those_asked_for_are_indexed(spark, monkeypatch):
     (dst, n, times), first = seen[0], d.offsets["customer"]
     assert n == d.counts["orders"] + d.counts["events"] == times
     assert all(first <= r.dst < first + d.counts["customer"] for r in dst.collect())
+
+
+@pytest.mark.parametrize("name", ["sequence_cells", "sequence_edges"])
+def test_ended_walks_have_all_that_is_asked(spark, name):
+    """No table is read or joined for the cells and references of visited rows: walks have the references, tables the cells."""
+    from lattica.registry import QUERIES
+
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not [f for f in df.inputFiles() if "testdata" in f]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_references_and_children_of_walks(spark):
+    """Links of walks are those of their rows; children that no budget can reach are not asked for, and what is visited stays the same."""
+    from lattica.operators.store import RowStore
+    from lattica.sources.database import written
+
+    rng = random.Random(9)
+    edges = [(i, rng.choice([0, 1, 2])) for i in range(10, 200)] + [(i, 10 + i % 50) for i in range(200, 400)] + [(i, 10 + i % 7) for i in range(200, 400)]
+    e = written(spark.createDataFrame(edges, "src long, dst long"), "edges")
+    t = spark.createDataFrame([(i, rng.randrange(100)) for i in range(10, 300)], "row_id long, us long")
+    seeds = spark.createDataFrame([(i, rng.choice([0, 20, 210, 9000]), rng.choice([None, 50])) for i in range(20)], "seq long, row_id long, obs long")
+    store, asked = RowStore.build(e, t), []
+    look_up = store.look_up
+    store.look_up = lambda df, *a: asked.append(df.persist()) or look_up(df, *a)
+    for width in (4, 1000):
+        c = M.SamplerConfig(sequence_length=60, bfs_child_width=width, max_rows_per_seq=25)
+        walks = M.walks(spark, seeds, e, t, [(0, 3)], c, lambda df: written(df, "walk"), store, links=True)
+        rows = M.rows_of(walks)
+        pairs = lambda df: sorted(map(tuple, df.select("seq", "i", "j").collect()))
+        from pyspark.sql import functions as F
+
+        assert pairs(walks.select("seq", F.inline(F.arrays_zip("i", "j")))) == pairs(M.row_adjacency(rows, e))
+    counts = [(df.filter("upto = 0").count(), df.filter("upto > 0").count()) for df in asked]
+    assert sum(a for a, _ in counts) > sum(b for _, b in counts) > 0
+
+
+def test_walks_of_all_children_ascending(spark, monkeypatch):
+    """Where no children are drawn, those of least number that the budget can reach do, of hubs too: against the rules, one step at a time."""
+    from lattica.operators import store as T
+    from lattica.sources.database import written
+
+    monkeypatch.setattr(T, "HUB", 20)
+    monkeypatch.setattr(T, "LEAST", 12)
+    monkeypatch.setattr(G, "BLOCK", 16)
+    rng = random.Random(2)
+    edges = [(i, rng.choice([0, 1])) for i in range(10, 150)] + [(i, 10 + i % 40) for i in range(150, 300)]
+    times = {i: 60 if i < 60 else rng.randrange(100) for i in range(10, 250)}  # the hubs' first children are late
+    out, into = {}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+    seeds = [(i, rng.choice([0, 1, 20, 160]), rng.choice([None, 50])) for i in range(16)]
+    c = M.SamplerConfig(sequence_length=500, bfs_child_width=1000, max_rows_per_seq=9)
+    e, t = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(list(times.items()), "row_id long, us long")
+    got = M.sampled(spark, spark.createDataFrame(seeds, "seq long, row_id long, obs long"), e, t, [(0, 2)], c, lambda df: written(df, "walk")).toPandas()
+    for seq, seed, obs in seeds:
+        assert got[got.seq == seq].sort_values("seq_row_id").row_id.tolist() == model(seed, out, into, times, obs, {}, 2, c)
